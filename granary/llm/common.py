@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch; with texts of some 100 KB a batch stays in the hundreds of MB at worst.
 BATCH_ROWS = 2000
@@ -41,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def extended(df: DataFrame, columns: str) -> StructType:
+    """The schema of df with further columns (a DDL string); df's own is left as it is."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives the loss of any executor."""
     spark = df.sparkSession

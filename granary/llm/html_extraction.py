@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.common import tuned
+from granary.llm.common import extended, tuned
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -257,4 +257,4 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
             found = [main_text(x) for x in batch.column(names.index(html)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return base.mapInArrow(work, base.schema.add("text", "string").add("n_chars", "long"))
+    return base.mapInArrow(work, extended(base, "text string, n_chars long"))

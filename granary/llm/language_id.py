@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from granary.llm.common import tuned
+from granary.llm.common import extended, tuned
 
 #: Fitting: documents of a language, words of a document, rounds, documents in a step, weight of the squared norm.
 DOCS, WORDS, ROUNDS, STEP, NORM = 400, 250, 6, 48, 1e-4
@@ -230,4 +230,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = m.predict(batch.column(names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return base.mapInArrow(work, base.schema.add("lang_pred", "string").add("score", "double"))
+    return base.mapInArrow(work, extended(base, "lang_pred string, score double"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.common import CACHE_ENTRIES, tuned
+from granary.llm.common import CACHE_ENTRIES, extended, tuned
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -327,5 +327,5 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ends: b
                 part = batch.slice(begin, at - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=[*names, *new])
 
-    schema = base.schema.add("ids_packed", "binary").add("n_tokens", "long").add("decoded_text", "string")
+    schema = extended(base, "ids_packed binary, n_tokens long, decoded_text string")
     return base.mapInArrow(work, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import WordHashes, as_bytes, fmix, hashed_words, rolling, settle, tuned, width
+from granary.llm.common import as_bytes, extended, fmix, hashed_words, rolling, settle, tuned, width, WordHashes
 
 #: Words of an anchor; cells of the histogram of 4-word prefixes; suffixes that a group should hold at most.
 ANCHOR, CELLS, GROUP = 10, 4096, 1_000_000
@@ -321,7 +321,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     cut = grown.repartition(parts, "part").mapInArrow(functools.partial(_cut, chunks=chunks), _ROW)
     gone = cut.select(F.col("part").alias("__chunk"), "a", "b", "c")
     i, t = names.index(id_col), names.index(text)
-    schema = base.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = extended(base, "n_words long, n_removed long, kept_text string")
     return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _removed(d, m, window, names, i, t), schema)
 
 
