@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from granary.llm import fingerprints, html_extraction, jaccard_join, language_id, language_model, packing, sentencepiece_codec, substring_dedup, warc
+from granary.llm import fingerprints, html_extraction, jaccard_join, language_id, language_model, media, packing, sentencepiece_codec, substring_dedup, warc
 
 #: Documents with this remainder of crc32(doc_id) mod FOLDS are held out of fitting the language classifier.
 FOLDS, HELD = 4, 2
@@ -60,6 +60,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures that the vectors of embeddings stand for, and an edited copy of each, in groups of copies."""
+    return media.copy_groups(media.drawn_media(_table(spark, sf_dir, "embeddings")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit_model(docs.filter(_trains()))
@@ -72,7 +77,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_jaccard_join, op4_fingerprints, op5_packing, op6_lm_scoring, op7_warc, op9_language_id, op10_html_extraction)}
+    out = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_jaccard_join, op4_fingerprints, op5_packing, op6_lm_scoring, op7_warc, op8_media_copies, op9_language_id, op10_html_extraction)}
     return out
 
 
