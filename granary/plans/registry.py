@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from granary.plans import text_queries
+from granary.plans.base import Entry, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "normalize_lines"
+PARTS = (text_queries,)
 
-FLAGSHIP = "bm25_topk"
 
+def entries() -> dict[str, Entry]:
+    out: dict[str, Entry] = {}
+    for part in PARTS:
+        if both := out.keys() & part.R.entries.keys():
+            raise ValueError(f"registered twice: {sorted(both)}")
+        out |= part.R.entries
+    return out
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {k: e.run for k, e in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: e.sql for k, e in entries().items() if e.sql is not None}
