@@ -181,16 +181,16 @@ def margin(spark, d):
     return O.margin(scores(spark, d), "score").select("query_id", *_six("margin"))
 
 
-C = "greatest(0.0, least(1.0, 0.40 * a + 0.35 * m + 0.25 * s))"
+C = "greatest(0.0, least(1.0, 0.40::DOUBLE * a + 0.35::DOUBLE * m + 0.25::DOUBLE * s))"
 
 
 @R.add("retrieval_decision", "M11", f"""
-WITH v AS (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS a, (doc_id % 89) / 80.0::DOUBLE AS m, (doc_id % 97) / 96.0::DOUBLE AS s FROM documents)
+WITH v AS (SELECT doc_id, (doc_id % 101) / 101.0::DOUBLE AS a, (doc_id % 89) / 83.0::DOUBLE AS m, (doc_id % 97) / 97.0::DOUBLE AS s FROM documents)
 SELECT doc_id, round({C}, 6)::DOUBLE AS confidence, CASE WHEN {C} >= 0.75 THEN 'ACCEPT' WHEN {C} >= 0.55 THEN 'EXPAND_TOPK' WHEN {C} >= 0.35 THEN 'RERANK_AGAIN' ELSE 'RETRIEVE_AGAIN' END AS decision,
  concat_ws(',', CASE WHEN a < 0.5 THEN 'low_agreement' END, CASE WHEN m < 0.2 THEN 'low_margin' END, CASE WHEN s < 0.5 THEN 'low_stability' END) AS reason FROM v""")
 def retrieval_decision(spark, d):
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").select("doc_id", O.decision(i % 101 / 100.0, i % 89 / 80.0, i % 97 / 96.0).alias("x"))
+    rows = table(spark, d, "documents").select("doc_id", O.decision(i % 101 / 101.0, i % 89 / 83.0, i % 97 / 97.0).alias("x"))
     return rows.select("doc_id", F.round("x.confidence", 6).alias("confidence"), "x.decision", "x.reason")
 
 
