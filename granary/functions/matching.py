@@ -170,9 +170,10 @@ def focus_phrases(c: Column | str, most: int = 12) -> Column:
     return F.slice(F.filter(distinct, lambda p: p.contains(" ") | ~F.array_contains(inner, p) | p.rlike(r"^\d+$")), 1, most)
 
 
-def lexical_match(query: Column | str, text: Column | str) -> Column:
-    """score, matched, missing, exact_phrase, reference_match of a query's focus phrases in a text."""
-    focus, refs = focus_phrases(query), references(query)
+def lexical_match(query: Column | str, text: Column | str, focus: Column | None = None, refs: Column | None = None) -> Column:
+    """score, matched, missing, exact_phrase, reference_match of a query's focus phrases in a text. What is known of
+    the query already can be given, so that it isn't found again for each text."""
+    focus, refs = focus_phrases(query) if focus is None else focus, references(query) if refs is None else refs
     hit = lambda p: F.when(F.array_contains(refs, p), reference_present(text, p)).otherwise(phrase_present(text, p))
     matched = F.filter(focus, hit)
     exact = F.exists(matched, lambda p: p.contains(" ") & ~F.array_contains(refs, p)) | F.exists(matched, lambda p: p.contains(" "))
@@ -185,10 +186,10 @@ def _any(s: Column, cues) -> Column:
     return functools.reduce(lambda a, b: a | b, [s.contains(x) for x in cues])
 
 
-def intent_cue(query: Column | str, text: Column | str) -> Column:
+def intent_cue(query: Column | str, text: Column | str, want: Column | None = None) -> Column:
     """Share of the question's intents whose cues the text has."""
     s = F.concat(F.lit(" "), match_text(text), F.lit(" "))
-    want = intents(query)
+    want = intents(query) if want is None else want
     has = lambda *names: functools.reduce(lambda a, b: a | b, [F.array_contains(want, n) for n in names])
     year = s.rlike(r"\b(?:19|20)\d{2}\b") | s.rlike(r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b")
     tests = (
@@ -203,14 +204,14 @@ def evidence_support(query: Column | str, text: Column | str) -> Column:
     return F.least(F.lit(1.0), 0.72 * lexical_match(query, text)["score"] + 0.28 * intent_cue(query, text))
 
 
-def definition_matches(query: Column | str, text: Column | str) -> Column:
+def definition_matches(query: Column | str, text: Column | str, focus: Column | None = None, refs: Column | None = None) -> Column:
     """Whether a text defines the most specific focus phrase: a single word must stand right before a defining verb."""
-    focus = focus_phrases(query)
+    focus, refs = focus_phrases(query) if focus is None else focus, references(query) if refs is None else refs
     sized = F.array_sort(F.transform(focus, lambda p: F.struct((-F.size(F.split(p, " "))).alias("a"), (-F.length(p)).alias("b"), F.array_position(focus, p).alias("c"), p.alias("p"))))
     primary = F.try_element_at(sized, F.lit(1))["p"]
     verb = r"(?![a-z0-9])\s+(?:is|are|was|were|refers\s+to|means|denotes|defined|known\s+as)\b"
     single = F.regexp_like(match_text(text), F.concat(F.lit("(?<![a-z0-9])"), escaped(F.coalesce(primary, F.lit("\x01"))), F.lit(verb)))
-    named = F.when(F.array_contains(references(query), primary), reference_present(text, primary)).when(primary.contains(" "), phrase_present(text, primary)).otherwise(single)
+    named = F.when(F.array_contains(refs, primary), reference_present(text, primary)).when(primary.contains(" "), phrase_present(text, primary)).otherwise(single)
     return F.when(F.size(focus) == 0, F.lit(False)).otherwise(named)
 
 
@@ -230,15 +231,15 @@ def has_term(text: Column, term: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), term, F.lit("(?![a-z0-9])")))
 
 
-def lexical_question(query: Column | str, text: Column | str) -> Column:
+def lexical_question(query: Column | str, text: Column | str, terms: Column | None = None) -> Column:
     """Share of the query's terms that a text holds."""
-    terms, s = query_terms(query), F.lower(F.coalesce(col(text), F.lit("")))
+    terms, s = query_terms(query) if terms is None else terms, F.lower(F.coalesce(col(text), F.lit("")))
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda t: has_term(s, t))) / F.size(terms))
 
 
-def anchor_score(query: Column | str, text: Column | str) -> Column:
+def anchor_score(query: Column | str, text: Column | str, terms: Column | None = None) -> Column:
     """1 if two neighbouring terms stand together in the text; else the share of terms by length, or of numbers."""
-    terms, s = query_terms(query), F.lower(F.coalesce(col(text), F.lit("")))
+    terms, s = query_terms(query) if terms is None else terms, F.lower(F.coalesce(col(text), F.lit("")))
     pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(terms, i), F.try_element_at(terms, i + 1))), lambda p: p.contains(" "))
     weight = lambda t: F.least(F.lit(2.0), F.greatest(F.lit(1.0), F.length(t) / 5.0))
     total = F.aggregate(terms, F.lit(0.0), lambda a, t: a + weight(t))
@@ -254,9 +255,9 @@ def answer_shape(query: Column | str, text: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.when(t["identity"] & col(text).rlike(r"\b\d+[a-z]?\.\s+[A-Z]"), 0.75).otherwise(0.0), *[F.when(t[k] & s.rlike(p), v).otherwise(0.0) for k, p, v in SHAPES])
 
 
-def target_score(query: Column | str, text: Column | str) -> Column:
+def target_score(query: Column | str, text: Column | str, anchor: Column | None = None, shape: Column | None = None) -> Column:
     """Mean over what the question asks of how well the text gives it; nothing without the query's anchor."""
-    t, a, s = targets(query), anchor_score(query, text), answer_shape(query, text)
+    t, a, s = targets(query), anchor_score(query, text) if anchor is None else anchor, answer_shape(query, text) if shape is None else shape
     kinds = {"identity": 0.7 * a + 0.3 * s, "organization": 0.55 * a + 0.45 * s, "location": 0.55 * a + 0.45 * s, "date": 0.55 * a + 0.45 * s}
     each = F.array_compact(F.array(*[F.when(t[k], F.when(a > 0, v).otherwise(0.0)) for k, v in kinds.items()]))
     return F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda x, y: x + y) / F.size(each)).otherwise(0.0)

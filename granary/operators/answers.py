@@ -19,6 +19,8 @@ TECHNICAL = (
 MULTIHOP = ("compare", "difference", "between", "relation", "why", "how", "explain", "connect", "versus", "vs", "impact")
 # Topics whose evidence is told apart by terms of their own: (topic, terms of others, penalty). A table,
 # so that a deployment has its own rows.
+# Phrases that tell of a damaged context.
+CONTEXT_BROKEN = ("document contains references", "supporting documents throughout", "the current •", "• and document", "this icon indicates", "users seeking practical advice", "euro.who.int")
 TOPIC_RULES: tuple[tuple[str, tuple[str, ...], float], ...] = ()
 
 
@@ -65,7 +67,9 @@ def answerability(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, score, reason, answerable of each question from all its evidence (query_id, doc_id, text)."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
     joined = evidence.filter(F.trim("text") != "").groupBy("query_id").agg(F.array_join(texts, " ").alias("text"))
-    rows = queries.join(joined, "query_id", "left").withColumns({"m": M.lexical_match("query", "text"), "cue": M.intent_cue("query", "text"), "focus": M.focus_phrases("query"), "refs": M.references("query"), "want": M.intents("query"), "defines": M.definition_matches("query", "text")})
+    told = queries.withColumns({"focus": M.focus_phrases("query"), "refs": M.references("query"), "want": M.intents("query")})
+    known = {"focus": F.col("focus"), "refs": F.col("refs")}
+    rows = told.join(joined, "query_id", "left").withColumns({"m": M.lexical_match("query", "text", **known), "cue": M.intent_cue("query", "text", F.col("want")), "defines": M.definition_matches("query", "text", **known)})
     quoted = F.transform(F.regexp_extract_all("query", F.lit("[\"']([^\"']{2,100})[\"']"), F.lit(1)), M.match_text)
     compare = F.array_contains("want", "compare") & (F.size("focus") >= 2)
     base = F.concat("refs", quoted, F.when(compare, F.col("focus")).otherwise(F.array().cast("array<string>")))
@@ -116,8 +120,9 @@ def hashed_vector(c: Column, size: int = 64) -> Column:
     words = X.tokens(c)
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
     raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    # bound to a variable, so that counts and norm are made once a text
+    held = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    return F.transform(held, lambda h: F.transform(h["r"], lambda x: F.when(h["n"] > 0, x / h["n"]).otherwise(0.0)))[0]
 
 
 def overlap_cosine(a: Column, b: Column) -> Column:
@@ -131,7 +136,9 @@ def scored_sentences(rows: DataFrame, query: str, sentence: str) -> DataFrame:
     """Adds semantic, lexical, anchor, target, shape, quality, contamination, evidence_score. ``rows`` may bring a
     column ``semantic`` of its own."""
     out = rows if "semantic" in rows.columns else rows.withColumn("semantic", overlap_cosine(F.col(query), F.col(sentence)))
-    out = out.withColumns({"semantic": clamp(F.col("semantic")), "lexical": M.lexical_question(query, sentence), "anchor": M.anchor_score(query, sentence), "target": M.target_score(query, sentence), "shape": M.answer_shape(query, sentence), "quality": X.sentence_quality(sentence)})
+    t = F.col("__terms")
+    out = out.withColumn("__terms", M.query_terms(query)).withColumns({"semantic": clamp(F.col("semantic")), "lexical": M.lexical_question(query, sentence, t), "anchor": M.anchor_score(query, sentence, t), "shape": M.answer_shape(query, sentence), "quality": X.sentence_quality(sentence)})
+    out = out.withColumn("target", M.target_score(query, sentence, F.col("anchor"), F.col("shape"))).drop("__terms")
     low, q = F.lower(sentence), F.lower(query)
     penalty = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(q.contains(topic) & M._any(low, terms), p).otherwise(0.0) for topic, terms, p in TOPIC_RULES])
     return with_evidence_score(out.withColumn("contamination", penalty))
@@ -186,11 +193,20 @@ def provenance(chosen: DataFrame, docs: DataFrame, key: str = "query_id") -> Dat
 
 
 def context_quality(c: Column | str) -> Column:
-    """1, less for short texts, many bullets and glued words, 0 to 1."""
-    t = F.coalesce(X.col(c), F.lit(""))
-    n = F.size(X.words_of(t))
-    loss = F.when(n < 20, 0.2).otherwise(0.0) + F.when(F.length(t) - F.length(F.replace(t, F.lit("•"), F.lit(""))) >= 5, 0.2).otherwise(0.0) + F.when(M._any(F.lower(t), X.GLUED_WORDS), 0.1).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - loss))
+    """1, less for each sign of damage, many bullets and great length, 0 to 1; 0 below five words."""
+    t = F.trim(F.coalesce(X.col(c), F.lit("")))
+    low, n = F.lower(t), F.size(X.words_of(t))
+    loss = sum((F.when(low.contains(p), 0.20).otherwise(0.0) for p in CONTEXT_BROKEN), F.lit(0.0))
+    loss = loss + F.when(F.length(t) - F.length(F.replace(t, F.lit("•"), F.lit(""))) >= 3, 0.20).otherwise(0.0) + F.when(n > 450, 0.10).otherwise(0.0)
+    return F.when(n < 5, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - loss))
+
+
+def context_sentences(c: Column | str, most: int = 120) -> Column:
+    """Sentences of five words or more; of many, every so many-th, so that beginning, middle and end are there."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(X.col(c), F.lit("")), r"https?://\S+|www\.\S+", " "), r"\s+", " "))
+    parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9•])|\s*•\s*"), F.trim), lambda p: F.size(X.words_of(p)) >= 5)
+    step = F.greatest(F.lit(1), F.floor(F.size(parts) / most).cast("int"))
+    return F.when(F.size(parts) <= most, parts).otherwise(F.slice(F.filter(parts, lambda p, i: i % step == 0), 1, most))
 
 
 def context_score(whole: Column, best: Column, quality: Column) -> Column:
@@ -221,7 +237,7 @@ def ranking_confidence(scores: Column) -> Column:
 
 def weighted_best(values: Column, best: float) -> Column:
     """Blend of an array's largest value and its mean; 0 if empty."""
-    v = F.transform(values, clamp)
+    v = F.transform(values, lambda x: clamp(x))
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
     return F.when(F.size(v) == 0, 0.0).otherwise(clamp(best * F.array_max(v) + (1 - best) * mean))
 

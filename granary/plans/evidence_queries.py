@@ -93,7 +93,7 @@ def evidence_score(spark, d):
     return E.state(f).select("query_id", F.col("evidence_score").alias("full_score")).join(E.state(f, "incremental").select("query_id", F.col("evidence_score").alias("late_score")), "query_id")
 
 
-@R.add("incremental_evidence", "M12", f"""WITH {BASE.replace("FROM (SELECT doc_id FROM documents), f)", "FROM documents, f WHERE source = 'retrieval')")}, {STATS.format('normalized')}, {HEALTH}, {UNC}, me AS (SELECT query_id, avg(weighted) AS m FROM w GROUP BY query_id)
+@R.add("incremental_evidence", "M12", f"""WITH {BASE.replace("FROM (SELECT doc_id FROM documents), f)", "FROM (SELECT doc_id FROM documents), f WHERE source = 'retrieval')")}, {STATS.format('normalized')}, {HEALTH}, {UNC}, me AS (SELECT query_id, avg(weighted) AS m FROM w GROUP BY query_id)
 SELECT query_id, s AS evidence_score, s >= 0.75 AS sufficient FROM (SELECT query_id, round(greatest(0, least(1, 0.6 * m + 0.25 * health + 0.15 * (1 - uncertainty))), 4)::DOUBLE AS s FROM me JOIN he USING (query_id) JOIN un USING (query_id))""")
 def incremental_evidence(spark, d):
     s = E.state(features(spark, d).filter("source = 'retrieval'"), "incremental")

@@ -30,6 +30,17 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(lead, "text").alias("text"))
 
 
+KNOWN = {"focus": F.col("focus"), "refs": F.col("refs")}
+
+
+def analysed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with what is known of the question: each question is analysed once."""
+    from granary.session import settled
+
+    told = asked(spark, d).withColumns({"focus": M.focus_phrases("query"), "refs": M.references("query"), "want": M.intents("query")}).drop("query")
+    return pairs(spark, d).join(settled(told), "query_id")
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each question with the evidence of ids near its own: an equi-join on the id that a question reaches."""
     q = asked(spark, d).withColumn("doc_id", F.explode(F.sequence(F.col("query_id") - 4, F.col("query_id") + 4)))
@@ -91,23 +102,25 @@ def analyze_query(spark, d):
 
 @R.add("lexical_match", "F31 U3")
 def lexical_match(spark, d):
-    rows = pairs(spark, d).withColumn("m", M.lexical_match("query", "text"))
+    rows = analysed_pairs(spark, d).withColumn("m", M.lexical_match("query", "text", **KNOWN))
     return rows.select("query_id", "doc_id", F.round("m.score", 6).alias("score"), "m.matched", "m.missing", "m.exact_phrase", "m.reference_match")
 
 
 @R.add("missing_focus", "U3")
 def missing_focus(spark, d):
-    return pairs(spark, d).select("query_id", "doc_id", F.explode(M.lexical_match("query", "text")["missing"]).alias("missing"))
+    return analysed_pairs(spark, d).select("query_id", "doc_id", F.explode(M.lexical_match("query", "text", **KNOWN)["missing"]).alias("missing"))
 
 
 @R.add("intent_cue", "F32")
 def intent_cue(spark, d):
-    return pairs(spark, d).select("query_id", "doc_id", F.round(M.intent_cue("query", "text"), 6).alias("cue"))
+    return analysed_pairs(spark, d).select("query_id", "doc_id", F.round(M.intent_cue("query", "text", F.col("want")), 6).alias("cue"))
 
 
 @R.add("evidence_support", "F33 F34")
 def evidence_support(spark, d):
-    return pairs(spark, d).select("query_id", "doc_id", F.round(M.evidence_support("query", "text"), 6).alias("support"), M.definition_matches("query", "text").alias("defines"))
+    rows = analysed_pairs(spark, d).withColumns({"m": M.lexical_match("query", "text", **KNOWN)["score"], "cue": M.intent_cue("query", "text", F.col("want"))})
+    support = F.least(F.lit(1.0), 0.72 * F.col("m") + 0.28 * F.col("cue"))
+    return rows.select("query_id", "doc_id", F.round(support, 6).alias("support"), M.definition_matches("query", "text", **KNOWN).alias("defines"))
 
 
 @R.add("answerability", "F35 F36")
