@@ -260,7 +260,8 @@ def shingle_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     sizes = of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocked = of.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x)))"))
-    dealt = slim.join(blocked, "doc_id").select("doc_id", "text", "cluster", pairs.alias("p")).select("doc_id", "text", "cluster", "p.i", "p.j")
+    # the plan is the same at every size: texts and clusters are dealt out by doc_id
+    dealt = slim.join(blocked.hint("merge"), "doc_id").select("doc_id", "text", "cluster", pairs.alias("p")).select("doc_id", "text", "cluster", "p.i", "p.j")
     checked = dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _verify(t, n, num, den), "a long, b long")
     links = met.filter(F.col("kind") == LINK).select("a", "b").union(checked)
     roots = components(links)
