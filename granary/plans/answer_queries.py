@@ -196,13 +196,13 @@ GR = f"(doc_id % {CONF['query_grounding'][0]}) / {CONF['query_grounding'][1]}::D
 
 
 @R.add("calibrated_confidence", "A20", f"""
-WITH v AS (SELECT doc_id, {RAW} - 0.16::DOUBLE * ((doc_id % 5) / 8.0) AS raw, {GR} AS g, doc_id % 4 > 0 AS has, doc_id % 6 > 0 AS valid, (doc_id % {CONF['target'][0]}) / {CONF['target'][1]} >= 0.5 AND (doc_id % {CONF['relevance'][0]}) / {CONF['relevance'][1]} >= 0.75 AND {GR} >= 0.55 AS boost FROM documents),
+WITH v AS (SELECT doc_id, {RAW} - 0.16::DOUBLE * ((doc_id % 5) / 7.0::DOUBLE) AS raw, {GR} AS g, doc_id % 4 > 0 AS has, doc_id % 6 > 0 AS valid, (doc_id % {CONF['target'][0]}) / {CONF['target'][1]} >= 0.5 AND (doc_id % {CONF['relevance'][0]}) / {CONF['relevance'][1]} >= 0.75 AND {GR} >= 0.55 AS boost FROM documents),
 r AS (SELECT *, raw * CASE WHEN has THEN 1.0 ELSE 0.55 END::DOUBLE * CASE WHEN valid THEN 1.0 ELSE 0.45 END::DOUBLE * CASE WHEN has AND g < 0.35 THEN 0.45 WHEN has AND g < 0.45 THEN 0.7 ELSE 1.0 END::DOUBLE + CASE WHEN has AND boost THEN 0.03 ELSE 0 END::DOUBLE AS x FROM v)
 SELECT doc_id, round(least(0.08 + 0.88 * greatest(0, least(1, x)), CASE WHEN has THEN 1.0 ELSE 0.45 END, CASE WHEN valid THEN 1.0 ELSE 0.22 END, CASE WHEN has AND g < 0.35 THEN 0.25 WHEN has AND g < 0.45 THEN 0.4 ELSE 1.0 END), 6)::DOUBLE AS confidence FROM r""")
 def calibrated_confidence(spark, d):
     i = F.col("doc_id")
     c = {k: i % m / F.lit(b) for k, (m, b) in CONF.items()}
-    return table(spark, d, "documents").select("doc_id", F.round(A.calibrated(c, i % 5 / 8.0, i % 4, i % 6 > 0), 6).alias("confidence"))
+    return table(spark, d, "documents").select("doc_id", F.round(A.calibrated(c, i % 5 / 7.0, i % 4, i % 6 > 0), 6).alias("confidence"))
 
 
 @R.add("multi_query_merge", "A21", """WITH v AS (SELECT conv_id, (turn * 7 % 11) / 10.0::DOUBLE AS a, (turn * 5 % 13) / 12.0::DOUBLE AS b, turn % 20 AS k FROM conversations)

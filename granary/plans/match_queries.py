@@ -30,7 +30,8 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(lead, "text").alias("text"))
 
 
-KNOWN = {"focus": F.col("focus"), "refs": F.col("refs")}
+def known() -> dict:
+    return {"focus": F.col("focus"), "refs": F.col("refs")}
 
 
 def analysed_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -102,13 +103,13 @@ def analyze_query(spark, d):
 
 @R.add("lexical_match", "F31 U3")
 def lexical_match(spark, d):
-    rows = analysed_pairs(spark, d).withColumn("m", M.lexical_match("query", "text", **KNOWN))
+    rows = analysed_pairs(spark, d).withColumn("m", M.lexical_match("query", "text", **known()))
     return rows.select("query_id", "doc_id", F.round("m.score", 6).alias("score"), "m.matched", "m.missing", "m.exact_phrase", "m.reference_match")
 
 
 @R.add("missing_focus", "U3")
 def missing_focus(spark, d):
-    return analysed_pairs(spark, d).select("query_id", "doc_id", F.explode(M.lexical_match("query", "text", **KNOWN)["missing"]).alias("missing"))
+    return analysed_pairs(spark, d).select("query_id", "doc_id", F.explode(M.lexical_match("query", "text", **known())["missing"]).alias("missing"))
 
 
 @R.add("intent_cue", "F32")
@@ -118,9 +119,9 @@ def intent_cue(spark, d):
 
 @R.add("evidence_support", "F33 F34")
 def evidence_support(spark, d):
-    rows = analysed_pairs(spark, d).withColumns({"m": M.lexical_match("query", "text", **KNOWN)["score"], "cue": M.intent_cue("query", "text", F.col("want"))})
+    rows = analysed_pairs(spark, d).withColumns({"m": M.lexical_match("query", "text", **known())["score"], "cue": M.intent_cue("query", "text", F.col("want"))})
     support = F.least(F.lit(1.0), 0.72 * F.col("m") + 0.28 * F.col("cue"))
-    return rows.select("query_id", "doc_id", F.round(support, 6).alias("support"), M.definition_matches("query", "text", **KNOWN).alias("defines"))
+    return rows.select("query_id", "doc_id", F.round(support, 6).alias("support"), M.definition_matches("query", "text", **known()).alias("defines"))
 
 
 @R.add("answerability", "F35 F36")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from granary.plans import answer_queries, evidence_queries, graph_queries, match_queries, retrieval_queries, text_queries
+from granary.plans import answer_queries, evidence_queries, graph_queries, match_queries, retrieval_queries, source_queries, text_queries
 from granary.plans.base import Entry, Query
 
 FLAGSHIP = "bm25_topk"
-PARTS = (text_queries, match_queries, retrieval_queries, graph_queries, evidence_queries, answer_queries)
+PARTS = (text_queries, match_queries, retrieval_queries, graph_queries, evidence_queries, answer_queries, source_queries)
 
 
 def entries() -> dict[str, Entry]:
