@@ -91,8 +91,8 @@ def match_tokens(c: Column | str) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    """A text as a pattern; blanks match any white space."""
-    return F.regexp_replace(F.regexp_replace(c, r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1"), " ", r"\\\\s+")
+    """A text as a pattern (texts to match have one blank between words)."""
+    return F.regexp_replace(c, r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1")
 
 
 def phrase_present(text: Column | str, phrase: Column | str) -> Column:

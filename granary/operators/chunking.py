@@ -93,15 +93,15 @@ def chunks(pages: DataFrame, key: str, text: str, page: str | None = None, size:
 
 def reconstructed(found: DataFrame, key: str, order: str = "chunk_index", text: str = "text", least: int = 5) -> DataFrame:
     """key, text: a document's tokens without what each chunk repeats of the one before (at least ``least`` tokens)."""
-    tokens = found.select(key, order, X.tokens(text).alias("t"))
+    tokens = found.select(key, order, X.tokens(text).alias("__t"))
     w = Window.partitionBy(key).orderBy(order)
-    before = F.lag("t").over(w)
-    n = F.least(F.size("t"), F.size("b"))
-    sizes = F.filter(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: (k >= least) & (F.slice(F.col("b"), F.size("b") - k + 1, k) == F.slice(F.col("t"), F.lit(1), k)))
-    again = F.when(F.col("b").isNull() | (n < least), 0).otherwise(F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(0)))
-    rest = tokens.withColumn("b", before).withColumn("k", again).filter(F.size("t") > F.col("k")).select(key, order, F.slice("t", F.col("k") + 1, F.size("t")).alias("r"))
-    parts = F.array_sort(F.collect_list(F.struct(order, "r")))
-    return rest.groupBy(key).agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["r"])), " ").alias("text"))
+    t, b = F.col("__t"), F.col("__b")
+    n = F.least(F.size(t), F.size(b))
+    sizes = F.filter(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: (k >= least) & (F.slice(b, F.size(b) - k + 1, k) == F.slice(t, F.lit(1), k)))
+    again = F.when(b.isNull() | (n < least), 0).otherwise(F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(0)))
+    rest = tokens.withColumn("__b", F.lag("__t").over(w)).withColumn("__k", again).filter(F.size(t) > F.col("__k")).select(key, order, F.slice(t, F.col("__k") + 1, F.size(t)).alias("__r"))
+    parts = F.array_sort(F.collect_list(F.struct(order, "__r")))
+    return rest.groupBy(key).agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["__r"])), " ").alias("text"))
 
 
 def records(found: DataFrame, key: str, domain: str, source: str) -> DataFrame:

@@ -162,9 +162,16 @@ def tuned(x: np.ndarray, y: np.ndarray, rounds: int = 1500, rate: float = 0.08,
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    w = np.exp(theta)
-    w = np.clip(w / w.mean(), 0.25, 2.5)
-    return w / w.mean()
+    return bounded(np.exp(theta))
+
+
+def bounded(w: np.ndarray, low: float = 0.25, high: float = 2.5) -> np.ndarray:
+    """Weights scaled and held within bounds so that their mean is 1; the scale is found by halving."""
+    least, most = 0.0, high / w.min()
+    for _ in range(100):
+        scale = (least + most) / 2
+        least, most = (scale, most) if np.clip(scale * w, low, high).mean() < 1 else (least, scale)
+    return np.clip(most * w, low, high)
 
 
 def tune_weights(rows: DataFrame, names: tuple[str, ...], most: int = 10_000) -> dict[str, float]:

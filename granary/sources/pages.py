@@ -30,7 +30,7 @@ def _quoted(s: str) -> str:
 
 def text_pages(found: DataFrame) -> DataFrame:
     """path, page_number (from 1), text: pages of text files, parted by form feeds; empty ones keep their number."""
-    pages = F.split(F.decode("content", F.lit("UTF-8")), "\f")
+    pages = F.split(F.decode("content", "UTF-8"), "\f")
     return found.select("path", F.posexplode(pages).alias("n", "raw")).select("path", (F.col("n") + 1).alias("page_number"), block_text("raw").alias("text"))
 
 

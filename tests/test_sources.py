@@ -26,7 +26,7 @@ def test_files_are_found_below_a_folder(spark, tmp_path):
 
 def test_blocks_are_read_by_column(spark):
     b = lambda t, x0, y0, x1, y1, kind=0: (t, float(x0), float(y0), float(x1), float(y1), 0, kind)
-    blocks = [b("right top", 320, 11, 560, 20), b("left low", 50, 60, 280, 70), b("left top", 50, 10, 280, 20), b("img", 0, 0, 90, 90, 1), b("x", 50, 90, 280, 99), b("right low", 321, 61, 560, 70)]
+    blocks = [b("right top", 330, 11, 560, 20), b("left low", 50, 60, 280, 70), b("left top", 50, 10, 280, 20), b("img", 0, 0, 90, 90, 1), b("x", 50, 90, 280, 99), b("right low", 331, 61, 560, 70)]
     out = P.reading_order(spark.createDataFrame([(600.0, blocks)], f"width double, blocks array<{P.BLOCK}>")).first()
     assert out.text == "left top\nleft low\nright top\nright low"
     assert len(P.columns_of([dict(x0=50, x1=500, y0=1, y1=2), dict(x0=70, x1=500, y0=3, y1=4)], 600)) == 1
