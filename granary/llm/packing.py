@@ -21,6 +21,7 @@ like any other. The end token is id 0.
 from __future__ import annotations
 
 import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,16 @@ SMALL, GROUPS = 3, 1000
 _PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class ChunkIds(dict):
     """A run of non-space bytes -> its ids as little-endian 32-bit numbers. The tokenizer's pre-tokens never hold
     white space and its normaliser composes no character with white space, so runs are encoded apart."""
@@ -44,6 +55,7 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
@@ -53,8 +65,12 @@ class ChunkIds(dict):
             out = self[small]
         elif len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalnum():
             out = self[chunk[:-1]] + self[chunk[-1:]]  # the mark is a pre-token of its own
+        elif (word := chunk.decode()).isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            # letters that the normaliser leaves as they are: one pre-token, so the merges alone are left to do
+            ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))]
+            out = np.array(ids, "<u4").tobytes()
         else:
-            out = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = out
         return out
