@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -11,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch; with texts of some 100 KB a batch stays in the hundreds of MB at worst.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Entries that a per-worker cache may hold before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +58,27 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """This worker's one cache. Workers go from stage to stage, so what another operator has left is dropped first."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim_memory()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim_memory() -> None:
+    """Gives freed memory of this worker back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads the bits of each element."""
     x = x ^ (x >> S33)
@@ -68,16 +92,17 @@ class WordHashes(dict):
     """bytes of a word -> 64-bit hash; starts anew when full, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
 
-def hashed_words(texts: list, cache: WordHashes, lower: bool = False):
+def hashed_words(texts: list, lower: bool = False):
     """Words (runs of anything but \\x20, \\x09-\\x0D) of every text (bytes or None), hashed.
 
     Returns the hashes of all words one after the other, the count of each text, and the words themselves."""
+    cache = held("words", WordHashes)
     words = [(t.lower() if lower else t).split() if t else [] for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     total = int(counts.sum())

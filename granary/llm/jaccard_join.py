@@ -29,19 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import WordHashes, as_bytes, components, fmix, hashed_words, rolling, settle, tuned, width
+from granary.llm.common import as_bytes, components, fmix, hashed_words, rolling, settle, tuned, width
 
 BLOCK = 1000
 _ROW = "part int, kind int, a binary, b binary, c binary"
 _OUT = "kind int, a long, b long"
 #: Kinds of edges and rows: found equal or verified, only a candidate, (doc_id, size of the set).
 LINK, CANDIDATE, SIZE = 0, 1, 2
-_CACHE = WordHashes()
+
 
 
 def sets_of(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted within a text: their hashes, and where each text's begin."""
-    h, counts, _ = hashed_words(texts, _CACHE, lower=True)
+    h, counts, _ = hashed_words(texts, lower=True)
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), counts)
     m = len(h) - n + 1

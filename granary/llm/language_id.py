@@ -17,6 +17,7 @@ the first WORDS words: a bounded sample, on the driver. Prediction takes all wor
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from granary.llm.common import extended, tuned
+from granary.llm.common import extended, held, tuned
 
 #: Fitting: documents of a language, words of a document, rounds, documents in a step, weight of the squared norm.
 DOCS, WORDS, ROUNDS, STEP, NORM = 400, 250, 6, 48, 1e-4
 SLOTS, LEXICON, LANGUAGES = 1 << 17, 300, 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -181,7 +182,7 @@ class Model:
         at = 0
         while at < len(order):
             end = at + 1
-            while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= 1_000_000:
+            while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= 400_000:
                 end += 1
             some = order[at:end]
             e = np.zeros((len(some), int(lengths[some[-1]]), len(self.labels)), np.float32)
@@ -220,12 +221,12 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text: str = "text", label:
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score. The model has a fixed size (SLOTS weights a language) and is broadcast."""
     spark = tuned(df.sparkSession)
-    held = spark.sparkContext.broadcast(model)
+    sent, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
     base = df.select(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held(f"language_id {token}", lambda: sent.value)
         for batch in batches:
             found = m.predict(batch.column(names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])

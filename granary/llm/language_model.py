@@ -28,20 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import WordHashes, as_bytes, fmix, hashed_words, settle, tuned, width
+from granary.llm.common import as_bytes, fmix, hashed_words, settle, trim_memory, tuned, width
 
 END = np.uint64(0x0E0D)
 GRID = ((0.02, 100.0), (0.05, 30.0), (0.1, 20.0), (0.2, 10.0), (0.35, 5.0), (0.6, 2.0))
 LEAST = (1, 2, 4, 8, 16, 32)
 PROBES, BITS = 4, 6
-_ROW = "part int, kind int, chunk int, a binary, b binary"
-TOKENS, PAIRS = 0, 1
-_CACHE = WordHashes()
+SLICE = 1 << 17
+_ROW = "part int, kind int, chunk int, a binary, b binary, c binary, d binary"
+#: Kinds of rows: of a chunk for a part, or the part's answers to it; sums; and from FILTER on, filters by least count.
+TOKENS, SUMS, FILTER = 0, 2, 10
 
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with the end tokens, and the count of each text."""
-    h, counts, _ = hashed_words(texts, _CACHE, lower=True)
+    h, counts, _ = hashed_words(texts, lower=True)
     return np.insert(h, np.cumsum(counts), END), counts + 1
 
 
@@ -61,27 +62,29 @@ def trains(ids: list, folds: int, held: int) -> np.ndarray:
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["part", "kind", "chunk", "a", "b"])
+    """Of (part, kind, chunk, a, b, c, d)."""
+    cols = list(zip(*rows)) if rows else [()] * 7
+    return pa.table([*(pa.array(x, pa.int32()) for x in cols[:3]), *(pa.array(x, pa.binary()) for x in cols[3:])], names=["part", "kind", "chunk", "a", "b", "c", "d"])
 
 
 def _count(table: pa.Table, parts: int, folds: int, held: int) -> pa.Table:
     tokens, counts = _tokens(as_bytes(table.column("text")))
     learn = np.repeat(trains(table.column("doc_id").to_pylist(), folds, held), counts)
     chunk = table.column("chunk")[0].as_py()
-    rows = []
     each, index = np.unique(tokens, return_inverse=True)
     n = np.bincount(index, weights=learn, minlength=len(each)).astype(np.uint32)
-    for kind, key, count in ((TOKENS, each, n), (PAIRS, *np.unique(_pairs(tokens, counts)[learn], return_counts=True))):
+    rows: dict[int, list[bytes]] = {}
+    for place, key, count in ((0, each, n), (2, *np.unique(_pairs(tokens, counts)[learn], return_counts=True))):
         if not len(key):
             continue
         part = _parts(key, parts)
         cuts = np.flatnonzero(np.diff(part)) + 1
-        for p, k, c in zip(part[np.concatenate([[0], cuts])], np.split(key, cuts), np.split(count, cuts)):
-            if kind == PAIRS:  # the part holds the high bits, and 48 bits tell pairs apart in a filter
-                k = np.ascontiguousarray((k << np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, 1:7])
-            rows.append((int(p), kind, chunk, k.tobytes(), c.astype(np.uint32).tobytes()))
-    return _rows(rows)
+        for p, k, c in zip(part[np.concatenate([[0], cuts])].tolist(), np.split(key, cuts), np.split(count, cuts)):
+            if place:  # the part holds the high bits, and 48 bits tell pairs apart in a filter
+                k = np.ascontiguousarray((k << np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, 2:])
+            rows.setdefault(p, [b""] * 4)[place : place + 2] = [k.tobytes(), c.astype(np.uint32).tobytes()]
+    trim_memory()
+    return _rows([(p, TOKENS, chunk, *blobs) for p, blobs in rows.items()])
 
 
 def _bits(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
@@ -108,40 +111,38 @@ def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers for each chunk's tokens (kind 0), filters of each least count (kind 10 + its place in LEAST) and sums of
-    N and V (kind 2)."""
-    rows: dict[int, list] = {TOKENS: [], PAIRS: []}
+    """Answers for each chunk's tokens (TOKENS), sums of N and V (SUMS), and filters of each least count (FILTER plus
+    its place in LEAST)."""
+    rows: dict[int, list] = {}
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            rows[r[1]].append(r)
-    for part in sorted({r[0] for r in rows[TOKENS]}):
-        own = [r for r in rows[TOKENS] if r[0] == part]
-        key = np.concatenate([np.frombuffer(r[3], np.uint64) for r in own])
-        n = np.concatenate([np.frombuffer(r[4], np.uint32) for r in own])
+        for part, _, chunk, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            rows.setdefault(part, []).append((chunk, *blobs))
+    for part in sorted(rows):
+        own = rows.pop(part)
+        key = np.concatenate([np.frombuffer(r[1], np.uint64) for r in own])
+        n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in own])
         each, index = np.unique(key, return_inverse=True)
         total = np.bincount(index, weights=n, minlength=len(each)).astype(np.int64)
-        at, out = 0, []
+        at, out = 0, [(part, SUMS, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), b"", b"", b"")]
         for r in own:
-            m = len(r[3]) // 8
-            out.append((part, TOKENS, r[2], total[index[at : at + m]].tobytes(), b""))
+            m = len(r[1]) // 8
+            out.append((part, TOKENS, r[0], total[index[at : at + m]].tobytes(), b"", b"", b""))
             at += m
         yield from _rows(out).to_batches()
-        yield from _rows([(part, 2, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), b"")]).to_batches()
-    rows[TOKENS].clear()
-    for part in sorted({r[0] for r in rows[PAIRS]}):
-        own = [r for r in rows[PAIRS] if r[0] == part]
         raw = np.concatenate([np.frombuffer(r[3], np.uint8).reshape(-1, 6) for r in own])
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :6] = raw
         key = key.view(np.uint64).ravel()
         n = np.concatenate([np.frombuffer(r[4], np.uint32) for r in own])
+        if not len(key):
+            continue
         order = np.argsort(key)
         key, n = key[order], n[order]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, n = key[begin], np.add.reduceat(n.astype(np.int64), begin)
         for i, least in enumerate(LEAST):
             keep = n >= least
-            yield from _rows([(part, 10 + i, -1, _filter(key[keep], n[keep]), b"")]).to_batches()
+            yield from _rows([(part, FILTER + i, -1, _filter(key[keep], n[keep]), b"", b"", b"")]).to_batches()
 
 
 class Shards:
@@ -190,51 +191,74 @@ def _score(docs: pa.Table, answers: pa.Table, held_filters, token: str, parts: i
         _SHARDS.clear()
         _SHARDS[token] = Shards(held_filters.value, parts)
     shards = _SHARDS[token]
-    begin = np.cumsum(counts) - counts
-    add = lambda x: np.add.reduceat(x, begin)
     learn = trains(ids, folds, held)
-    known = c > 0
-    single = (c + 1) / (total + kinds + 1)
-    end = c[index == np.searchsorted(each, END)][0]
-    history = np.concatenate([[end], c[:-1]])
-    pair = np.minimum(np.minimum(shards.counts(_pairs(tokens, counts)), history), np.maximum(c, 0))
-    own = np.repeat(learn, counts)
-    scores, fits = [], np.zeros(len(GRID))
-    less_h = np.maximum(history - 1, 0)
-    for g, (a, b) in enumerate(GRID):
-        lam = a * history / (history + b)
-        p = lam * np.divide(pair, history, out=np.zeros_like(pair), where=history > 0) + (1 - lam) * single
-        scores.append(add(np.log10(p)))
-        lam = a * less_h / (less_h + b)
-        less = np.divide(np.maximum(pair - 1, 0), less_h, out=np.zeros_like(pair), where=less_h > 0)
-        less_single = np.maximum(c, 1) / (total + kinds)
-        fits[g] = np.log10(lam * less + (1 - lam) * less_single)[own].sum()
+    end = c[np.cumsum(counts)[0] - 1]  # the first text's end token
+    del told, index, each
+    pairs = _pairs(tokens, counts)
+    del tokens
+    known, base, scores, fits = [], [], [], np.zeros(len(GRID))
+    # texts in slices of some SLICE tokens, so that what is held for each token stays small
+    stops = np.cumsum(counts)
+    first = 0
+    while first < len(ids):
+        at = int(stops[first] - counts[first])
+        last = max(first + 1, int(np.searchsorted(stops, at + SLICE, "right")))
+        n = slice(at, int(stops[last - 1]))
+        before = c[at - 1] if at else end
+        k, b, s, f = _score_slice(c[n], before, end, pairs[n], counts[first:last], learn[first:last], shards, total, kinds)
+        known.append(k)
+        base.append(b)
+        scores.append(s)
+        fits += f
+        first = last
     fit = np.zeros((len(ids), len(GRID)))
     fit[0] = fits
+    trim_memory()
     return pa.table(
         {
-            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~learn), "n_tokens": pa.array(counts), "n_known": pa.array(add(known.astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(add(np.log10(single))),
-            "scores": pa.array(np.stack(scores, axis=1).tolist(), pa.list_(pa.float64())), "fits": pa.array(fit.tolist(), pa.list_(pa.float64())),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~learn), "n_tokens": pa.array(counts), "n_known": pa.array(np.concatenate(known)),
+            "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(np.concatenate(base)),
+            "scores": pa.array(np.concatenate(scores).tolist(), pa.list_(pa.float64())), "fits": pa.array(fit.tolist(), pa.list_(pa.float64())),
         }
     )
 
 
+def _score_slice(c: np.ndarray, before: float, end: float, pairs: np.ndarray, counts: np.ndarray, learn: np.ndarray, shards: Shards, total: int, kinds: int):
+    """n_known, base score and scores of GRID of some texts, and the likelihoods of GRID over those that train."""
+    begin = np.cumsum(counts) - counts
+    single = (c + 1) / (total + kinds + 1)
+    history = np.concatenate([[before], c[:-1]])
+    history[begin] = end
+    pair = np.minimum(np.minimum(shards.counts(pairs), history), c)
+    own = np.repeat(learn, counts)
+    likely = np.divide(pair, history, out=np.zeros_like(pair), where=history > 0)
+    less_h = np.maximum(history[own] - 1, 0)
+    less = np.divide(np.maximum(pair[own] - 1, 0), less_h, out=np.zeros_like(less_h), where=less_h > 0)
+    less_single = np.maximum(c[own], 1) / (total + kinds)
+    scores, fits = [], np.zeros(len(GRID))
+    for g, (a, b) in enumerate(GRID):
+        lam = a * history / (history + b)
+        scores.append(np.add.reduceat(np.log10(lam * likely + (1 - lam) * single), begin))
+        lam = a * less_h / (less_h + b)
+        fits[g] = np.log10(lam * less + (1 - lam) * less_single).sum()
+    return np.add.reduceat((c > 0).astype(np.int64), begin), np.add.reduceat(np.log10(single), begin), np.stack(scores, axis=1), fits
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, max_filter_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The driver holds the filter, at most
     max_filter_bytes, and two sums."""
     spark = tuned(df.sparkSession)
     parts = width(spark)
-    chunks = 2 * parts
+    chunks = 4 * parts
     chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(chunks)).cast("int")
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), chunk.alias("chunk"))
     counted = slim.groupBy("chunk").applyInArrow(lambda t: _count(t, parts, folds, held), _ROW)
     met = settle(counted.repartition(parts, "part").mapInArrow(_meet, _ROW))
     total = kinds = 0
-    for (a,) in met.filter("kind = 2").select("a").collect():  # two numbers a part
+    for (a,) in met.filter(F.col("kind") == SUMS).select("a").collect():  # two numbers a part
         n, v = np.frombuffer(a, np.int64).tolist()
         total, kinds = total + n, kinds + v
-    sizes = dict(met.filter("kind >= 10").groupBy("kind").agg(F.sum(F.length("a"))).collect())
+    sizes = dict(met.filter(F.col("kind") >= FILTER).groupBy("kind").agg(F.sum(F.length("a"))).collect())
     kind = min((k for k, n in sizes.items() if n <= max_filter_bytes), default=None)
     filters = {p: bytes(a) for p, a in met.filter(F.col("kind") == kind).select("part", "a").collect()} if kind is not None else {}
     shards, token = spark.sparkContext.broadcast(filters), uuid.uuid4().hex

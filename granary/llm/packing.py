@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from granary.llm.common import CACHE_ENTRIES, as_bytes, settle, tuned, width
+from granary.llm.common import CACHE_ENTRIES, as_bytes, held, settle, tuned, width
 
 SMALL, GROUPS = 3, 1000
 _PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,11 +76,6 @@ class ChunkIds(dict):
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def packed_ids(text: bytes | None, ids: ChunkIds) -> bytes:
     """A document's ids with the end id 0, as little-endian 32-bit numbers."""
     return b"".join(map(ids.__getitem__, (text or b"").split())) + b"\0\0\0\0"
@@ -90,7 +85,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    ids = _chunk_ids(path)
+    ids = held(f"packing {path}", lambda: ChunkIds(path))
     for batch in batches:
         keys, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[tuple] = []

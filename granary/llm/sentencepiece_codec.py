@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.common import CACHE_ENTRIES, extended, tuned
+from granary.llm.common import CACHE_ENTRIES, extended, held, tuned
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -287,15 +287,9 @@ class Codec:
 
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(model: bytes) -> Codec:
-    """One codec for each model in a worker."""
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    """One codec in a worker."""
+    return held(f"sentencepiece {hash(model)}", lambda: Codec(model))
 
 
 def encode_documents(df: DataFrame, model_path: str, text: str = "text", ends: bool = True) -> DataFrame:
@@ -305,24 +299,24 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ends: b
     tuned(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
-    held = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model)
     new = ("ids_packed", "n_tokens", "decoded_text")
     names = [c for c in df.columns if c not in new]
     base = df.select(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(held.value)
+        c = codec(sent.value)
         head, tail = (struct.pack("<I", i) if ends and i is not None else b"" for i in (c.bos, c.eos))
         for batch in batches:
             at = 0
             texts = batch.column(names.index(text))
             while at < batch.num_rows:
-                ids, decoded, held_bytes, begin = [], [], 0, at
-                while at < batch.num_rows and held_bytes < 1 << 23:
+                ids, decoded, size, begin = [], [], 0, at
+                while at < batch.num_rows and size < 1 << 23:
                     packed = head + c.encode_packed(texts[at].as_py() or "") + tail
                     ids.append(packed)
                     decoded.append(c.decode_packed(packed))
-                    held_bytes += len(packed)
+                    size += len(packed)
                     at += 1
                 part = batch.slice(begin, at - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=[*names, *new])

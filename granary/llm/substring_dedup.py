@@ -28,13 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import as_bytes, extended, fmix, hashed_words, rolling, settle, tuned, width, WordHashes
+from granary.llm.common import as_bytes, extended, fmix, hashed_words, rolling, settle, trim_memory, tuned, width
 
 #: Words of an anchor; cells of the histogram of 4-word prefixes; suffixes that a group should hold at most.
 ANCHOR, CELLS, GROUP = 10, 4096, 1_000_000
 NULL_ID = -(2**63)
 _ROW = "part int, kind int, a binary, b binary, c binary, d binary"
-_CACHE = WordHashes()
 
 
 class _Batch:
@@ -45,7 +44,7 @@ class _Batch:
         ties = np.fromiter((xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in texts), np.int64, len(texts))
         self.order = np.lexsort((ties, ids))
         self.ids, self.ties = ids[self.order], ties[self.order]
-        self.h, self.counts, self.words = hashed_words([texts[i] for i in self.order], _CACHE)
+        self.h, self.counts, self.words = hashed_words([texts[i] for i in self.order])
         self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.counts)
         new = np.ones(len(ids), bool)
@@ -162,7 +161,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], window: int, parts: int, ch
         yield _rows([(int(used[0]) % parts, 2, used.astype(np.int32).tobytes(), counts[used].tobytes(), b"", b"")])
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Calls done(ids, texts) for documents of some block_bytes at a time."""
     ids: list = []
     texts: list = []
@@ -289,6 +288,7 @@ def _removed(docs: pa.Table, marks: pa.Table, window: int, names: list[str], id_
     counts = np.empty(n, np.int64)
     counts[b.order] = b.counts
     docs = docs.select(range(len(names)))
+    trim_memory()
     return pa.table([*docs.columns, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
