@@ -57,8 +57,7 @@ def junk_lines(spark, d):
 WITH {LINES}, e AS (SELECT doc_id, pos, trim(line) AS line, max(pos) OVER (PARTITION BY doc_id) AS last FROM lines)
 SELECT doc_id, pos, line FROM e WHERE (pos < 3 OR pos > last - 3) AND regexp_extract(lower(line), '^(?:page\s*)?(\d{{1,5}})$', 1) = CAST(doc_id AS VARCHAR)""")
 def page_number_artifacts(spark, d):
-    lines = doc_lines(spark, d)
-    return cleaning.page_number_lines(lines.union(lines.select("doc_id", "pos", "line").limit(0)), "doc_id", F.col("doc_id"))
+    return cleaning.page_number_lines(doc_lines(spark, d), "doc_id", F.col("doc_id"))
 
 
 @R.add("repair_hyphenation", "F7", rf"""
