@@ -6,14 +6,21 @@ similar sets differ in at most k = 2 r (1 - t) / (1 + t) elements. The feature d
 k + 1 + m partitions, m a sixteenth of k, and the subsets enumerated are the single partitions: at least m + 1 of
 them hold no difference, so similar sets share a signature. Empty partitions don't sign, or small sets without anything
 in common would meet: a set with at most m of them shares one that isn't empty anyway, and a set with more (a small one)
-also signs by its s - ceil(t s) + 1 least elements, of which two such similar sets share one.
+also signs by its s - ceil(t s) + 1 first elements in a fixed order, of which two such similar sets share one.
+
+Shingles that many documents share (a passage, a licence) would make unrelated documents meet wherever they fill a
+partition alone. HEAVY finds them in a bounded sample of documents, and partitions leave them out. Any fixed choice of
+them is exact: similar sets differ in at most k of the other elements too. Sizes, bands and the final check take whole
+sets; in the fixed order they come last.
 
 Sets equal element by element are one class from the start, within a batch before anything is shuffled and across
-batches where their signatures meet; only the class's smallest document goes on. Rows with one signature give a star of
-candidate links around the smallest, never all pairs. Stars joined by components are clusters. A cluster is compared in
-blocks of BLOCK documents, each pair of blocks in a task of its own, by matrix products over the shingles that the two
-blocks share; what comes out of a task is a spanning forest of the links found, not the links. Components of those
-edges are the result, and no link between different sets is lost.
+batches where their signatures meet; only the class's smallest document goes on. Rows with one signature are a
+group; groups of the same documents are one. No pair of a group is ever a row: a set's digest has a byte for each
+partition, and in blocks of BLOCK documents the digests that differ in at most k partitions, as similar sets must, are
+joined by a spanning forest. (Sets that only share a passage differ in nearly all partitions.) Components of those edges
+are clusters, compared on whole sets in blocks, each pair of blocks in a task of its own, by matrix products over the
+shingles that the blocks share; a spanning forest of the links comes out. Components of that are the result, and no link
+between different sets is lost.
 
 A document with fewer than n words is one shingle, the whole sequence; one without words, or a null text, has an empty
 set and no links. Rows that share a doc_id are one node. A null doc_id has no links and a null component. Extra columns
@@ -29,14 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import as_bytes, components, fmix, hashed_words, rolling, settle, tuned, width
+from granary.llm.common import as_bytes, components, fmix, hashed_words, rolling, settle, trim_memory, tuned, width
 
 BLOCK = 1000
+#: Documents in the sample (least by a hash of doc_id), and how many of them hold a shingle that counts as heavy.
+HEAVY = (20_000, 12)
 _ROW = "part int, kind int, a binary, b binary, c binary"
-_OUT = "kind int, a long, b long"
-#: Kinds of edges and rows: found equal or verified, only a candidate, (doc_id, size of the set).
-LINK, CANDIDATE, SIZE = 0, 1, 2
-
+_OUT = "kind int, a long, b long, v binary"
+#: Kinds of rows: links of equal sets, signatures, (doc_id, size of the set), (group of one signature, doc_id), (doc_id,
+#: band, digest).
+LINK, SIGNED, SIZE, MEMBER, DIGEST = 0, 1, 2, 3, 4
 
 
 def sets_of(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,28 +78,56 @@ def _bands(num: int, den: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
-def signatures(elements: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The signatures of one set in its own band, in the next, and of its least elements where partitions are empty."""
+def most_different(band: int, num: int, den: int) -> tuple[int, int]:
+    """How many elements two similar sets of a band differ in at most, and the number of its partitions."""
+    _, last = _bands(num, den, 1 << 10)
+    size = 1 << 10
+    while band >= len(last):
+        size *= 4
+        _, last = _bands(num, den, size)
+    k = 2 * int(last[band]) * (den - num) // (den + num)
+    return k, k + 1 + k // 16
+
+
+def signatures(elements: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None, digests: list | None = None) -> list[np.ndarray]:
+    """The signatures of one set in its own band, in the next, and of its least elements where partitions are empty. ``digests`` gets (band, a byte for each partition of the whole set, 0 for an empty one)."""
     size = len(elements)
     first, last = _bands(num, den, 1 << max(10, (size * den // num + 2).bit_length()))
     band = int(np.searchsorted(last, size))
     out, sparse = [], False
     with np.errstate(over="ignore"):
         mixed = fmix(elements + np.uint64(0xA5A5A5A5))
+        common = np.zeros(size, bool)
+        if heavy is not None and len(heavy):
+            at = np.searchsorted(heavy, elements)
+            common = heavy[np.minimum(at, len(heavy) - 1)] == elements
+        own, mixed_own = elements[~common], mixed[~common]
         for b in (band, band + 1):
             k = 2 * int(last[b]) * (den - num) // (den + num)
             spare = k // 16
             n = k + 1 + spare
-            part = ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+            part = ((mixed_own >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, e = part[order], elements[order]
-            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(fmix(e), begin)
+            part, e = part[order], own[order]
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(fmix(e), begin) if len(part) else np.zeros(0, np.uint64)
             where = part[begin]
             sparse |= n - len(begin) > spare
+            if digests is not None:
+                at, sums_all = where, sums
+                if len(own) < size:
+                    part = ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    part = part[order]
+                    first_of = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    at, sums_all = part[first_of], np.add.reduceat(fmix(elements[order]), first_of)
+                digest = np.zeros(n, np.uint8)
+                digest[at] = 1 + (fmix(sums_all) % np.uint64(255)).astype(np.uint8)
+                digests.append((b, digest.tobytes()))
             out.append(fmix(sums + fmix(where.astype(np.uint64) * np.uint64(0x10001) + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15))))
         if sparse:
-            out.append(fmix(np.sort(mixed)[: size + (-size * num // den) + 1] ^ np.uint64(0x70726566)))
+            order = np.lexsort((mixed, common))
+            out.append(fmix(mixed[order[: size + (-size * num // den) + 1]] ^ np.uint64(0x70726566)))
     return out
 
 
@@ -99,7 +136,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["part", "kind", "a", "b", "c"])
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
+def heavy_shingles(slim: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles that at least HEAVY[1] of HEAVY[0] documents hold."""
+    ids = slim.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HEAVY[0]).distinct()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, _ = sets_of(as_bytes(batch.column(0)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64))], names=["e"])
+
+    found = slim.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(each, "e long")
+    rows = found.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAVY[1]).select("e").collect()
+    return np.sort(np.array([r.e for r in rows], np.int64).view(np.uint64))
+
+
+def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Signatures dealt out by their high bits, the classes found in a batch, and the sizes of the sets."""
     ids, texts, size = [], [], 0
 
@@ -125,23 +176,28 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
             of = reps[np.cumsum(new) - 1]
             if (~new).any():
                 rows.append((int(id_[of[0]]) % parts, LINK, id_[order[~new]].tobytes(), id_[of[~new]].tobytes(), b""))
-            found, who = [], []
+            found, who, told = [], [], []
             for k, i in enumerate(reps.tolist()):
-                each = signatures(e[starts[i] : starts[i + 1]], num, den)
+                digests: list = []
+                each = signatures(e[starts[i] : starts[i + 1]], num, den, heavy, digests)
+                told += [(int(id_[i]), b, v) for b, v in digests]
                 found += each
                 # the first signature in the own band also tells equal sets of other batches
                 mark = np.full(sum(map(len, each)), k, np.int32)
-                mark[0] |= 1 << 30
+                mark[:1] |= 1 << 30
                 who.append(mark)
             sig, who_ = np.concatenate(found), np.concatenate(who)
             order = np.argsort(sig, kind="stable")
             sig, who_ = sig[order], who_[order]
             part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part)) + 1
-            table = np.stack([id_[reps].view(np.uint64), s[0, reps], s[1, reps], counts[reps].astype(np.uint64)])
+            rows.append((told[0][0] % parts, DIGEST, np.array([(i, b) for i, b, _ in told], np.int64).tobytes(), np.array([len(v) for _, _, v in told], np.int64).tobytes(), b"".join(v for _, _, v in told)))
+            with np.errstate(over="ignore"):  # equal sets have equal classes; with a signature in common, only they
+                table = np.stack([id_[reps].view(np.uint64), fmix(s[0, reps] + fmix(s[1, reps] + counts[reps].astype(np.uint64)))])
             for p, x, w in zip(part[np.concatenate([[0], cuts])], np.split(sig, cuts), np.split(who_, cuts)):
                 docs, index = np.unique(w & ~(1 << 30), return_inverse=True)
-                rows.append((int(p), CANDIDATE, x.tobytes(), (index.astype(np.int32) | (w & (1 << 30))).astype(np.int32).tobytes(), table[:, docs].tobytes()))
+                rows.append((int(p), SIGNED, x.tobytes(), (index.astype(np.int32) | (w & (1 << 30))).astype(np.int32).tobytes(), table[:, docs].tobytes()))
+        trim_memory()
         return _rows(rows)
 
     for batch in batches:
@@ -149,26 +205,30 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
             ids.append(i)
             texts.append(t)
             size += len(t or b"")
-            if size >= 12 << 20:
+            if size >= 6 << 20:
                 yield done()
                 ids, texts, size = [], [], 0
     if ids:
         yield done()
 
 
-def _out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+def _out(kind: int, a: np.ndarray, b: np.ndarray, v: list | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(v if v is not None else [None] * len(a), pa.binary())], names=["kind", "a", "b", "v"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of candidate links among rows with one signature."""
+    """Equal sets among rows with one signature, and the groups of the others."""
     sig, who, first, cols, total = [], [], [], [], 0
     for batch in batches:
         for _, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
-            if kind != CANDIDATE:
+            if kind == DIGEST:
+                key, ends = np.frombuffer(a, np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(b, np.int64))
+                yield _out(kind, key[:, 0].copy(), key[:, 1].copy(), [c[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())])
+                continue
+            if kind != SIGNED:
                 yield _out(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
                 continue
-            docs, w = np.frombuffer(c, np.uint64).reshape(4, -1), np.frombuffer(b, np.int32)
+            docs, w = np.frombuffer(c, np.uint64).reshape(2, -1), np.frombuffer(b, np.int32)
             sig.append(np.frombuffer(a, np.uint64))
             who.append((w & ~(1 << 30)) + total)
             first.append(w >> 30 > 0)
@@ -176,21 +236,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += docs.shape[1]
     if not sig:
         return
-    sig, who, first, docs = np.concatenate(sig), np.concatenate(who), np.concatenate(first), np.concatenate(cols, axis=1)
+    sig = np.concatenate(sig)
     order = np.argsort(sig, kind="stable")
-    run = np.cumsum(np.concatenate([[True], np.diff(sig[order]) != 0])) - 1
-    many = np.bincount(run)[run] > 1
-    order, run = order[many], run[many]
+    sig = sig[order]
+    same = sig[1:] == sig[:-1]
+    many = np.zeros(len(sig), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    order, sig = order[many], sig[many]
     if not len(order):
         return
+    run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
+    who, first, docs = np.concatenate(who), np.concatenate(first), np.concatenate(cols, axis=1)
+    cols.clear()
     ids = docs[0].view(np.int64)
     d = who[order]
     # equal sets in one run: the smallest document stands for them
-    o = np.lexsort((ids[d], docs[3, d], docs[2, d], docs[1, d], run))
+    o = np.lexsort((ids[d], docs[1, d], run))
     d, run, f = d[o], run[o], first[order][o]
     new = np.ones(len(d), bool)
     a, b = d[1:], d[:-1]
-    new[1:] = (run[1:] != run[:-1]) | (docs[1, a] != docs[1, b]) | (docs[2, a] != docs[2, b]) | (docs[3, a] != docs[3, b])
+    new[1:] = (run[1:] != run[:-1]) | (docs[1, a] != docs[1, b])
     rep = d[new][np.cumsum(new) - 1]
     equal = ~new & f & (ids[d] != ids[rep])
     if equal.any():
@@ -199,11 +265,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     o = np.lexsort((d, run))
     d, run = d[o], run[o]
     begin = np.concatenate([[True], run[1:] != run[:-1]])
-    pivot = d[begin][np.cumsum(begin) - 1]
-    keep = d != pivot
-    if keep.any():
-        pairs = np.unique(np.stack([d[keep], pivot[keep]]), axis=1)
-        yield _out(CANDIDATE, pairs[0].copy(), pairs[1].copy())
+    # groups of two and more by a hash of their documents: one that many signatures have is one group
+    first = np.flatnonzero(begin)
+    many = np.diff(np.append(first, len(d))) > 1
+    if many.any():
+        with np.errstate(over="ignore"):
+            group = np.add.reduceat(fmix(d.view(np.uint64) + np.uint64(0x5EED)), first).view(np.int64)
+        group, many = group[np.cumsum(begin) - 1], many[np.cumsum(begin) - 1]
+        rows = np.unique(np.stack([group[many], d[many]]), axis=1)
+        yield _out(MEMBER, rows[0].copy(), rows[1].copy())
+    trim_memory()
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -247,21 +318,56 @@ def _verify(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([int(a) for a, _ in edges], pa.int64()), "b": pa.array([int(b) for _, b in edges], pa.int64())})
 
 
+def _sift(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of groups (cluster, i, j, band) of documents with digests: a spanning forest of the pairs whose digests differ in
+    no more partitions than similar sets can."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    cluster, i, j, band, ids = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "band", "doc_id"))
+    digests = table.column("v").to_pylist()
+    order = np.lexsort((ids, band, j, i, cluster))
+    key = np.stack([cluster, i, j, band])[:, order]
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    out: set[tuple[int, int]] = set()
+    for some in np.split(order, cuts):
+        if len(some) < 2:
+            continue
+        v = np.frombuffer(b"".join(digests[x] for x in some), np.uint8).reshape(len(some), -1)
+        most, _ = most_different(int(band[some[0]]), num, den)
+        near = np.zeros((len(some), len(some)), bool)
+        for x in range(len(some)):
+            near[x] = (v != v[x]).sum(1) <= most
+        own = ids[some].tolist()
+        out |= {(own[a], own[b]) for a, b in spanning(near) if own[a] != own[b]}
+    trim_memory()
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """(cluster, doc_id) for each pair of blocks, i and j, of its cluster that a document's block is in."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x)))"))
+    return own.select("doc_id", "cluster", pairs.alias("p")).select("doc_id", "cluster", "p.i", "p.j")
+
+
 def shingle_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document with a doc_id: doc_id, n_shingles, component_id (smallest doc_id that links of Jaccard >=
     num / den reach)."""
     spark = tuned(df.sparkSession)
-    parts = width(spark)
+    parts = 2 * width(spark)
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = slim.mapInArrow(functools.partial(_sign, n=n, num=num, den=den, parts=parts), _ROW)
+    signed = slim.mapInArrow(functools.partial(_sign, n=n, num=num, den=den, parts=parts, heavy=heavy_shingles(slim, n)), _ROW)
     met = settle(signed.repartition(parts, "part").mapInArrow(_meet, _OUT))
-    cluster = components(met.filter(F.col("kind") == CANDIDATE))
-    of = cluster.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).union(cluster.select("root", "root").distinct())
-    sizes = of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = of.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x)))"))
-    # the plan is the same at every size: texts and clusters are dealt out by doc_id
-    dealt = slim.join(blocked.hint("merge"), "doc_id").select("doc_id", "text", "cluster", pairs.alias("p")).select("doc_id", "text", "cluster", "p.i", "p.j")
+    # plans are the same at every size: what is asked of documents is dealt out by doc_id
+    groups = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).distinct()
+    digests = met.filter(F.col("kind") == DIGEST).select(F.col("a").alias("doc_id"), F.col("b").alias("band"), "v").distinct()
+    told = _blocked(groups).join(digests.hint("merge"), "doc_id").repartition(parts, "cluster", "i", "j", "band")
+    near = told.mapInArrow(functools.partial(_sift, num=num, den=den), "a long, b long")
+    found = components(near)
+    members = found.select(F.col("root").alias("cluster"), F.col("node").alias("doc_id")).union(found.select("root", "root").distinct())
+    dealt = slim.join(_blocked(members).hint("merge"), "doc_id")
     checked = dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _verify(t, n, num, den), "a long, b long")
     links = met.filter(F.col("kind") == LINK).select("a", "b").union(checked)
     roots = components(links)
