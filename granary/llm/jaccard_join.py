@@ -205,7 +205,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
             ids.append(i)
             texts.append(t)
             size += len(t or b"")
-            if size >= 6 << 20:
+            if size >= 4 << 20:
                 yield done()
                 ids, texts, size = [], [], 0
     if ids:

@@ -32,6 +32,8 @@ from granary.llm.common import as_bytes, extended, fmix, hashed_words, rolling,
 
 #: Words of an anchor; cells of the histogram of 4-word prefixes; suffixes that a group should hold at most.
 ANCHOR, CELLS, GROUP = 10, 4096, 1_000_000
+#: Text that a worker looks at together.
+BLOCK_BYTES = 3 << 20
 NULL_ID = -(2**63)
 _ROW = "part int, kind int, a binary, b binary, c binary, d binary"
 
@@ -161,7 +163,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], window: int, parts: int, ch
         yield _rows([(int(used[0]) % parts, 2, used.astype(np.int32).tobytes(), counts[used].tobytes(), b"", b"")])
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Calls done(ids, texts) for documents of some block_bytes at a time."""
     ids: list = []
     texts: list = []
@@ -288,7 +290,6 @@ def _removed(docs: pa.Table, marks: pa.Table, window: int, names: list[str], id_
     counts = np.empty(n, np.int64)
     counts[b.order] = b.counts
     docs = docs.select(range(len(names)))
-    trim_memory()
     return pa.table([*docs.columns, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
@@ -317,12 +318,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         cells[cell] = n
     chunk = functools.partial(_chunk_column, chunks=chunks)
     marks = met.filter("kind = 1").select(F.col("part").alias("__chunk"), "a", "b", "c")
-    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _grow(d, m, window, parts, chunks, cells), _ROW)
+    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, "text", lambda x: _grow(x, m, window, parts, chunks, cells)), _ROW)
     cut = grown.repartition(parts, "part").mapInArrow(functools.partial(_cut, chunks=chunks), _ROW)
     gone = cut.select(F.col("part").alias("__chunk"), "a", "b", "c")
     i, t = names.index(id_col), names.index(text)
     schema = extended(base, "n_words long, n_removed long, kept_text string")
-    return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _removed(d, m, window, names, i, t), schema)
+    return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, t, lambda x: _removed(x, m, window, names, i, t)), schema)
+
+
+def _sliced(docs: pa.Table, text: str | int, work) -> pa.Table:
+    """work(documents) for some BLOCK_BYTES of a chunk at a time."""
+    sizes = np.cumsum([len(t or b"") for t in as_bytes(docs.column(text))])
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_BYTES)) + 1).tolist(), docs.num_rows]
+    found = [work(docs.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a] or [work(docs)]
+    trim_memory()
+    return pa.concat_tables(found)
 
 
 def _chunk_column(name: str, chunks: int):
