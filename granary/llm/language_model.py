@@ -4,9 +4,9 @@ Documents are dealt into chunks by doc_id. Each chunk is counted once: its disti
 counts in training documents, go to the workers by hash. There the counts of all chunks meet. Token counts are exact
 and go back to the chunks that asked. Pair counts are quantised (level q = 1 + floor(log2 count)) and each pair enters
 a Bloom filter q times, as (pair, 1) to (pair, q); what a pair's count is, is found by probing level after level until
-one is missing. The filter's shards are broadcast. Its size is known before anything is gathered: shards are built for
-the least counts 1, 2, 4, ... and the lowest is taken whose filter stays under ``max_filter_bytes``; tokens' own counts
-are never pruned.
+one is missing. The filter stays sharded by hash: each shard is built and probed where its pairs meet, and only the
+levels of the pairs that a chunk asked for go back to it, a byte each. So every training pair counts at any size, and
+nothing of the filter is gathered or broadcast.
 
 P(w | h) = l * q(h, w) / c(h) + (1 - l) * (c(w) + 1) / (N + V + 1), l = a * c(h) / (c(h) + b), with (a, b) from GRID.
 All of GRID is scored in one pass, and the pair is taken that gives the training documents, each pair of words held
@@ -20,7 +20,6 @@ train as often as they stand there.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +31,13 @@ from granary.llm.common import as_bytes, fmix, hashed_words, settle, trim_memory
 
 END = np.uint64(0x0E0D)
 GRID = ((0.02, 100.0), (0.05, 30.0), (0.1, 20.0), (0.2, 10.0), (0.35, 5.0), (0.6, 2.0))
-LEAST = (1, 2, 4, 8, 16, 32)
 PROBES, BITS = 4, 6
 SLICE = 1 << 17
+#: The count that a level stands for: none, 1, and from there on the middle of the level.
+MIDDLE = np.array([0.0, 1.0, *(1.5 * 2.0 ** (q - 1) - 0.5 for q in range(2, 49))])
 _ROW = "part int, kind int, chunk int, a binary, b binary, c binary, d binary"
-#: Kinds of rows: of a chunk for a part, or the part's answers to it; sums; and from FILTER on, filters by least count.
-TOKENS, SUMS, FILTER = 0, 2, 10
+#: Kinds of rows: of a chunk for a part, or the part's answers to it; sums.
+TOKENS, SUMS = 0, 2
 
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +71,10 @@ def _count(table: pa.Table, parts: int, folds: int, held: int) -> pa.Table:
     tokens, counts = _tokens(as_bytes(table.column("text")))
     learn = np.repeat(trains(table.column("doc_id").to_pylist(), folds, held), counts)
     chunk = table.column("chunk")[0].as_py()
-    each, index = np.unique(tokens, return_inverse=True)
-    n = np.bincount(index, weights=learn, minlength=len(each)).astype(np.uint32)
     rows: dict[int, list[bytes]] = {}
-    for place, key, count in ((0, each, n), (2, *np.unique(_pairs(tokens, counts)[learn], return_counts=True))):
-        if not len(key):
-            continue
+    for place, hashes in ((0, tokens), (2, _pairs(tokens, counts))):
+        key, index = np.unique(hashes, return_inverse=True)
+        count = np.bincount(index, weights=learn, minlength=len(key))
         part = _parts(key, parts)
         cuts = np.flatnonzero(np.diff(part)) + 1
         for p, k, c in zip(part[np.concatenate([[0], cuts])].tolist(), np.split(key, cuts), np.split(count, cuts)):
@@ -111,8 +109,8 @@ def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers for each chunk's tokens (TOKENS), sums of N and V (SUMS), and filters of each least count (FILTER plus
-    its place in LEAST)."""
+    """Answers for each chunk's tokens (counts) and pairs (levels by this part's filter), a row a chunk and part
+    (TOKENS), and sums of N and V (SUMS)."""
     rows: dict[int, list] = {}
     for batch in batches:
         for part, _, chunk, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
@@ -123,26 +121,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in own])
         each, index = np.unique(key, return_inverse=True)
         total = np.bincount(index, weights=n, minlength=len(each)).astype(np.int64)
-        at, out = 0, [(part, SUMS, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), b"", b"", b"")]
-        for r in own:
-            m = len(r[1]) // 8
-            out.append((part, TOKENS, r[0], total[index[at : at + m]].tobytes(), b"", b"", b""))
-            at += m
-        yield from _rows(out).to_batches()
+        sums = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
+        told = _split(total[index], [len(r[1]) // 8 for r in own])
         raw = np.concatenate([np.frombuffer(r[3], np.uint8).reshape(-1, 6) for r in own])
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :6] = raw
         key = key.view(np.uint64).ravel()
         n = np.concatenate([np.frombuffer(r[4], np.uint32) for r in own])
-        if not len(key):
-            continue
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n = key[begin], np.add.reduceat(n.astype(np.int64), begin)
-        for i, least in enumerate(LEAST):
-            keep = n >= least
-            yield from _rows([(part, FILTER + i, -1, _filter(key[keep], n[keep]), b"", b"", b"")]).to_batches()
+        each, index = np.unique(key, return_inverse=True)
+        total = np.bincount(index, weights=n, minlength=len(each)).astype(np.int64)
+        shard = Shards({0: _filter(each[total > 0], total[total > 0])}, 1)
+        levels = _split(shard.levels(np.zeros(len(each), np.int64), each)[index], [len(r[3]) // 6 for r in own])
+        yield from _rows([(part, SUMS, -1, sums, b"", b"", b""), *((part, TOKENS, r[0], a, b, b"", b"") for r, a, b in zip(own, told, levels))]).to_batches()
+
+
+def _split(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    return [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
 
 
 class Shards:
@@ -160,12 +154,11 @@ class Shards:
             at += len(f)
         self.bits = np.frombuffer(b"".join(whole), np.uint8)
 
-    def counts(self, pairs: np.ndarray) -> np.ndarray:
-        part = _parts(pairs, self.parts)
-        key = (pairs << np.uint64(8)) >> np.uint64(16)
+    def levels(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The highest level of each key that its part's filter holds, level after level; 0 for none."""
         size, start = self.size[part], self.start[part]
-        out = np.zeros(len(pairs))
-        at, q = np.arange(len(pairs)), 1
+        out = np.zeros(len(key), np.uint8)
+        at, q = np.arange(len(key)), 1
         with np.errstate(over="ignore"):
             while len(at) and q <= 48:
                 hit = np.ones(len(at), bool)
@@ -173,29 +166,33 @@ class Shards:
                     b = start[at] + x % size[at]
                     hit &= (self.bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 at = at[hit]
-                out[at] = 1.0 if q == 1 else 1.5 * 2.0 ** (q - 1) - 0.5  # the middle of the level
+                out[at] = q
                 q += 1
         return out
 
+    def counts(self, pairs: np.ndarray) -> np.ndarray:
+        return MIDDLE[self.levels(_parts(pairs, self.parts), (pairs << np.uint64(8)) >> np.uint64(16))]
+
 
-_SHARDS: dict[str, Shards] = {}
+def _answered(answers: pa.Table, column: str, dtype: type, n: int) -> np.ndarray:
+    """What the parts say of a chunk's n distinct tokens or pairs, in the order of their hashes."""
+    told = sorted(zip(answers.column("part").to_pylist(), answers.column(column).to_pylist()))
+    out = np.concatenate([np.frombuffer(a, dtype) for _, a in told]) if told else np.zeros(0, dtype)
+    if len(out) != n:
+        raise ValueError(f"a chunk asked for {n} counts and got {len(out)}")
+    return out
 
 
-def _score(docs: pa.Table, answers: pa.Table, held_filters, token: str, parts: int, total: int, kinds: int, folds: int, held: int) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, total: int, kinds: int, folds: int, held: int) -> pa.Table:
     tokens, counts = _tokens(as_bytes(docs.column("text")))
     ids = docs.column("doc_id").to_pylist()
     each, index = np.unique(tokens, return_inverse=True)
-    told = sorted(zip(answers.column("part").to_pylist(), answers.column("a").to_pylist()))
-    c = np.concatenate([np.frombuffer(a, np.int64) for _, a in told])[index].astype(np.float64)
-    if token not in _SHARDS:
-        _SHARDS.clear()
-        _SHARDS[token] = Shards(held_filters.value, parts)
-    shards = _SHARDS[token]
+    c = _answered(answers, "a", np.int64, len(each))[index].astype(np.float64)
+    each, index = np.unique(_pairs(tokens, counts), return_inverse=True)
+    level = _answered(answers, "b", np.uint8, len(each))[index]
     learn = trains(ids, folds, held)
     end = c[np.cumsum(counts)[0] - 1]  # the first text's end token
-    del told, index, each
-    pairs = _pairs(tokens, counts)
-    del tokens
+    del tokens, index, each
     known, base, scores, fits = [], [], [], np.zeros(len(GRID))
     # texts in slices of some SLICE tokens, so that what is held for each token stays small
     stops = np.cumsum(counts)
@@ -205,7 +202,7 @@ def _score(docs: pa.Table, answers: pa.Table, held_filters, token: str, parts: i
         last = max(first + 1, int(np.searchsorted(stops, at + SLICE, "right")))
         n = slice(at, int(stops[last - 1]))
         before = c[at - 1] if at else end
-        k, b, s, f = _score_slice(c[n], before, end, pairs[n], counts[first:last], learn[first:last], shards, total, kinds)
+        k, b, s, f = _score_slice(c[n], before, end, level[n], counts[first:last], learn[first:last], total, kinds)
         known.append(k)
         base.append(b)
         scores.append(s)
@@ -223,13 +220,13 @@ def _score(docs: pa.Table, answers: pa.Table, held_filters, token: str, parts: i
     )
 
 
-def _score_slice(c: np.ndarray, before: float, end: float, pairs: np.ndarray, counts: np.ndarray, learn: np.ndarray, shards: Shards, total: int, kinds: int):
+def _score_slice(c: np.ndarray, before: float, end: float, level: np.ndarray, counts: np.ndarray, learn: np.ndarray, total: int, kinds: int):
     """n_known, base score and scores of GRID of some texts, and the likelihoods of GRID over those that train."""
     begin = np.cumsum(counts) - counts
     single = (c + 1) / (total + kinds + 1)
     history = np.concatenate([[before], c[:-1]])
     history[begin] = end
-    pair = np.minimum(np.minimum(shards.counts(pairs), history), c)
+    pair = np.minimum(np.minimum(MIDDLE[level], history), c)
     own = np.repeat(learn, counts)
     likely = np.divide(pair, history, out=np.zeros_like(pair), where=history > 0)
     less_h = np.maximum(history[own] - 1, 0)
@@ -244,9 +241,8 @@ def _score_slice(c: np.ndarray, before: float, end: float, pairs: np.ndarray, co
     return np.add.reduceat((c > 0).astype(np.int64), begin), np.add.reduceat(np.log10(single), begin), np.stack(scores, axis=1), fits
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, max_filter_bytes: int = 96 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The driver holds the filter, at most
-    max_filter_bytes, and two sums."""
+def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The driver holds two numbers a part."""
     spark = tuned(df.sparkSession)
     parts = width(spark)
     chunks = 4 * parts
@@ -258,15 +254,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", f
     for (a,) in met.filter(F.col("kind") == SUMS).select("a").collect():  # two numbers a part
         n, v = np.frombuffer(a, np.int64).tolist()
         total, kinds = total + n, kinds + v
-    sizes = dict(met.filter(F.col("kind") >= FILTER).groupBy("kind").agg(F.sum(F.length("a"))).collect())
-    kind = min((k for k, n in sizes.items() if n <= max_filter_bytes), default=None)
-    filters = {p: bytes(a) for p, a in met.filter(F.col("kind") == kind).select("part", "a").collect()} if kind is not None else {}
-    shards, token = spark.sparkContext.broadcast(filters), uuid.uuid4().hex
-    answers = met.filter(F.col("kind") == TOKENS).select("chunk", "part", "a")
+    answers = met.filter(F.col("kind") == TOKENS).select("chunk", "part", "a", "b")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, fits array<double>"
 
     def score(d: pa.Table, a: pa.Table) -> pa.Table:
-        return _score(d, a, shards, token, parts, total, kinds, folds, held)
+        return _score(d, a, total, kinds, folds, held)
 
     scored = settle(slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema))
     fits = scored.agg(*(F.sum(F.col("fits")[g]).alias(f"g{g}") for g in range(len(GRID)))).first()

@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from granary.llm import common, fingerprints, html_extraction, jaccard_join, language_id, language_model, media, packing, sentencepiece_codec, substring_dedup, warc
@@ -356,6 +358,28 @@ def test_filters_hold_quantised_counts():
     assert (shards.counts(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.12
 
 
+def test_every_training_pair_is_answered_where_it_meets():
+    """Shards answer for pairs of any count, with no bound over all of them, also for pairs of held out texts."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40) + f" once{i} twice{i // 2}") for i in range(60)]
+    tables = [pa.table({"doc_id": [i for i, _ in some], "text": [t for _, t in some], "chunk": pa.array([k] * len(some), pa.int32())}) for k, some in enumerate((rows[:25], rows[25:]))]
+    sent = [language_model._count(t, 3, 7, 2) for t in tables]
+    met = pa.Table.from_batches(list(language_model._meet(b for t in sent for b in t.to_batches())))
+    true = Counter()
+    for t in tables:
+        tokens, counts = language_model._tokens(common.as_bytes(t.column("text")))
+        learn = np.repeat(language_model.trains(t.column("doc_id").to_pylist(), 7, 2), counts)
+        true.update(language_model._pairs(tokens, counts)[learn].tolist())
+    assert 1 in true.values() and max(true.values()) > 3
+    for k, t in enumerate(tables):
+        pairs = np.unique(language_model._pairs(*language_model._tokens(common.as_bytes(t.column("text")))))
+        got = language_model._answered(met.filter(pc.equal(met["chunk"], k)), "b", np.uint8, len(pairs))
+        want = np.array([int(math.log2(true[x])) + 1 if true[x] else 0 for x in pairs.tolist()])
+        assert (got >= want).all() and (got == want).mean() > 0.8
+        with pytest.raises(ValueError):
+            language_model._answered(met.slice(0, 0), "b", np.uint8, len(pairs))
+
+
 def test_scores_of_odd_rows(odd):
     rows = language_model.score_documents(odd).collect()
     assert len(rows) == 6 and {r.n_tokens for r in rows if r.doc_id in (2, 4)} == {1}
