@@ -254,7 +254,8 @@ def _grow(docs: pa.Table, marks: pa.Table, window: int, parts: int, chunks: int,
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
-    """Leaves of one node but the earliest, by chunk of their document."""
+    """Leaves of one node but the earliest, by chunk of their document. Rows alike that were looked at apart (in other
+    slices or tasks) send the same leaf; all of them are the earliest, or none."""
     held = []
     for batch in batches:
         passed = []
@@ -268,7 +269,8 @@ def _cut(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBa
         m, s = main[order], second[order]
         first = np.ones(len(m), bool)
         first[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
-        keep = order[~first]
+        head = order[first][np.cumsum(first) - 1]
+        keep = order[(ids[order] != ids[head]) | (ties[order] != ties[head]) | (place[order] != place[head])]
         yield _rows(_by_chunk(1, ids[keep], ties[keep], place[keep], chunks))
 
 
@@ -297,7 +299,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """Adds n_words, n_removed and kept_text: the words in no window of ``window`` words that also starts earlier,
     joined by one space. The one thing read on the driver is a histogram of at most CELLS numbers."""
     spark = tuned(df.sparkSession)
-    parts, chunks = width(spark), 2 * width(spark)
+    parts, chunks, block = width(spark), 2 * width(spark), BLOCK_BYTES
     new = ("n_words", "n_removed", "kept_text")
     names = [c for c in df.columns if c not in new]
     base = df.select(*names)
@@ -318,18 +320,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         cells[cell] = n
     chunk = functools.partial(_chunk_column, chunks=chunks)
     marks = met.filter("kind = 1").select(F.col("part").alias("__chunk"), "a", "b", "c")
-    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, "text", lambda x: _grow(x, m, window, parts, chunks, cells)), _ROW)
+    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, "text", lambda x: _grow(x, m, window, parts, chunks, cells), block), _ROW)
     cut = grown.repartition(parts, "part").mapInArrow(functools.partial(_cut, chunks=chunks), _ROW)
     gone = cut.select(F.col("part").alias("__chunk"), "a", "b", "c")
     i, t = names.index(id_col), names.index(text)
     schema = extended(base, "n_words long, n_removed long, kept_text string")
-    return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, t, lambda x: _removed(x, m, window, names, i, t)), schema)
+    return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, t, lambda x: _removed(x, m, window, names, i, t), block), schema)
 
 
-def _sliced(docs: pa.Table, text: str | int, work) -> pa.Table:
-    """work(documents) for some BLOCK_BYTES of a chunk at a time."""
+def _sliced(docs: pa.Table, text: str | int, work, block_bytes: int) -> pa.Table:
+    """work(documents) for some block_bytes of a chunk at a time."""
     sizes = np.cumsum([len(t or b"") for t in as_bytes(docs.column(text))])
-    cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_BYTES)) + 1).tolist(), docs.num_rows]
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // block_bytes)) + 1).tolist(), docs.num_rows]
     found = [work(docs.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a] or [work(docs)]
     trim_memory()
     return pa.concat_tables(found)

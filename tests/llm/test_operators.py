@@ -124,6 +124,26 @@ def test_long_prefixes_split_groups(docs, corpus, monkeypatch):
     assert got == {i: v[1] for i, v in repeats(corpus, 20).items()}
 
 
+@pytest.mark.parametrize("block", [7, 3 << 20])
+def test_rows_alike_in_other_slices_are_one_document(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(12)
+    once, twice = prose(rng, 50), " ".join([prose(rng, 25)] * 2)
+    rows = [(1, once), (1, once), (1, once), (2, prose(rng, 30)), (3, twice), (3, twice), (4, once), (4, once)]
+    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (1, 0), (2, 0), (3, 25), (3, 25), (4, 50), (4, 50)]
+
+
+def test_long_rows_alike_keep_their_words(spark):
+    """Each fills a slice of its own."""
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(10**6):06d}" for _ in range(450_000))
+    rows = [(1, long), (1, long), (2, prose(rng, 30))]
+    assert len(long) > substring_dedup.BLOCK_BYTES
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 450_000, 0), (1, 450_000, 0), (2, 30, 0)]
+
+
 def test_repeats_of_odd_rows(odd):
     rows = substring_dedup.remove_repeats(odd, window=6).collect()
     assert len(rows) == 6
