@@ -3,10 +3,12 @@
 A page is read once into blocks: runs of text between block-level tags, each with its path from the root (tag names
 with class, id and role). For each path the ratios are: characters of text per block, and punctuation marks per block.
 Both are smoothed over the page's blocks in order (Gaussian), fused by their product with the share of text outside
-links, and blocks of paths whose fused ratio passes a threshold (the mean less the deviation, scaled) are content. The
-content element is the deepest one that holds nearly all of the fused ratio; its blocks are the text, but for those
-under elements that are never content (navigation, forms, scripts, and classes that name menus, adverts, notices or
-comments).
+links, and blocks of paths whose fused ratio passes a threshold (the mean less the deviation, scaled) are content; so
+are those of paths with no more than half of their text in links, however short, for the threshold rises with the length
+of the text around them. The content element is the lowest that holds all content, or what the page itself names
+(articles, main); its blocks and the headings before the first content are the text, but for those under elements that
+are never content (navigation, forms, scripts, and classes that name menus, adverts, notices or comments). A form or
+a class counts for nothing on an element around most of the page's text, unless it names comments.
 
 A null page counts as empty and gives empty text. Broken markup is taken as it stands: unclosed elements end with their
 parent, stray end tags are skipped. Extra columns pass through; a column named like an output is replaced.
@@ -42,32 +44,37 @@ _NOT = re.compile(
     r"commentlist|disqus|replies|reply|respond|pagination|pager|copyright|legal|skip|search|form)(?:$|[\s_-])",
     re.I,
 )
+#: Classes whose elements stay out however much text they hold.
+_REMARKS = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "bad", "link", "depth", "weight", "name")
+    __slots__ = ("tag", "parent", "path", "bad", "soft", "hard", "link", "depth")
 
     def __init__(self, tag: str, parent: "_Element | None", attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.weight = 0.0
-        own, bad = "", False
+        own, bad, soft = "", tag in NEVER and tag != "form", tag == "form"
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 k = m[1].lower()
                 if k in ("class", "id"):
                     v = m[2] or m[3] or m[4] or ""
                     own += "." + v
-                    bad = bad or bool(_NOT.search(v)) and tag not in ("body", "html", "article", "main")
+                    if tag not in ("body", "html", "article", "main") and _NOT.search(v):
+                        soft = True
+                        bad = bad or bool(_REMARKS.search(v))
                 elif k == "role":
                     bad = bad or (m[2] or m[3] or m[4] or "").lower() in _ROLE
                 elif k == "hidden" or k == "aria-hidden" and (m[2] or m[3] or m[4]) == "true":
                     bad = True
         self.path = f"{parent.path}/{tag}{own}" if parent else tag
-        inside = parent is not None and parent.bad
-        header = tag == "header" and not _under(parent, ("article", "main"))
-        self.bad = inside or bad or tag in NEVER or header
+        # hard: out in any case; soft: out unless it is around most of the text
+        self.hard = parent is not None and parent.hard or bad or tag == "header" and not _under(parent, ("article", "main"))
+        self.soft = soft
+        self.bad = self.hard or soft or parent is not None and parent.bad
         self.link = parent is not None and parent.link or tag == "a"
 
 
@@ -184,8 +191,8 @@ def _between(inner: _Element, outer: _Element) -> Iterator[str]:
         inner = inner.parent
 
 
-def fused_ratios(found: list[tuple[_Element, str, int]], deviation: float = 1.0) -> np.ndarray:
-    """The smoothed and fused ratio of each block's path."""
+def fused_ratios(found: list[tuple[_Element, str, int]], deviation: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The smoothed and fused ratio of each block's path, and the share of its text outside links."""
     paths: dict[str, int] = {}
     index = np.array([paths.setdefault(e.path, len(paths)) for e, _, _ in found])
     length = np.array([len(s) for _, s, _ in found], float)
@@ -201,49 +208,87 @@ def fused_ratios(found: list[tuple[_Element, str, int]], deviation: float = 1.0)
         norm = np.convolve(np.ones(len(found)), kernel, "same")[: len(found)] if len(found) >= 5 else None
         if norm is not None:
             text_ratio, mark_ratio = (np.convolve(x, kernel, "same") / norm for x in (text_ratio, mark_ratio))
-    return text_ratio * (1 + mark_ratio) * clear
+    return text_ratio * (1 + mark_ratio) * clear, clear
 
 
-def main_text(page: str | None, slack: float = 0.9) -> str:
+def _ancestors(e: "_Element | None") -> Iterator[_Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _spare_wrappers(found: list[tuple[_Element, str, int]]) -> None:
+    """Elements that only a form or a class makes bad are not, if they hold more than half of the page's text."""
+    held: dict[_Element, int] = {}
+    total = 0
+    for e, s, _ in found:
+        if not e.hard:
+            total += len(s)
+            if e.bad:
+                for x in _ancestors(e):
+                    if x.soft:
+                        held[x] = held.get(x, 0) + len(s)
+    spared = {e for e, n in held.items() if 2 * n > total}
+    if not spared:
+        return
+    settled: set[_Element] = set()
+    for e, _, _ in found:
+        new = []
+        for x in _ancestors(e):
+            if x in settled:
+                break
+            new.append(x)
+        for x in reversed(new):  # from the root on
+            x.bad = x.hard or x.soft and x not in spared or x.parent is not None and x.parent.bad
+            settled.add(x)
+
+
+def _common(a: _Element, b: _Element) -> _Element:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
+    _spare_wrappers(found)
     good = [x for x in found if not x[0].bad]
     if not good:
         return ""
-    ratio = fused_ratios(found)
-    fused = np.array([r for r, x in zip(ratio, found) if not x[0].bad])
+    ratio, clear = fused_ratios(found)
+    own = np.array([not x[0].bad for x in found])
+    fused, clear = ratio[own], clear[own]
     size = np.array([len(s) for _, s, _ in good], float)
     threshold = max(0.0, fused.mean() - fused.std())
-    weight = np.where(fused >= threshold, fused * size, 0)
+    content = (fused > 0) & (fused >= threshold) | (clear >= 0.5)
+    if not content.any():
+        content[:] = True
+    weight = np.where(content, fused * size, 0)
     if weight.sum() <= 0:
         weight = size
-    # each element's share of the fused ratio; the deepest with nearly all of it is the content element
-    touched: list[_Element] = []
+    marked: dict[_Element, float] = {}
     for (e, _, _), w in zip(good, weight.tolist()):
-        while e is not None:
-            if not e.weight:
-                touched.append(e)
-            e.weight += w
-            e = e.parent
-    total = float(weight.sum())
-    marked = [e for e in touched if e.tag in ("article", "main")]
-    if marked and sum(e.weight for e in marked if not _under(e.parent, ("article", "main"))) >= 0.5 * total:
-        # the page names its content: every outermost article or main with a part worth naming
-        keep = {id(e) for e in marked if not _under(e.parent, ("article", "main"))}
-        inner = [e for e in marked if e.tag == "article" and e.weight >= slack * total]
-        if inner:
-            keep = {id(max(inner, key=lambda e: e.depth))}
+        outer = None
+        for x in _ancestors(e):
+            if x.tag in ("article", "main"):
+                outer = x
+        if outer is not None:
+            marked[outer] = marked.get(outer, 0.0) + w
+    if marked and sum(marked.values()) >= 0.5 * float(weight.sum()):
+        # the page names its content: every outermost article or main, whole
+        keep = set(marked)
     else:
-        held = [e for e in touched if e.weight >= slack * total and e.tag not in INLINE and e.tag not in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3")]
-        keep = {id(max(held, key=lambda e: e.depth))} if held else set()
-
-    def inside(e: _Element | None) -> bool:
-        while e is not None:
-            if id(e) in keep:
-                return True
-            e = e.parent
-        return False
-
-    return "\n\n".join(s for e, s, _ in good if not keep or inside(e))
+        whole = None
+        for (e, _, _), c in zip(good, content.tolist()):
+            if c:
+                whole = e if whole is None else _common(whole, e)
+        keep = {whole}
+    start = int(content.argmax())
+    return "\n\n".join(s for k, (e, s, _) in enumerate(good) if any(x in keep for x in _ancestors(e)) or k < start and _under(e, HEADINGS))
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

@@ -537,6 +537,21 @@ def test_main_text(name):
     assert html_extraction.main_text(page) == "\n\n".join(want)
 
 
+LONG = "".join(f"<p>{'Some words, and more of them. ' * 20}</p>" for _ in range(30))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class=content><h1>Title</h1><p>A lead.</p><div class=body>{LONG}</div></div></body>",
+    f"<body><div><h1>Title</h1><p>A lead.</p><ul><li>{LONG}</li></ul></div></body>",
+    f"<body><main><h1>Title</h1><article>{LONG}</article><article>A lead.</article></main></body>",
+    f"<body><form id=form1><h1><a>Title</a></h1><p>A lead.</p>{LONG}</form></body>",
+    f"<body><div class='has sidebar'><h1>Title</h1><p>A lead.</p>{LONG}</div><div class=sidebar>No, not this.</div></body>",
+])
+def test_short_parts_beside_a_long_text_are_kept(page):
+    got = html_extraction.main_text(page).split("\n\n")
+    assert {"Title", "A lead."} < set(got) and len(got) == 32
+
+
 def test_extraction_of_odd_pages(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "<p>" * 3000 + "deep", "y"), (4, "<" * 5000, "z"), (5, "<p>é</p>", None)], "page_id long, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in html_extraction.extract(df).collect()]
