@@ -8,7 +8,9 @@ language, so parts in another language are told apart; the document's language i
 score is that mean.
 
 Fitting takes text and language of at most DOCS documents of each language, the least by a hash of doc_id, and of each
-the first WORDS words: a bounded sample, on the driver. Prediction takes all words of all documents.
+the first WORDS words: a bounded sample, on the driver. Every language is learned; with more than SAMPLE / DOCS of them
+each has fewer documents, and with more than LANGUAGES fitting raises an error. Prediction takes all words of all
+documents.
 
 ``und`` with score 0 is given to a null text, and to one without letters. Without any labelled row every document is
 ``und``. Extra columns pass through; a column named like an output is replaced. Repeated rows are predicted alike.
@@ -30,7 +32,9 @@ from granary.llm.common import extended, held, tuned
 
 #: Fitting: documents of a language, words of a document, rounds, documents in a step, weight of the squared norm.
 DOCS, WORDS, ROUNDS, STEP, NORM = 400, 250, 6, 48, 1e-4
-SLOTS, LEXICON, LANGUAGES = 1 << 17, 300, 64
+SLOTS, LEXICON = 1 << 17, 300
+#: Languages at most (weights are SLOTS a language); documents of all languages together.
+LANGUAGES, SAMPLE = 256, 64 * DOCS
 CACHE_WORDS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -63,12 +67,10 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, move: np.ndarray
     for i in range(t - 2, -1, -1):
         y = beta[:, i + 1] * e[:, i + 1]
         x = y @ a.T
-        x = x / x.sum(1, keepdims=True)
         inside = (i < last)[:, None]
+        moves += a * ((alpha[:, i] * inside / (alpha[:, i] * x).sum(1, keepdims=True)).T @ y)
+        x = x / x.sum(1, keepdims=True)
         beta[:, i] = np.where(inside, x, 1)
-        both = alpha[:, i][:, :, None] * a[None] * y[:, None, :]
-        both /= both.sum((1, 2), keepdims=True)
-        moves += (both * inside[:, :, None]).sum(0)
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
     return post, moves
@@ -122,7 +124,7 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Of each word, from a bounded table of words met before."""
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > min(CACHE_WORDS, 64 * CACHE_WORDS // len(self.labels)):
             self.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
@@ -179,10 +181,10 @@ class Model:
         lengths = np.fromiter(map(len, chains), np.int64, len(chains))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
-        at = 0
+        at, most = 0, min(400_000, 64 * 400_000 // len(self.labels))
         while at < len(order):
             end = at + 1
-            while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= 400_000:
+            while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= most:
                 end += 1
             some = order[at:end]
             e = np.zeros((len(some), int(lengths[some[-1]]), len(self.labels)), np.float32)
@@ -198,12 +200,15 @@ class Model:
 
 
 def fit_model(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs: int = DOCS) -> Model:
-    """From at most ``docs`` labelled documents of each of at most LANGUAGES languages (by name)."""
+    """From at most ``docs`` labelled documents of each language, at most SAMPLE in all."""
     ok = F.col(label).isNotNull() & F.col(text).isNotNull()
     labelled = df.filter(ok).select(F.col(id_col).cast("long").alias("i"), F.col(label).alias("l"), F.col(text).alias("t"))
     least = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    names = [r[0] for r in labelled.select("l").distinct().orderBy("l").limit(LANGUAGES).collect()]
-    chosen = labelled.select("i", "l").filter(F.col("l").isin(names)).withColumn("k", F.row_number().over(least)).filter(F.col("k") <= docs).select("i").distinct()
+    names = [r[0] for r in labelled.select("l").distinct().limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {label}: the classifier has no room for all of them")
+    docs = min(docs, max(1, SAMPLE // max(1, len(names))))
+    chosen = labelled.select("i", "l").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= docs).select("i").distinct()
     words = F.concat_ws(" ", F.slice(F.split("t", r"\s+", 4 * WORDS), 1, WORDS))
     rows = labelled.join(F.broadcast(chosen), "i").select("l", words.alias("t")).collect()
     labels = sorted({r.l for r in rows})

@@ -497,6 +497,20 @@ def test_languages_are_told_on_held_out_texts(spark):
     assert label == "bb" and 0.4 < score < 0.9 and (none, zero, empty) == ("und", 0.0, "und")
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    names = [f"l{k:02d}" for k in range(70)]
+    letters = {t: chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k) for k, t in enumerate(names)}
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choice(letters[t]) for _ in range(4)) for _ in range(12)), t) for i, t in enumerate(names * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_model(df)
+    assert model.labels == names
+    assert [x for x, _ in model.predict([t for _, t, _ in rows[:70]])] == names
+    monkeypatch.setattr(language_id, "LANGUAGES", 69)
+    with pytest.raises(ValueError):
+        language_id.fit_model(df)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     e, move, start = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
