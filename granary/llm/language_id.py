@@ -1,6 +1,6 @@
 """Language of documents, word by word, with a linear-chain conditional random field.
 
-A document is a chain of words (runs of letters, lower case). A word's features: the word, its prefixes and suffixes
+A document is a chain of words (runs of letters, lower case; runs of over 40 letters in pieces of 40). A word's features: the word, its prefixes and suffixes
 of 1 to 4 letters, its inner pairs and triples of letters, and for each language whether the word is in that language's
 lexicon (its most frequent words in the fitted sample). Features are hashed into a table of fixed size, so the model has
 a fixed size too. Labels are languages; transitions are learned. Forward-backward gives each word's probability of each
@@ -36,11 +36,11 @@ SLOTS, LEXICON = 1 << 17, 300
 #: Languages at most (weights are SLOTS a language); documents of all languages together.
 LANGUAGES, SAMPLE = 256, 64 * DOCS
 CACHE_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]{1,40}")
 
 
 def features(word: str) -> list[int]:
-    w = f"^{word[:40]}$".encode()
+    w = f"^{word}$".encode()
     n = len(w)
     parts = [b"w" + w]
     for k in range(2, min(6, n)):

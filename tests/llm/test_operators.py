@@ -511,6 +511,14 @@ def test_all_languages_are_learned(spark, monkeypatch):
         language_id.fit_model(df)
 
 
+def test_long_runs_of_letters_count_whole(spark):
+    rng = random.Random(10)
+    rows = [(i, sentence(rng, t := ("aa", "cc")[i % 2], 40), t) for i in range(80)]
+    model = language_id.fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    run = "thering" * 6 + "schungichein" * 40
+    assert model.predict([run])[0][0] == "cc"
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     e, move, start = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
