@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +19,8 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 1000
 #: Entries that a per-worker cache may hold before it starts anew.
 CACHE_ENTRIES = 400_000
+#: Bytes of an input table for each partition of a shuffle that holds numbers for each of its words.
+PART_BYTES = 24 << 20
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -36,10 +40,41 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
+    """Partitions for work on all of df: one for ``each`` bytes of its estimated size, at least twice what the session
+    asks for. Sizes that Spark cannot estimate (tables made on the driver) count as small."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * width(df.sparkSession), -(-size // each) if size < 1 << 56 else 0)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group, one table a group, of batches that are sorted by the keys (integers)."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        key = np.stack([table.column(k).to_numpy().astype(np.int64) for k in keys])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = key[:, a].tolist()
+            if held and now != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.concat_tables(held)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary folder of this machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session in one process (tests) gets a temporary folder
+    of this machine; on a cluster that is an error, for executors would not see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = getattr(spark.sparkContext, "_granary_folder", None) or tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext._granary_folder = found
     return found
@@ -112,8 +147,6 @@ def hashed_words(texts: list, lower: bool = False):
 
 def as_bytes(column) -> list:
     """The texts of an Arrow column as UTF-8 bytes, None for null."""
-    import pyarrow as pa
-
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 

@@ -2,29 +2,38 @@
 
 A document's set holds its distinct n-word shingles. Sizes fall into bands [l, l / threshold]; sets similar enough lie
 in one band or in neighbours, so each set signs for its own band and the next. In a band whose largest size is r, two
-similar sets differ in at most k = 2 r (1 - t) / (1 + t) elements. The feature domain (shingle hashes) is cut into
-k + 1 + m partitions, m a sixteenth of k, and the subsets enumerated are the single partitions: at least m + 1 of
-them hold no difference, so similar sets share a signature. Empty partitions don't sign, or small sets without anything
-in common would meet: a set with at most m of them shares one that isn't empty anyway, and a set with more (a small one)
-also signs by its s - ceil(t s) + 1 first elements in a fixed order, of which two such similar sets share one.
+similar sets differ in at most k = 2 r (1 - t) / (1 + t) elements. The feature domain (shingle hashes) is cut on two
+levels. With FEW differences allowed in a first-level partition, ceil((k + 1) / (FEW + 1)) partitions make sure that in
+one of them similar sets differ in at most FEW elements. It is cut into SECOND parts, and every subset of SECOND - FEW
+parts is a signature of its own: similar sets agree on at least one. Bands with k < FEW use one partition and compare it
+whole.
+
+A subset without elements doesn't sign, or small sets with nothing in common would meet. A first-level partition with
+such a subset is weak. A sixteenth of partitions on top (at least one of which holds too many differences less) let sets
+with no more weak partitions than that do without; a set with more (a small one) also signs by its s - ceil(t s) + 1
+first elements in a fixed order, of which two such similar sets share one.
 
 Shingles that many documents share (a passage, a licence) would make unrelated documents meet wherever they fill a
-partition alone. HEAVY finds them in a bounded sample of documents, and partitions leave them out. Any fixed choice of
-them is exact: similar sets differ in at most k of the other elements too. Sizes, bands and the final check take whole
-sets; in the fixed order they come last.
+subset alone. HEAVY finds them in a bounded sample of documents, and partitions leave them out. Any fixed choice of them
+is exact: similar sets differ in at most k of the other elements too. Sizes, bands and the final check take whole sets;
+in the fixed order they come last.
 
 Sets equal element by element are one class from the start, within a batch before anything is shuffled and across
-batches where their signatures meet; only the class's smallest document goes on. Rows with one signature are a
-group; groups of the same documents are one. No pair of a group is ever a row: a set's digest has a byte for each
-partition, and in blocks of BLOCK documents the digests that differ in at most k partitions, as similar sets must, are
-joined by a spanning forest. (Sets that only share a passage differ in nearly all partitions.) Components of those edges
-are clusters, compared on whole sets in blocks, each pair of blocks in a task of its own, by matrix products over the
-shingles that the blocks share; a spanning forest of the links comes out. Components of that are the result, and no link
-between different sets is lost.
+batches where their signatures meet; only the class's smallest document goes on. Rows with one signature are a group,
+and its smallest document is its pivot. Groups with one pivot are merged: near copies make a group for nearly every
+subset, each with other members, but few pivots, so a document is a row for each of its pivots, not of its subsets.
+
+Merged groups, and after them clusters (components of what the first leaves), are compared in blocks of BLOCK documents,
+the group's hub (its smallest document) with each. Documents that this connects with the hub are done. Only the others
+meet the documents of all blocks, so a large group of near copies costs a row a document, not one a pair of blocks. The
+first comparison takes digests, a byte for each partition of the set, which for similar sets differ in at most k bytes;
+the second takes whole sets, by matrix products over the shingles that two documents share. No pair of documents is ever
+a row, and no link between different sets is lost.
 
 A document with fewer than n words is one shingle, the whole sequence; one without words, or a null text, has an empty
-set and no links. Rows that share a doc_id are one node. A null doc_id has no links and a null component. Extra columns
-pass through; a column named like an output is replaced.
+set and no links. Rows that share a doc_id are one node. A null doc_id has no links and a null component. Equal sets are
+tied by the smallest doc_id. An empty table gives an empty result. Extra columns pass through in jaccard_components; a
+column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -36,15 +45,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import as_bytes, components, fmix, hashed_words, rolling, settle, trim_memory, tuned, width
+from granary.llm.common import as_bytes, by_group, components, fmix, hashed_words, parts_for, rolling, settle, trim_memory, tuned
 
+#: Documents that are compared with each other in one piece of work.
 BLOCK = 1000
-#: Documents in the sample (least by a hash of doc_id), and how many of them hold a shingle that counts as heavy.
-HEAVY = (20_000, 12)
-_ROW = "part int, kind int, a binary, b binary, c binary"
+#: Differences allowed in a first-level partition; its second-level parts.
+FEW, SECOND = 1, 4
+#: Documents in the sample (least by a hash of doc_id), how many of them hold a shingle that counts as heavy, and the
+#: number of heavy shingles at most (the most frequent ones). The result is the same for any choice.
+HEAVY = (20_000, 12, 1 << 18)
+#: Text, and documents, that are signed together.
+SLICE_BYTES, SLICE_DOCS = 4 << 20, 1 << 15
+_ROW = "part int, kind int, a binary, b binary, c binary, d binary"
 _OUT = "kind int, a long, b long, v binary"
-#: Kinds of rows: links of equal sets, signatures, (doc_id, size of the set), (group of one signature, doc_id), (doc_id,
-#: band, digest).
+#: Kinds of rows: links of equal sets, signatures, (doc_id, size of the set), (pivot, doc_id), (doc_id, band, digest).
 LINK, SIGNED, SIZE, MEMBER, DIGEST = 0, 1, 2, 3, 4
 
 
@@ -78,66 +92,92 @@ def _bands(num: int, den: int, up_to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
-def most_different(band: int, num: int, den: int) -> tuple[int, int]:
-    """How many elements two similar sets of a band differ in at most, and the number of its partitions."""
-    _, last = _bands(num, den, 1 << 10)
+def most_different(band: int, num: int, den: int) -> int:
+    """How many elements two similar sets of a band differ in at most."""
     size = 1 << 10
+    _, last = _bands(num, den, size)
     while band >= len(last):
         size *= 4
         _, last = _bands(num, den, size)
-    k = 2 * int(last[band]) * (den - num) // (den + num)
-    return k, k + 1 + k // 16
-
-
-def signatures(elements: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None, digests: list | None = None) -> list[np.ndarray]:
-    """The signatures of one set in its own band, in the next, and of its least elements where partitions are empty. ``digests`` gets (band, a byte for each partition of the whole set, 0 for an empty one)."""
-    size = len(elements)
-    first, last = _bands(num, den, 1 << max(10, (size * den // num + 2).bit_length()))
-    band = int(np.searchsorted(last, size))
-    out, sparse = [], False
+    return 2 * int(last[band]) * (den - num) // (den + num)
+
+
+def _digests(mixed: np.ndarray, content: np.ndarray, owner: np.ndarray, k: np.ndarray) -> list[bytes]:
+    """A byte for each of k + 1 + k / 16 partitions of each set, 0 for an empty one."""
+    n = k + 1 + k // 16
+    end = np.cumsum(n)
+    cell = (end - n)[owner] + ((mixed >> np.uint64(32)) * n[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    total = int(end[-1]) if len(end) else 0
+    sums = np.zeros(total, np.uint64)
+    np.add.at(sums, cell, content)
+    out = np.where(np.bincount(cell, minlength=total) > 0, 1 + (fmix(sums) % np.uint64(255)), 0).astype(np.uint8)
+    return [x.tobytes() for x in np.split(out, end[:-1])] if total else []
+
+
+def signatures(elements: np.ndarray, starts: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
+    """Signatures of sets (``elements`` from ``starts`` on, none empty), the index of each one's set, and digests as
+    (index, band, bytes). A set's signatures are in its own band, in the next, and of its first elements if it is
+    sparse."""
+    sizes = np.diff(starts)
+    count = len(sizes)
+    if not count:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), []
+    _, last = _bands(num, den, 1 << max(10, (int(sizes.max()) * den // num + 2).bit_length()))
+    own_band = np.searchsorted(last, sizes)
+    owner = np.repeat(np.arange(count), sizes)
+    found, who, digests = [], [], []
+    sparse = np.zeros(count, bool)
     with np.errstate(over="ignore"):
-        mixed = fmix(elements + np.uint64(0xA5A5A5A5))
-        common = np.zeros(size, bool)
+        mixed, content = fmix(elements + np.uint64(0xA5A5A5A5)), fmix(elements)
+        common = np.zeros(len(elements), bool)
         if heavy is not None and len(heavy):
             at = np.searchsorted(heavy, elements)
             common = heavy[np.minimum(at, len(heavy) - 1)] == elements
-        own, mixed_own = elements[~common], mixed[~common]
-        for b in (band, band + 1):
-            k = 2 * int(last[b]) * (den - num) // (den + num)
-            spare = k // 16
-            n = k + 1 + spare
-            part = ((mixed_own >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, e = part[order], own[order]
-            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(fmix(e), begin) if len(part) else np.zeros(0, np.uint64)
-            where = part[begin]
-            sparse |= n - len(begin) > spare
-            if digests is not None:
-                at, sums_all = where, sums
-                if len(own) < size:
-                    part = ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    part = part[order]
-                    first_of = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    at, sums_all = part[first_of], np.add.reduceat(fmix(elements[order]), first_of)
-                digest = np.zeros(n, np.uint8)
-                digest[at] = 1 + (fmix(sums_all) % np.uint64(255)).astype(np.uint8)
-                digests.append((b, digest.tobytes()))
-            out.append(fmix(sums + fmix(where.astype(np.uint64) * np.uint64(0x10001) + np.uint64(b) * np.uint64(0x9E3779B97F4A7C15))))
-        if sparse:
-            order = np.lexsort((mixed, common))
-            out.append(fmix(mixed[order[: size + (-size * num // den) + 1]] ^ np.uint64(0x70726566)))
-    return out
+        rare = ~common
+        of, high, second, value = owner[rare], mixed[rare] >> np.uint64(32), (mixed[rare] >> np.uint64(16)).astype(np.int64) % SECOND, content[rare]
+        for step in (0, 1):
+            band = own_band + step
+            k = 2 * last[band] * (den - num) // (den + num)
+            few = np.minimum(FEW, k)
+            least = -(-(k + 1) // (few + 1))
+            spare = least // 16
+            n = least + spare
+            begin = np.cumsum(n) - n
+            row = begin[of] + (high * n[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            total = int(n.sum())
+            sums, held = np.zeros(total * SECOND, np.uint64), np.bincount(row * SECOND + second, minlength=total * SECOND).reshape(total, SECOND)
+            np.add.at(sums, row * SECOND + second, value)
+            sums = sums.reshape(total, SECOND)
+            set_of = np.repeat(np.arange(count), n)
+            place = np.arange(total) - begin[set_of]
+            name = fmix((band[set_of].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) * np.uint64(64))
+            weak = np.zeros(total, bool)
+            whole = few[set_of] == 0
+            for left in range(-1, SECOND):  # the part that is left out; none in bands that compare partitions whole
+                rows = whole if left < 0 else ~whole
+                many = held.sum(1) - (held[:, left] if left >= 0 else 0)
+                weak |= rows & (many == 0)
+                rows = np.flatnonzero(rows & (many > 0))
+                told = sums[rows].sum(1, dtype=np.uint64) - (sums[rows, left] if left >= 0 else np.uint64(0))
+                found.append(fmix(told + fmix(name[rows] + np.uint64(left + 1))))
+                who.append(set_of[rows])
+            sparse |= np.add.reduceat(weak.astype(np.int64), begin) > spare
+            digests += [(i, int(b), v) for i, (b, v) in enumerate(zip(band, _digests(mixed, content, owner, k)))]
+        for i in np.flatnonzero(sparse).tolist():
+            x, size = slice(int(starts[i]), int(starts[i + 1])), int(sizes[i])
+            order = np.lexsort((mixed[x], common[x]))
+            found.append(fmix(mixed[x][order[: size + (-size * num // den) + 1]] ^ np.uint64(0x70726566)))
+            who.append(np.full(len(found[-1]), i))
+    return np.concatenate(found), np.concatenate(who).astype(np.int32), digests
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["part", "kind", "a", "b", "c"])
+    cols = list(zip(*rows)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["part", "kind", "a", "b", "c", "d"])
 
 
 def heavy_shingles(slim: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the shingles that at least HEAVY[1] of HEAVY[0] documents hold."""
+    """Sorted hashes of the shingles that at least HEAVY[1] of HEAVY[0] documents hold, the HEAVY[2] most frequent."""
     ids = slim.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HEAVY[0]).distinct()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +186,8 @@ def heavy_shingles(slim: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64))], names=["e"])
 
     found = slim.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(each, "e long")
-    rows = found.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAVY[1]).select("e").collect()
+    often = found.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAVY[1])
+    rows = often.orderBy(F.desc("n"), "e").limit(HEAVY[2]).select("e").collect()
     return np.sort(np.array([r.e for r in rows], np.int64).view(np.uint64))
 
 
@@ -161,7 +202,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
         known = np.array([i is not None for i in ids])
         id_ = np.array([0 if i is None else i for i in ids], np.int64)
         if known.any():
-            rows.append((int(id_[0]) % parts, SIZE, id_[known].tobytes(), counts[known].tobytes(), b""))
+            rows.append((int(id_[known][0]) % parts, SIZE, id_[known].tobytes(), counts[known].tobytes(), b"", b""))
         full = np.flatnonzero((counts > 0) & known)
         if len(full):
             with np.errstate(over="ignore"):
@@ -175,28 +216,26 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
             reps = order[new]
             of = reps[np.cumsum(new) - 1]
             if (~new).any():
-                rows.append((int(id_[of[0]]) % parts, LINK, id_[order[~new]].tobytes(), id_[of[~new]].tobytes(), b""))
-            found, who, told = [], [], []
-            for k, i in enumerate(reps.tolist()):
-                digests: list = []
-                each = signatures(e[starts[i] : starts[i + 1]], num, den, heavy, digests)
-                told += [(int(id_[i]), b, v) for b, v in digests]
-                found += each
-                # the first signature in the own band also tells equal sets of other batches
-                mark = np.full(sum(map(len, each)), k, np.int32)
-                mark[:1] |= 1 << 30
-                who.append(mark)
-            sig, who_ = np.concatenate(found), np.concatenate(who)
+                rows.append((int(id_[of[0]]) % parts, LINK, id_[order[~new]].tobytes(), id_[of[~new]].tobytes(), b"", b""))
+            take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in reps.tolist()])
+            sig, who, told = signatures(e[take], np.concatenate([[0], np.cumsum(counts[reps])]), num, den, heavy)
+            del take, e
+            # a set's first signature also tells equal sets of other batches
+            first = np.zeros(len(sig), bool)
+            first[np.unique(who, return_index=True)[1]] = True
             order = np.argsort(sig, kind="stable")
-            sig, who_ = sig[order], who_[order]
+            sig, who, first = sig[order], who[order], first[order]
             part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part)) + 1
-            rows.append((told[0][0] % parts, DIGEST, np.array([(i, b) for i, b, _ in told], np.int64).tobytes(), np.array([len(v) for _, _, v in told], np.int64).tobytes(), b"".join(v for _, _, v in told)))
+            key = np.array([(id_[reps[i]], b) for i, b, _ in told], np.int64)
+            rows.append((int(key[0, 0]) % parts, DIGEST, key.tobytes(), np.array([len(v) for _, _, v in told], np.int64).tobytes(), b"".join(v for _, _, v in told), b""))
             with np.errstate(over="ignore"):  # equal sets have equal classes; with a signature in common, only they
                 table = np.stack([id_[reps].view(np.uint64), fmix(s[0, reps] + fmix(s[1, reps] + counts[reps].astype(np.uint64)))])
-            for p, x, w in zip(part[np.concatenate([[0], cuts])], np.split(sig, cuts), np.split(who_, cuts)):
-                docs, index = np.unique(w & ~(1 << 30), return_inverse=True)
-                rows.append((int(p), SIGNED, x.tobytes(), (index.astype(np.int32) | (w & (1 << 30))).astype(np.int32).tobytes(), table[:, docs].tobytes()))
+            for p, x, w, f in zip(part[np.concatenate([[0], cuts])], np.split(sig, cuts), np.split(who, cuts), np.split(first, cuts)):
+                docs, index = np.unique(w, return_inverse=True)
+                # the part holds the high bits, so 48 bits of a signature are enough; sets are numbered within the row
+                low = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6])
+                rows.append((int(p), SIGNED, low.tobytes(), index.astype(np.uint16).tobytes(), np.flatnonzero(f).astype(np.int32).tobytes(), table[:, docs].tobytes()))
         trim_memory()
         return _rows(rows)
 
@@ -205,7 +244,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts:
             ids.append(i)
             texts.append(t)
             size += len(t or b"")
-            if size >= 4 << 20:
+            if size >= SLICE_BYTES or len(ids) >= SLICE_DOCS:
                 yield done()
                 ids, texts, size = [], [], 0
     if ids:
@@ -217,10 +256,10 @@ def _out(kind: int, a: np.ndarray, b: np.ndarray, v: list | None = None) -> pa.R
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal sets among rows with one signature, and the groups of the others."""
-    sig, who, first, cols, total = [], [], [], [], 0
+    """Equal sets among rows with one signature, and (pivot, document) of the groups that are left."""
+    sig, who, first, cols, total, signed = [], [], [], [], 0, 0
     for batch in batches:
-        for _, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+        for _, kind, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns)):
             if kind == DIGEST:
                 key, ends = np.frombuffer(a, np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(b, np.int64))
                 yield _out(kind, key[:, 0].copy(), key[:, 1].copy(), [c[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())])
@@ -228,12 +267,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind != SIGNED:
                 yield _out(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
                 continue
-            docs, w = np.frombuffer(c, np.uint64).reshape(2, -1), np.frombuffer(b, np.int32)
-            sig.append(np.frombuffer(a, np.uint64))
-            who.append((w & ~(1 << 30)) + total)
-            first.append(w >> 30 > 0)
+            docs, low = np.frombuffer(d, np.uint64).reshape(2, -1), np.frombuffer(a, np.uint8).reshape(-1, 6)
+            key = np.zeros((len(low), 8), np.uint8)
+            key[:, :6] = low
+            sig.append(key.view(np.uint64).ravel())
+            who.append(np.frombuffer(b, np.uint16).astype(np.int32) + total)
+            first.append(np.frombuffer(c, np.int32).astype(np.int64) + signed)
             cols.append(docs)
             total += docs.shape[1]
+            signed += len(low)
     if not sig:
         return
     sig = np.concatenate(sig)
@@ -247,13 +289,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(order):
         return
     run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
-    who, first, docs = np.concatenate(who), np.concatenate(first), np.concatenate(cols, axis=1)
+    marked = np.zeros(signed, bool)
+    marked[np.concatenate(first)] = True
+    who, docs = np.concatenate(who), np.concatenate(cols, axis=1)
     cols.clear()
     ids = docs[0].view(np.int64)
     d = who[order]
     # equal sets in one run: the smallest document stands for them
     o = np.lexsort((ids[d], docs[1, d], run))
-    d, run, f = d[o], run[o], first[order][o]
+    d, run, f = d[o], run[o], marked[order][o]
     new = np.ones(len(d), bool)
     a, b = d[1:], d[:-1]
     new[1:] = (run[1:] != run[:-1]) | (docs[1, a] != docs[1, b])
@@ -264,15 +308,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d, run = ids[d[new]], run[new]
     o = np.lexsort((d, run))
     d, run = d[o], run[o]
-    begin = np.concatenate([[True], run[1:] != run[:-1]])
-    # groups of two and more by a hash of their documents: one that many signatures have is one group
-    first = np.flatnonzero(begin)
-    many = np.diff(np.append(first, len(d))) > 1
-    if many.any():
-        with np.errstate(over="ignore"):
-            group = np.add.reduceat(fmix(d.view(np.uint64) + np.uint64(0x5EED)), first).view(np.int64)
-        group, many = group[np.cumsum(begin) - 1], many[np.cumsum(begin) - 1]
-        rows = np.unique(np.stack([group[many], d[many]]), axis=1)
+    begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    sizes = np.diff(np.append(begin, len(d)))
+    pivot, more = np.repeat(d[begin], sizes), np.repeat(sizes > 1, sizes)
+    if more.any():
+        rows = np.unique(np.stack([pivot[more], d[more]]), axis=1)
         yield _out(MEMBER, rows[0].copy(), rows[1].copy())
     trim_memory()
 
@@ -293,9 +333,9 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
-    """A spanning forest of the true links between the documents of one or two blocks."""
-    ids = np.array(table.column("doc_id").to_pylist(), np.int64)
+def _similar(table: pa.Table, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids, and which pairs of them are linked, by whole sets."""
+    ids = table.column("doc_id").to_numpy()
     e, starts = sets_of(as_bytes(table.column("text")), n)
     counts = np.diff(starts)
     owner = np.repeat(np.arange(len(ids)), counts)
@@ -313,64 +353,77 @@ def _verify(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
         both += m @ m.T
     # counts stay below 2**24, so that they are exact
     union = counts[:, None] + counts[None, :] - both
-    linked = (den * both.astype(np.float64) >= num * union.astype(np.float64)) & (counts[:, None] > 0) & (counts[None, :] > 0)
-    edges = [(ids[a], ids[b]) for a, b in spanning(linked) if ids[a] != ids[b]]
-    return pa.table({"a": pa.array([int(a) for a, _ in edges], pa.int64()), "b": pa.array([int(b) for _, b in edges], pa.int64())})
+    return ids, (den * both.astype(np.float64) >= num * union.astype(np.float64)) & (counts[:, None] > 0) & (counts[None, :] > 0)
 
 
-def _sift(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of groups (cluster, i, j, band) of documents with digests: a spanning forest of the pairs whose digests differ in
-    no more partitions than similar sets can."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
-        return
-    cluster, i, j, band, ids = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "band", "doc_id"))
-    digests = table.column("v").to_pylist()
-    order = np.lexsort((ids, band, j, i, cluster))
-    key = np.stack([cluster, i, j, band])[:, order]
-    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-    out: set[tuple[int, int]] = set()
-    for some in np.split(order, cuts):
-        if len(some) < 2:
-            continue
+def _alike(table: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids, and which pairs of them have digests of one band that differ in no more bytes than similar sets can."""
+    ids, index = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+    band, digests = table.column("band").to_numpy(), table.column("v").to_pylist()
+    out = np.zeros((len(ids), len(ids)), bool)
+    for b in np.unique(band).tolist():
+        some = np.flatnonzero(band == b)
         v = np.frombuffer(b"".join(digests[x] for x in some), np.uint8).reshape(len(some), -1)
-        most, _ = most_different(int(band[some[0]]), num, den)
-        near = np.zeros((len(some), len(some)), bool)
+        most = most_different(b, num, den)
         for x in range(len(some)):
-            near[x] = (v != v[x]).sum(1) <= most
-        own = ids[some].tolist()
-        out |= {(own[a], own[b]) for a, b in spanning(near) if own[a] != own[b]}
+            out[index[some[x]], index[some[(v != v[x]).sum(1) <= most]]] = True
+    return ids, out
+
+
+def _forests(batches: Iterator[pa.RecordBatch], relate) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the related pairs of each group (cluster, i, j) of rows, which come sorted by it."""
+    for table in by_group(batches, ("cluster", "i", "j")):
+        ids, linked = relate(table)
+        edges = [(int(ids[a]), int(ids[b])) for a, b in spanning(linked) if ids[a] != ids[b]]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
     trim_memory()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """(cluster, doc_id) for each pair of blocks, i and j, of its cluster that a document's block is in."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes.hint("merge"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x)))"))
-    return own.select("doc_id", "cluster", pairs.alias("p")).select("doc_id", "cluster", "p.i", "p.j")
+def _compared(dealt: DataFrame, payload: DataFrame, relate, parts: int) -> DataFrame:
+    """Edges (a, b) within the groups (cluster, i, j) of dealt documents, by what payload says of each."""
+    rows = dealt.join(payload.hint("merge"), "doc_id").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    return rows.mapInArrow(functools.partial(_forests, relate=relate), "a long, b long")
+
+
+def linked_in_groups(members: DataFrame, payload: DataFrame, relate, parts: int) -> DataFrame:
+    """Edges (a, b) that connect what ``relate`` connects within groups of documents, members (cluster, doc_id) being
+    distinct: all pairs within a block, the hub (smallest document) being in each, then those that this leaves apart
+    from the hub against all blocks."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("doc_id").alias("hub"))
+    own = members.join(sizes.hint("merge"), "cluster").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    hubs = sizes.filter("blocks > 1").select("cluster", F.col("hub").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    dealt = own.select("cluster", "doc_id", "i").union(hubs).distinct().withColumn("j", F.lit(-1))
+    within = settle(_compared(dealt, payload, relate, parts))
+    large = own.filter("blocks > 1")
+    if large.isEmpty():
+        return within
+    large = settle(large)
+    roots = components(within).toDF("node", "root")
+    of_hub = roots.toDF("hub", "hub_root")
+    told = large.join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").join(of_hub.hint("merge"), "hub", "left")
+    apart = settle(told.filter(F.coalesce("root", "doc_id") != F.coalesce("hub_root", "hub")).select("cluster", "doc_id"))
+    left = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("left"))
+    all_ = large.join(left.hint("merge"), "cluster")
+    each = all_.join(apart.hint("merge"), ["cluster", "doc_id"], "left_semi")
+    wide = each.select("cluster", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("left")).cast("int").alias("j"))
+    tall = all_.select("cluster", "doc_id", "i", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("j"))
+    return within.union(_compared(wide.union(tall).distinct(), payload, relate, parts))
 
 
 def shingle_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document with a doc_id: doc_id, n_shingles, component_id (smallest doc_id that links of Jaccard >=
     num / den reach)."""
     spark = tuned(df.sparkSession)
-    parts = 2 * width(spark)
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = parts_for(slim)
     signed = slim.mapInArrow(functools.partial(_sign, n=n, num=num, den=den, parts=parts, heavy=heavy_shingles(slim, n)), _ROW)
     met = settle(signed.repartition(parts, "part").mapInArrow(_meet, _OUT))
-    # plans are the same at every size: what is asked of documents is dealt out by doc_id
     groups = met.filter(F.col("kind") == MEMBER).select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).distinct()
     digests = met.filter(F.col("kind") == DIGEST).select(F.col("a").alias("doc_id"), F.col("b").alias("band"), "v").distinct()
-    told = _blocked(groups).join(digests.hint("merge"), "doc_id").repartition(parts, "cluster", "i", "j", "band")
-    near = told.mapInArrow(functools.partial(_sift, num=num, den=den), "a long, b long")
-    found = components(near)
+    found = components(linked_in_groups(groups, digests, functools.partial(_alike, num=num, den=den), parts))
     members = found.select(F.col("root").alias("cluster"), F.col("node").alias("doc_id")).union(found.select("root", "root").distinct())
-    dealt = slim.join(_blocked(members).hint("merge"), "doc_id")
-    checked = dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: _verify(t, n, num, den), "a long, b long")
-    links = met.filter(F.col("kind") == LINK).select("a", "b").union(checked)
-    roots = components(links)
+    checked = linked_in_groups(members, slim, functools.partial(_similar, n=n, num=num, den=den), parts)
+    roots = components(met.filter(F.col("kind") == LINK).select("a", "b").union(checked))
     named = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     sized = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return sized.join(named, F.col("doc_id") == F.col("__node"), "left").select("doc_id", "n_shingles", F.coalesce("__root", "doc_id").alias("component_id"))

@@ -181,7 +181,7 @@ def linked(rows, n, num, den):
 
 @pytest.mark.parametrize("n,num,heavy,block", [(3, 90, 15, 1000), (5, 80, 15, 1000), (5, 80, 3, 7), (1, 70, 4, 1000)])
 def test_components_equal_brute_force(docs, corpus, monkeypatch, n, num, heavy, block):
-    monkeypatch.setattr(jaccard_join, "HEAVY", (3000, heavy))
+    monkeypatch.setattr(jaccard_join, "HEAVY", (3000, heavy, 40))
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.shingle_components(docs, n=n, num=num).collect()}
     assert got == linked(corpus, n, num, 100)
@@ -198,10 +198,34 @@ def test_similar_sets_share_a_signature():
                 both = len(np.intersect1d(a, b))
                 if den * both >= num * (len(a) + len(b) - both):
                     heavy = np.sort(rng.choice(a, len(a) // 2, replace=False))
-                    x, y = (set(np.concatenate(jaccard_join.signatures(s, num, den, heavy)).tolist()) for s in (a, b))
+                    x, y = (set(jaccard_join.signatures(s, np.array([0, len(s)]), num, den, heavy)[0].tolist()) for s in (a, b))
                     assert x & y
 
 
+def test_sets_are_signed_alike_together_and_alone():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 3, 8, 60, 61, 400)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sig, who, digests = jaccard_join.signatures(np.concatenate(sets), starts, 80, 100)
+    for i, s in enumerate(sets):
+        one, _, told = jaccard_join.signatures(s, np.array([0, len(s)]), 80, 100)
+        assert sorted(one.tolist()) == sorted(sig[who == i].tolist())
+        assert [x[1:] for x in told] == [x[1:] for x in digests if x[0] == i]
+
+
+def test_large_groups_are_compared_beyond_their_hub(spark, monkeypatch):
+    """A chain of near copies: hardly any is like the hub, and blocks hold a few documents each."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(24):
+        rows.append((i * 7 % 24, " ".join(words)))
+        words[i * 2], words[i * 2 + 1] = f"x{i}", f"y{i}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.shingle_components(df, n=1, num=85).collect()}
+    assert got == linked(sorted(rows), 1, 85, 100) and len({c for _, c in got.values()}) == 1
+
+
 def test_components_of_odd_rows(odd):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert len(rows) == 6
