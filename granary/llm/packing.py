@@ -14,8 +14,10 @@ The plan is a table of runs (length, first rank, sequence, offset), its size bou
 documents. Documents find their run by their rank among those of their length, which is counted by buckets of doc_id, so
 that a length that a third of all documents have is no task of its own.
 
-Null text counts as empty: only the end token. Rows that share a doc_id are packed one by one. A null doc_id is packed
-like any other. The end token is id 0.
+Null text counts as empty: only the end token. Rows that share a doc_id, equal ones too, are packed one by one. A null
+doc_id is packed like any other. Documents of one length are tied by a hash of id and text, then doc_id and piece; equal
+rows may change places. An empty table gives an empty result. The end token is id 0. Extra columns are not returned,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +49,9 @@ BYTE_LETTERS = _byte_letters()
 
 class ChunkIds(dict):
     """A run of non-space bytes -> its ids as little-endian 32-bit numbers. The tokenizer's pre-tokens never hold
-    white space and its normaliser composes no character with white space, so runs are encoded apart."""
+    white space and its normaliser composes no character with white space, so runs are encoded apart. Special tokens
+    (which stand as they are, before anything is normalised) and letters beyond ASCII are left to the tokenizer: lower
+    letters may compose where capitals do not."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,10 +64,10 @@ class ChunkIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        small = chunk.lower()  # ASCII only; the normaliser does as much
-        if small != chunk:
-            out = self[small]
-        elif len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalnum():
+        plain = chunk.isascii() and b"<|" not in chunk
+        if plain and (small := chunk.lower()) != chunk:
+            out = self[small]  # the normaliser does as much
+        elif b"<|" not in chunk and len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalnum():
             out = self[chunk[:-1]] + self[chunk[-1:]]  # the mark is a pre-token of its own
         elif (word := chunk.decode()).isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
             # letters that the normaliser leaves as they are: one pre-token, so the merges alone are left to do
