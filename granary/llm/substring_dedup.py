@@ -1,26 +1,35 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
-A suffix starts at each word. Suffixes are split into groups by a prefix: its first 4 words, or its first 8 or 16
-where a histogram of 4-word prefixes shows more suffixes than a group may hold. Each group's suffixes are sorted into
-the leaves of a tree; the tree is cut at the depth of the window (20 words), for below a node of that depth all
-suffixes have the same window. Such a node with several leaves is a repeat: its earliest leaf stays, the others' windows
-are marked. Long repeats are runs of marked windows, so what is removed are the maximal repeats, but for their first
-occurrence.
-
-Only suffixes that can repeat are dealt out. In each window the 10-word run with the least hash is its anchor. Equal
-windows have equal anchors, so a window whose anchor occurs once in the corpus has no copy (first pass, 16 bytes for
-each anchor). Before either shuffle each batch keeps one leaf, the earliest, of each node and marks its own others at
-once; a passage that a third of all documents share thus sends one row a batch, not one a document.
-
-Nodes are told apart by 96 bits of hash of their words. Order is doc_id (null first), then the text's hash, then
-place. Rows alike in doc_id and text are one document: neither is earlier, each gets the same result. Null text has no
-words. Extra columns pass through; a column named like an output is replaced.
+A passage is repeated if a window of 20 words has an earlier copy. In each window the 10-word run with the least hash is
+its anchor, so equal windows have equal anchors in the same place. The suffixes that start at anchors, with the words
+before them, hold every window: they are the leaves (a sparse suffix tree). A first pass (16 bytes for each anchor) finds
+the anchors that occur again; windows of others have no copy and are left alone.
+
+Leaves are split into groups by a prefix of variable length: the anchor's 10 words, or, where more than GROUP suffixes
+begin with those, the whole window. A leaf carries its words themselves, cut to the windows that it stands for. A task
+takes the groups of one part, whose number follows the bytes of the input: it numbers the words, sorts the suffixes
+and takes the common prefix of neighbours (LCP), which gives the inner nodes of all its subtrees: at depth d, runs of
+neighbours with an LCP of d and more. The words before the anchors are sorted likewise, backwards. A node at depth 20 - o
+forwards and one at depth o backwards are together the occurrences of one window, o words of which stand before the
+anchor; the earliest stays and the windows of the others are marked. Marked windows in a row make up a maximal repeat:
+its span is given with the document, all but the first occurrence of its words is removed.
+
+A group that outgrows HELD_WORDS words in memory is cut at once, and of its leaves only those go on that still have a
+window without an earlier copy; what is marked then is what would be marked later. Before they are shuffled, each batch
+keeps one window, the earliest, of those that are equal in it (compared word by word, 64 bits each), and marks its own
+others; a passage that a third of all documents share thus sends one row a batch, not one a document.
+
+Order is doc_id (null first), then the text's hash, then place. Rows alike in doc_id and text are one document: neither
+is earlier, each gets the same result. Null, empty and blank texts have no words. An empty table gives an empty result.
+Extra columns pass through; a column named like an output is replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +37,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import as_bytes, extended, fmix, hashed_words, rolling, settle, trim_memory, tuned, width
+from granary.llm.common import as_bytes, extended, fmix, hashed_words, parts_for, rolling, settle, trim_memory, tuned, width
 
-#: Words of an anchor; cells of the histogram of 4-word prefixes; suffixes that a group should hold at most.
-ANCHOR, CELLS, GROUP = 10, 4096, 1_000_000
+#: Words of an anchor; suffixes with one anchor from which the prefix is the whole window.
+ANCHOR, GROUP = 10, 100_000
+#: Words of leaves that a task holds before it cuts their trees.
+HELD_WORDS = 12_000_000
 #: Text that a worker looks at together.
 BLOCK_BYTES = 3 << 20
 NULL_ID = -(2**63)
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 _ROW = "part int, kind int, a binary, b binary, c binary, d binary"
+#: Kinds of rows: anchors of a batch, places of words by chunk, hashes of anchors that occur often, leaves of trees.
+ANCHORS, PLACES, HOT, LEAVES = 0, 1, 2, 3
+#: With a count: the batch has told the places of this anchor.
+PLACED = np.uint32(1 << 31)
 
 
 class _Batch:
@@ -99,31 +115,31 @@ def _chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"%d" % i) % chunks for i in each.tolist()), np.int32, len(each))[index]
 
 
-def _shipped(part_of: np.ndarray, batch: _Batch, at: np.ndarray, main: np.ndarray, second: np.ndarray) -> list[tuple]:
-    """Leaves by part. Documents stand once in a row, leaves point at them."""
+def _anchored(part_of: np.ndarray, batch: _Batch, at: np.ndarray, key: np.ndarray, count: np.ndarray) -> list[tuple]:
+    """Anchors by part: hash, occurrences in a chunk of the batch, and the place of the first. Documents stand once in a row."""
     order = np.argsort(part_of, kind="stable")
-    part_of, at, main, second = part_of[order], at[order], main[order], second[order]
+    part_of, at, key, count = part_of[order], at[order], key[order], count[order]
     cuts = np.flatnonzero(np.diff(part_of)) + 1
     out = []
-    for p, x, m, s in zip(part_of[np.concatenate([[0], cuts])] if len(at) else [], np.split(at, cuts), np.split(main, cuts), np.split(second, cuts)):
+    for p, x, k, n in zip(part_of[np.concatenate([[0], cuts])] if len(at) else [], np.split(at, cuts), np.split(key, cuts), np.split(count, cuts)):
         docs, index = np.unique(batch.doc[x], return_inverse=True)
         where = np.empty((len(x), 2), np.int32)
         where[:, 0], where[:, 1] = index, batch.place(x)
-        out.append((int(p), 0, m.tobytes(), s.tobytes(), where.tobytes(), np.stack([batch.ids[docs], batch.ties[docs]]).tobytes()))
+        out.append((int(p), ANCHORS, k.tobytes(), n.astype(np.uint32).tobytes(), where.tobytes(), np.stack([batch.ids[docs], batch.ties[docs]]).tobytes()))
     return out
 
 
 def _gathered(rows: list[tuple]):
-    """main, second, doc_id, tie, place of all leaves in some rows."""
-    main = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-    second = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+    """Hash, occurrences, doc_id, tie, place of all anchors in some rows."""
+    key = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+    count = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
     ids, ties, place = [], [], []
     for r in rows:
         where, docs = np.frombuffer(r[2], np.int32).reshape(-1, 2), np.frombuffer(r[3], np.int64).reshape(2, -1)
         ids.append(docs[0][where[:, 0]])
         ties.append(docs[1][where[:, 0]])
         place.append(where[:, 1])
-    return main, second, np.concatenate(ids), np.concatenate(ties), np.concatenate(place)
+    return key, count, np.concatenate(ids), np.concatenate(ties), np.concatenate(place)
 
 
 def _by_chunk(kind: int, ids: np.ndarray, ties: np.ndarray, place: np.ndarray, chunks: int) -> list[tuple]:
@@ -135,32 +151,25 @@ def _by_chunk(kind: int, ids: np.ndarray, ties: np.ndarray, place: np.ndarray, c
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch], window: int, parts: int, chunks: int) -> Iterator[pa.RecordBatch]:
-    """For each batch: anchors seen once (kind 0), places of anchors already seen twice (kind 1), counts of 4-word
-    prefixes (kind 2)."""
-    counts = np.zeros(CELLS, np.int64)
+    """For each batch its anchors by chunk (ANCHORS), and the places of those that it has more than once (PLACES)."""
 
     def done(ids: list, texts: list) -> pa.RecordBatch:
         b = _Batch(ids, texts, window)
         of, g = b.anchors(window)
         if not len(of):
             return _rows([])
-        p4 = rolling(b.h, min(4, window))[b.at]
-        counts[:] += np.bincount((p4 >> np.uint64(52)).astype(np.int64), minlength=CELLS)
         at = of[np.concatenate([[True], of[1:] != of[:-1]])]
-        key = g[at]
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        run = np.cumsum(first) - 1
-        many = np.bincount(run)[run] > 1
-        rep = at[first]
-        flag = many[first].astype(np.uint32)
-        return _rows(_shipped(_parts(key[first], parts), b, rep, key[first], flag) + _located(1, _chunk_of(b.ids[b.doc[at[many]]], chunks), b, at[many]))
+        key, chunk = g[at], _chunk_of(b.ids[b.doc[at]], chunks)
+        order = np.lexsort((at, chunk, key))
+        at, key, chunk = at[order], key[order], chunk[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        again = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+        # one row for each chunk that an anchor is in, for what is said of the anchor must reach all of them
+        first = np.flatnonzero(new | np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        count = np.diff(np.append(first, len(at))).astype(np.uint32) | (again[first].astype(np.uint32) << np.uint32(31))
+        return _rows(_anchored(_parts(key[first], parts), b, at[first], key[first], count) + _located(PLACES, chunk[again], b, at[again]))
 
     yield from _in_blocks(batches, done)
-    used = np.flatnonzero(counts)
-    if len(used):
-        yield _rows([(int(used[0]) % parts, 2, used.astype(np.int32).tobytes(), counts[used].tobytes(), b"", b"")])
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -181,29 +190,30 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], done, block_bytes: int = BLOCK
 
 
 def _meet_anchors(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
-    """Places of anchors that occur again in another batch, by chunk of their document; kinds 1 and 2 pass."""
-    held, counts = [], np.zeros(CELLS, np.int64)
+    """Places of anchors that occur again in another batch (PLACES), by chunk of their document, and to each chunk the
+    hashes of its anchors that occur more than GROUP times (HOT). What batches have found for themselves passes."""
+    held = []
     for batch in batches:
         passed = []
         for part, kind, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind == 0:
+            if kind == ANCHORS:
                 held.append(blobs)
-            elif kind == 1:
-                passed.append((part, 1, *blobs))
             else:
-                counts[np.frombuffer(blobs[0], np.int32)] += np.frombuffer(blobs[1], np.int64)
+                passed.append((part, kind, *blobs))
         if passed:
             yield _rows(passed)
-    used = np.flatnonzero(counts)
-    if len(used):
-        yield _rows([(0, 2, used.astype(np.int32).tobytes(), counts[used].tobytes(), b"", b"")])
     if held:
-        key, flag, ids, ties, place = _gathered(held)
+        key, count, ids, ties, place = _gathered(held)
         order = np.argsort(key, kind="stable")
-        key, flag = key[order], flag[order]
+        key, count = key[order], count[order]
         run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        keep = order[(np.bincount(run)[run] > 1) & (flag == 0)]
-        yield _rows(_by_chunk(1, ids[keep], ties[keep], place[keep], chunks))
+        hot = np.bincount(run, count & ~PLACED)[run] > GROUP
+        keep = order[(np.bincount(run)[run] > 1) & (count & PLACED == 0) & ~hot]
+        yield _rows(_by_chunk(PLACES, ids[keep], ties[keep], place[keep], chunks))
+        if hot.any():
+            told = np.unique(np.stack([_chunk_of(ids[order[hot]], chunks).astype(np.uint64), key[hot]]), axis=1)
+            cuts = np.flatnonzero(np.diff(told[0])) + 1
+            yield _rows([(int(c[0]), HOT, k.tobytes(), b"", b"", b"") for c, k in zip(np.split(told[0], cuts), np.split(told[1], cuts))])
 
 
 def _lookup(batch: _Batch, rows: list[tuple]) -> np.ndarray:
@@ -226,52 +236,160 @@ def _like_first(batch: _Batch, mark: np.ndarray) -> None:
         mark[batch.starts[i] : batch.starts[i + 1]] = mark[batch.starts[j] : batch.starts[j + 1]]
 
 
-def _grow(docs: pa.Table, marks: pa.Table, window: int, parts: int, chunks: int, cells: np.ndarray) -> pa.Table:
-    """Suffixes whose window holds an anchor that repeats: the earliest leaf of each node (kind 0), dealt out by
-    prefix, and the places of all others (kind 1)."""
+def _equal_windows(batch: _Batch, at: np.ndarray, window: int) -> np.ndarray:
+    """Whether a window of the batch (at, ascending) equals an earlier one of them, compared word by word."""
+    key = rolling(batch.h, window)[at]
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    head = order[new][np.cumsum(new) - 1]
+    later, head = order[~new], head[~new]
+    same = np.ones(len(later), bool)
+    for j in range(window):
+        same &= batch.h[at[later] + j] == batch.h[at[head] + j]
+    out = np.zeros(len(at), bool)
+    out[later[same]] = True
+    return out
+
+
+def _grow(docs: pa.Table, marks: pa.Table, window: int, parts: int, chunks: int) -> pa.Table:
+    """The leaves (LEAVES) of windows whose anchor repeats, dealt out by prefix, each with its words; and the places of
+    windows that the batch has already (PLACES)."""
     if not marks.num_rows:
         return pa.Table.from_batches([_rows([])])
     b = _Batch(docs.column("doc_id").to_pylist(), as_bytes(docs.column("text")), window)
-    of, _ = b.anchors(window)
+    of, g = b.anchors(window)
     if not len(of):
         return pa.Table.from_batches([_rows([])])
+    rows = list(zip(*(marks.column(c).to_pylist() for c in ("kind", "a", "b", "c"))))
     known = np.zeros(len(b.h), bool)
-    known[_lookup(b, list(zip(*(marks.column(c).to_pylist() for c in "abc"))))] = True
+    known[_lookup(b, [r[1:] for r in rows if r[0] == PLACES])] = True
+    hot = np.unique(np.frombuffer(b"".join(r[1] for r in rows if r[0] == HOT), np.uint64))
+    if len(hot):
+        known[of[hot[np.minimum(np.searchsorted(hot, g[of]), len(hot) - 1)] == g[of]]] = True
     _like_first(b, known)
-    at = b.at[known[of]]
-    at = at[b.same[b.doc[at]] == b.doc[at]]
-    whole = rolling(b.h, window)
-    main, second = whole[at], (fmix(whole[at] ^ rolling(b.h, max(1, window - 1))[at]) >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((at, second, main))
-    at, main, second = at[order], main[order], second[order]
-    first = np.ones(len(at), bool)
-    first[1:] = (main[1:] != main[:-1]) | (second[1:] != second[:-1])
-    later, at, main, second = at[~first], at[first], main[first], second[first]
-    p4, p8, p16 = (rolling(b.h, min(n, window))[at] for n in (4, 8, 16))
-    size = cells[(p4 >> np.uint64(52)).astype(np.int64)]
-    prefix = np.where(size <= GROUP, p4, np.where(size <= 64 * GROUP, p8, p16))
-    return pa.Table.from_batches([_rows(_shipped(_parts(fmix(prefix), parts), b, at, main, second) + _located(1, _chunk_of(b.ids[b.doc[later]], chunks), b, later))])
-
-
-def _cut(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
-    """Leaves of one node but the earliest, by chunk of their document. Rows alike that were looked at apart (in other
-    slices or tasks) send the same leaf; all of them are the earliest, or none."""
-    held = []
+    use = np.flatnonzero(known[of] & (b.same[b.doc[b.at]] == b.doc[b.at]))
+    at, of = b.at[use], of[use]
+    if not len(at):
+        return pa.Table.from_batches([_rows([])])
+    later = _equal_windows(b, at, window)
+    gone = at[later]
+    at, of = at[~later], of[~later]
+    anchor = g[of]
+    single = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(at), bool)
+    # windows in a row with one anchor are one leaf
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | single[1:]])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(at)))
+    start, before = at[first], of[first] - at[first]
+    prefix = np.where(single[first], rolling(b.h, window)[start], anchor[first])
+    part = _parts(fmix(prefix ^ np.uint64(0x7265657)), parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    flat = list(itertools.chain.from_iterable(b.words))
+    out = _located(PLACES, _chunk_of(b.ids[b.doc[gone]], chunks), b, gone)
+    for some in np.split(order, cuts):
+        lo = start[some]
+        docs_, index = np.unique(b.doc[lo], return_inverse=True)
+        leaf = np.stack([index, b.place(lo), many[some], before[some]], axis=1).astype(np.int32)
+        text = b" ".join(itertools.chain.from_iterable(flat[x:y] for x, y in zip(lo.tolist(), (lo + many[some] + window - 1).tolist())))
+        out.append((int(part[some[0]]), LEAVES, leaf.tobytes(), np.stack([b.ids[docs_], b.ties[docs_]]).tobytes(), text, b""))
+    return pa.Table.from_batches([_rows(out)])
+
+
+def _depths(columns: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sequences (columns: places by sequences) and the common prefix of neighbours in it; places that are
+    not valid end a sequence."""
+    order = np.lexsort(columns[::-1]) if len(columns) else np.arange(columns.shape[1])
+    sorted_ = columns[:, order]
+    differ = (sorted_[:, 1:] != sorted_[:, :-1]) | ~valid[:, order][:, 1:]
+    common = np.where(differ.any(axis=0), differ.argmax(axis=0), len(columns)) if len(columns) else np.zeros(max(0, columns.shape[1] - 1), np.int64)
+    return order, common
+
+
+def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """Each sequence's node at a depth: neighbours with at least so long a common prefix share one."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], common < depth]))
+    return out
+
+
+def repeated_windows(words: np.ndarray, begin: np.ndarray, many: np.ndarray, before: np.ndarray, rank: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of leaves (numbered words from ``begin`` on, ``many`` windows, ``before`` words in front of the anchor, ``rank``
+    in the order of documents and anchors): (leaf, window) of all windows that an earlier leaf has too."""
+    reach = window - min(ANCHOR, window)
+    end = begin + many + window - 1
+    anchor = begin + before
+    ahead = anchor + np.arange(window)[:, None]
+    behind = anchor - 1 - np.arange(reach)[:, None]
+    on, back = ahead < end, behind >= begin
+    order, common = _depths(np.where(on, words[np.minimum(ahead, len(words) - 1)], -1), on)
+    order_b, common_b = _depths(np.where(back, words[np.maximum(behind, 0)], -1), back)
+    leaves, windows = [], []
+    for o in range(reach + 1):
+        some = np.flatnonzero((o <= before) & (o > before - many))
+        if len(some) < 2:
+            continue
+        key = _nodes(order, common, window - o)[some] * (len(begin) + 1) + _nodes(order_b, common_b, o)[some]
+        each, index = np.unique(key, return_inverse=True)
+        least = np.full(len(each), np.iinfo(np.int64).max)
+        np.minimum.at(least, index, rank[some])
+        gone = some[rank[some] != least[index]]
+        leaves.append(gone)
+        windows.append(before[gone] - o)
+    return (np.concatenate(leaves), np.concatenate(windows)) if leaves else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+class _Forest:
+    """The leaves of a task's groups."""
+
+    def __init__(self, window: int):
+        self.window, self.number, self.words, self.leaves, self.held = window, defaultdict(itertools.count().__next__), [], [], 0
+
+    def add(self, leaf: bytes, docs: bytes, text: bytes) -> None:
+        self.words.append(np.fromiter(map(self.number.__getitem__, text.split()), np.int32))
+        x, d = np.frombuffer(leaf, np.int32).reshape(-1, 4).astype(np.int64), np.frombuffer(docs, np.int64).reshape(2, -1)
+        self.leaves.append(np.stack([d[0][x[:, 0]], d[1][x[:, 0]], x[:, 1], x[:, 2], x[:, 3]]))
+        self.held += len(self.words[-1])
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc_id, tie and place of the windows that an earlier leaf has too; leaves without another window go."""
+        words, leaves = np.concatenate(self.words), np.concatenate(self.leaves, axis=1)
+        ids, ties, place, many, before = leaves
+        length = many + self.window - 1
+        begin = np.cumsum(length) - length
+        order = np.lexsort((place + before, ties, ids))
+        new = np.zeros(len(order), np.int64)
+        a, b = order[1:], order[:-1]
+        new[1:] = (ids[a] != ids[b]) | (ties[a] != ties[b]) | (place[a] + before[a] != place[b] + before[b])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        leaf, at = repeated_windows(words, begin, many, before, rank, self.window)
+        keep = np.bincount(leaf, minlength=len(ids)) < many
+        self.words, self.leaves = [words[np.repeat(keep, length)]], [leaves[:, keep]]
+        self.held = len(self.words[0])
+        return ids[leaf], ties[leaf], (place[leaf] + at).astype(np.int32)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int, chunks: int) -> Iterator[pa.RecordBatch]:
+    """Places of windows that an earlier leaf has too, by chunk of their document. Rows alike that were looked at apart
+    (in other slices or tasks) send the same leaf; all of them are the earliest, or none."""
+    forest, most = _Forest(window), HELD_WORDS
     for batch in batches:
         passed = []
         for part, kind, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            held.append(blobs) if kind == 0 else passed.append((part, kind, *blobs))
+            if kind != LEAVES:
+                passed.append((part, kind, *blobs))
+                continue
+            forest.add(*blobs[:3])
+            if forest.held > most:
+                yield _rows(_by_chunk(PLACES, *forest.cut(), chunks))
+                most = max(HELD_WORDS, 2 * forest.held)
         if passed:
             yield _rows(passed)
-    if held:
-        main, second, ids, ties, place = _gathered(held)
-        order = np.lexsort((place, ties, ids, second, main))
-        m, s = main[order], second[order]
-        first = np.ones(len(m), bool)
-        first[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
-        head = order[first][np.cumsum(first) - 1]
-        keep = order[(ids[order] != ids[head]) | (ties[order] != ties[head]) | (place[order] != place[head])]
-        yield _rows(_by_chunk(1, ids[keep], ties[keep], place[keep], chunks))
+    if forest.leaves:
+        yield _rows(_by_chunk(PLACES, *forest.cut(), chunks))
+    del forest
+    trim_memory()
 
 
 def _removed(docs: pa.Table, marks: pa.Table, window: int, names: list[str], id_at: int, text_at: int) -> pa.Table:
@@ -284,47 +402,39 @@ def _removed(docs: pa.Table, marks: pa.Table, window: int, names: list[str], id_
     gone = np.cumsum(gone)[:-1] > 0
     _like_first(b, gone)
     n = len(texts)
-    kept, removed = [b""] * n, [0] * n
+    kept, removed, spans = [b""] * n, [0] * n, [[]] * n
     for k, i in enumerate(b.order.tolist()):
         mask = gone[b.starts[k] : b.starts[k + 1]]
         removed[i] = int(mask.sum())
+        if removed[i]:
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+            spans[i] = [{"start": x, "length": y - x} for x, y in edge.reshape(-1, 2).tolist()]
         kept[i] = b" ".join(w for w, g in zip(b.words[k], mask.tolist()) if not g) if removed[i] else b" ".join(b.words[k])
     counts = np.empty(n, np.int64)
     counts[b.order] = b.counts
     docs = docs.select(range(len(names)))
-    return pa.table([*docs.columns, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+    return pa.table([*docs.columns, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, _SPANS)], names=[*names, "n_words", "n_removed", "kept_text", "repeats"])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Adds n_words, n_removed and kept_text: the words in no window of ``window`` words that also starts earlier,
-    joined by one space. The one thing read on the driver is a histogram of at most CELLS numbers."""
-    spark = tuned(df.sparkSession)
-    parts, chunks, block = width(spark), 2 * width(spark), BLOCK_BYTES
-    new = ("n_words", "n_removed", "kept_text")
+    """Adds n_words, n_removed, kept_text (the words in no window of ``window`` words that also starts earlier, joined
+    by one space) and repeats (the spans of words that are removed). Nothing is read on the driver."""
+    tuned(df.sparkSession)
+    new = ("n_words", "n_removed", "kept_text", "repeats")
     names = [c for c in df.columns if c not in new]
     base = df.select(*names)
     slim = base.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts, block = max(width(df.sparkSession), parts_for(slim) // 2), BLOCK_BYTES
+    chunks = 2 * parts
     found = slim.mapInArrow(functools.partial(_find_anchors, window=window, parts=parts, chunks=chunks), _ROW)
     met = settle(found.repartition(parts, "part").mapInArrow(functools.partial(_meet_anchors, chunks=chunks), _ROW))
-    cells = np.zeros(CELLS, np.int64)
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
-
-    for cell, n in met.filter("kind = 2").select("a", "b").mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        cells[cell] = n
     chunk = functools.partial(_chunk_column, chunks=chunks)
-    marks = met.filter("kind = 1").select(F.col("part").alias("__chunk"), "a", "b", "c")
-    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, "text", lambda x: _grow(x, m, window, parts, chunks, cells), block), _ROW)
-    cut = grown.repartition(parts, "part").mapInArrow(functools.partial(_cut, chunks=chunks), _ROW)
+    marks = met.select(F.col("part").alias("__chunk"), "kind", "a", "b", "c")
+    grown = slim.withColumn("__chunk", chunk("doc_id")).groupBy("__chunk").cogroup(marks.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, "text", lambda x: _grow(x, m, window, parts, chunks), block), _ROW)
+    cut = grown.repartition(parts, "part").mapInArrow(functools.partial(_cut, window=window, chunks=chunks), _ROW)
     gone = cut.select(F.col("part").alias("__chunk"), "a", "b", "c")
     i, t = names.index(id_col), names.index(text)
-    schema = extended(base, "n_words long, n_removed long, kept_text string")
+    schema = extended(base, "n_words long, n_removed long, kept_text string, repeats array<struct<start: int, length: int>>")
     return base.withColumn("__chunk", chunk(id_col)).groupBy("__chunk").cogroup(gone.groupBy("__chunk")).applyInArrow(lambda d, m: _sliced(d, t, lambda x: _removed(x, m, window, names, i, t), block), schema)
 
 
