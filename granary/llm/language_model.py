@@ -2,19 +2,24 @@
 
 Documents are dealt into chunks by doc_id. Each chunk is counted once: its distinct tokens and word pairs, with their
 counts in training documents, go to the workers by hash. There the counts of all chunks meet. Token counts are exact
-and go back to the chunks that asked. Pair counts are quantised (level q = 1 + floor(log2 count)) and each pair enters
-a Bloom filter q times, as (pair, 1) to (pair, q); what a pair's count is, is found by probing level after level until
-one is missing. The filter stays sharded by hash: each shard is built and probed where its pairs meet, and only the
-levels of the pairs that a chunk asked for go back to it, a byte each. So every training pair counts at any size, and
-nothing of the filter is gathered or broadcast.
-
-P(w | h) = l * q(h, w) / c(h) + (1 - l) * (c(w) + 1) / (N + V + 1), l = a * c(h) / (c(h) + b), with (a, b) from GRID.
-All of GRID is scored in one pass, and the pair is taken that gives the training documents, each pair of words held
+and go back to the chunks that asked. Pair counts are quantised: level q stands for counts from STEPS[q - 1] up to the
+next of STEPS, two steps a doubling. Each pair enters a Bloom filter q times, as (pair, 1) to (pair, q); what a pair's
+count is, is found by probing level after level until one is missing. An exact check follows, where the counts still
+are: an answer above the true level (a false positive) is lowered to it, so that probabilities stay probabilities. The
+filter stays sharded by hash: each shard is built and probed where its pairs meet, and only the levels of the pairs that
+a chunk asked for go back to it, a byte each. So every training pair counts at any size, and nothing of the filter is
+gathered or broadcast.
+
+P(w | h) = l * max(q(h, w) - d, 0) / c(h) + (1 - l) * (c(w) + 1) / (N + V + 1), l = a * c(h) / (c(h) + b), with
+(a, b, d) from GRID and q(h, w) the lower end of the pair's level. The sum of q(h, w) over all w is at most c(h), and
+that of the other term is 1 with one unknown word, so P sums to at most 1 for each h: scores are log-probabilities.
+All of GRID is scored in one pass, and the entry is taken that gives the training documents, each pair of words held
 out of its own count, the best likelihood over the whole corpus.
 
 Tokens: ASCII lower-case words, then one end token a text. Null text counts as empty. A document trains unless
-crc32(doc_id) mod ``folds`` is ``held``; a null doc_id has the text ''. Extra columns are not returned. Repeated rows
-train as often as they stand there.
+crc32(doc_id) mod ``folds`` is ``held``; a null doc_id has the text ''. Extra columns are not returned, whatever their
+names. Repeated rows, and rows that share a doc_id, train as often as they stand there, and each has a row in the result.
+Without training documents every text has the scores of N = V = 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import as_bytes, fmix, hashed_words, settle, trim_memory, tuned, width
+from granary.llm.common import as_bytes, fmix, hashed_words, parts_for, settle, trim_memory, tuned, width
 
 END = np.uint64(0x0E0D)
-GRID = ((0.02, 100.0), (0.05, 30.0), (0.1, 20.0), (0.2, 10.0), (0.35, 5.0), (0.6, 2.0))
+#: a, b and d of the formula.
+GRID = ((0.02, 100.0, 0.0), (0.1, 20.0, 0.0), (0.35, 5.0, 0.0), (0.6, 2.0, 0.0), (0.3, 5.0, 0.75), (0.6, 2.0, 0.75), (0.9, 0.5, 0.75), (0.98, 0.1, 0.9))
 PROBES, BITS = 4, 6
 SLICE = 1 << 17
-#: The count that a level stands for: none, 1, and from there on the middle of the level.
-MIDDLE = np.array([0.0, 1.0, *(1.5 * 2.0 ** (q - 1) - 0.5 for q in range(2, 49))])
+#: The least count of each level: powers of two and, from 3 on, the numbers half-way between them.
+STEPS = np.array([1, *(x for k in range(1, 48) for x in (2**k, 3 * 2 ** (k - 1)))], np.int64)
+#: The count that a level stands for.
+LOWER = np.array([0, *STEPS], np.float64)
 _ROW = "part int, kind int, chunk int, a binary, b binary, c binary, d binary"
 #: Kinds of rows: of a chunk for a part, or the part's answers to it; sums.
 TOKENS, SUMS = 0, 2
@@ -93,7 +101,8 @@ def _bits(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    """Of counts; 0 for none."""
+    return np.searchsorted(STEPS, counts, "right")
 
 
 def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -131,7 +140,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, index = np.unique(key, return_inverse=True)
         total = np.bincount(index, weights=n, minlength=len(each)).astype(np.int64)
         shard = Shards({0: _filter(each[total > 0], total[total > 0])}, 1)
-        levels = _split(shard.levels(np.zeros(len(each), np.int64), each)[index], [len(r[3]) // 6 for r in own])
+        found = np.minimum(shard.levels(np.zeros(len(each), np.int64), each), _levels(total)).astype(np.uint8)
+        levels = _split(found[index], [len(r[3]) // 6 for r in own])
         yield from _rows([(part, SUMS, -1, sums, b"", b"", b""), *((part, TOKENS, r[0], a, b, b"", b"") for r, a, b in zip(own, told, levels))]).to_batches()
 
 
@@ -160,7 +170,7 @@ class Shards:
         out = np.zeros(len(key), np.uint8)
         at, q = np.arange(len(key)), 1
         with np.errstate(over="ignore"):
-            while len(at) and q <= 48:
+            while len(at) and q <= len(STEPS):
                 hit = np.ones(len(at), bool)
                 for x in _bits(key[at], q):
                     b = start[at] + x % size[at]
@@ -171,7 +181,7 @@ class Shards:
         return out
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
-        return MIDDLE[self.levels(_parts(pairs, self.parts), (pairs << np.uint64(8)) >> np.uint64(16))]
+        return LOWER[self.levels(_parts(pairs, self.parts), (pairs << np.uint64(8)) >> np.uint64(16))]
 
 
 def _answered(answers: pa.Table, column: str, dtype: type, n: int) -> np.ndarray:
@@ -220,34 +230,36 @@ def _score(docs: pa.Table, answers: pa.Table, total: int, kinds: int, folds: int
     )
 
 
+def probability(pair: np.ndarray, history: np.ndarray, single: np.ndarray, a: float, b: float, d: float) -> np.ndarray:
+    """P(w | h) from the quantised count of (h, w), the count of h and the unigram probability of w."""
+    lam = a * history / (history + b)
+    return lam * np.maximum(pair - d, 0) / np.maximum(history, 1) + (1 - lam) * single
+
+
 def _score_slice(c: np.ndarray, before: float, end: float, level: np.ndarray, counts: np.ndarray, learn: np.ndarray, total: int, kinds: int):
     """n_known, base score and scores of GRID of some texts, and the likelihoods of GRID over those that train."""
     begin = np.cumsum(counts) - counts
     single = (c + 1) / (total + kinds + 1)
     history = np.concatenate([[before], c[:-1]])
     history[begin] = end
-    pair = np.minimum(np.minimum(MIDDLE[level], history), c)
+    pair = LOWER[level]
     own = np.repeat(learn, counts)
-    likely = np.divide(pair, history, out=np.zeros_like(pair), where=history > 0)
-    less_h = np.maximum(history[own] - 1, 0)
-    less = np.divide(np.maximum(pair[own] - 1, 0), less_h, out=np.zeros_like(less_h), where=less_h > 0)
-    less_single = np.maximum(c[own], 1) / (total + kinds)
+    less_pair, less_h, less_single = np.maximum(pair[own] - 1, 0), np.maximum(history[own] - 1, 0), np.maximum(c[own], 1) / (total + kinds)
     scores, fits = [], np.zeros(len(GRID))
-    for g, (a, b) in enumerate(GRID):
-        lam = a * history / (history + b)
-        scores.append(np.add.reduceat(np.log10(lam * likely + (1 - lam) * single), begin))
-        lam = a * less_h / (less_h + b)
-        fits[g] = np.log10(lam * less + (1 - lam) * less_single).sum()
+    for g, way in enumerate(GRID):
+        scores.append(np.add.reduceat(np.log10(probability(pair, history, single, *way)), begin))
+        fits[g] = np.log10(probability(less_pair, less_h, less_single, *way)).sum()
     return np.add.reduceat((c > 0).astype(np.int64), begin), np.add.reduceat(np.log10(single), begin), np.stack(scores, axis=1), fits
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The driver holds two numbers a part."""
-    spark = tuned(df.sparkSession)
-    parts = width(spark)
+    tuned(df.sparkSession)
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = max(width(df.sparkSession), parts_for(slim) // 2)
     chunks = 4 * parts
-    chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(chunks)).cast("int")
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), chunk.alias("chunk"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    slim = slim.withColumn("chunk", chunk)
     counted = slim.groupBy("chunk").applyInArrow(lambda t: _count(t, parts, folds, held), _ROW)
     met = settle(counted.repartition(parts, "part").mapInArrow(_meet, _ROW))
     total = kinds = 0
