@@ -56,7 +56,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.archive_pages(_table(spark, sf_dir, "pages")).filter("damaged = 0")
+    out = warc.archive_pages(_table(spark, sf_dir, "pages"), strict=True)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
