@@ -1,19 +1,21 @@
 """Language of documents, word by word, with a linear-chain conditional random field.
 
-A document is a chain of words (runs of letters, lower case; runs of over 40 letters in pieces of 40). A word's features: the word, its prefixes and suffixes
-of 1 to 4 letters, its inner pairs and triples of letters, and for each language whether the word is in that language's
-lexicon (its most frequent words in the fitted sample). Features are hashed into a table of fixed size, so the model has
-a fixed size too. Labels are languages; transitions are learned. Forward-backward gives each word's probability of each
-language, so parts in another language are told apart; the document's language is the one with the largest mean, the
-score is that mean.
-
-Fitting takes text and language of at most DOCS documents of each language, the least by a hash of doc_id, and of each
-the first WORDS words: a bounded sample, on the driver. Every language is learned; with more than SAMPLE / DOCS of them
-each has fewer documents, and with more than LANGUAGES fitting raises an error. Prediction takes all words of all
-documents.
+A document is a chain of words (runs of letters, lower case; runs of over 40 letters in pieces of 40). A word's features:
+the word, its prefixes and suffixes of 1 to 4 letters, its inner pairs and triples of letters, and for each language
+whether the word is in that language's lexicon (its most frequent words in the fitted sample). Features are hashed into a
+table of fixed size, so the model has a fixed size too. Labels are languages; start and transitions are learned.
+Forward-backward gives each word's probability of each language, so parts in another language are told apart
+(``Model.words``); the document's language is the one with the largest mean, the score is that mean.
+
+Fitting takes the whole text and the language of at most DOCS documents of each language, the least by a hash of doc_id:
+a bounded sample, on the driver. Every language is learned; with more than SAMPLE / DOCS of them each has fewer
+documents, and with more than LANGUAGES fitting raises an error. Texts are cut into chains of PIECE words. Since a label
+is of a document, those chains hold no switch; so as many again are spliced from pieces of documents in two languages,
+each word with the label of its own document, and from these the chain learns how languages follow each other.
 
 ``und`` with score 0 is given to a null text, and to one without letters. Without any labelled row every document is
-``und``. Extra columns pass through; a column named like an output is replaced. Repeated rows are predicted alike.
+``und``. Languages equally likely are tied by name. Extra columns pass through; a column named like an output is
+replaced. Repeated rows are predicted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from granary.llm.common import extended, held, tuned
 
-#: Fitting: documents of a language, words of a document, rounds, documents in a step, weight of the squared norm.
-DOCS, WORDS, ROUNDS, STEP, NORM = 400, 250, 6, 48, 1e-4
+#: Fitting: documents of a language, words of a chain, rounds, chains in a step, weight of the squared norm.
+DOCS, PIECE, ROUNDS, STEP, NORM = 200, 200, 5, 64, 1e-4
 SLOTS, LEXICON = 1 << 17, 300
 #: Languages at most (weights are SLOTS a language); documents of all languages together.
 LANGUAGES, SAMPLE = 256, 64 * DOCS
@@ -136,14 +138,15 @@ class Model:
             self.known = np.concatenate([self.known, values]) if len(self.known) else values
         return self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
-    def fit(self, chains: list[tuple[list[str], int]], rounds: int = ROUNDS) -> None:
+    def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = ROUNDS) -> None:
+        """From chains of words, each word with the index of its label."""
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c, _ in chains for w in c))}
         found = [self.features(w) for w in vocabulary]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((f for x in found for f in x), np.int64, int(counts.sum()))
         begin = np.cumsum(counts) - counts
-        coded = [(np.array([vocabulary[w] for w in c]), y) for c, y in chains]
-        square, square_move = np.full(self.weight.shape, 1e-6, np.float32), np.full(self.move.shape, 1e-6)
+        coded = [(np.array([vocabulary[w] for w in c]), np.array(y)) for c, y in chains]
+        square, square_move, square_start = np.full(self.weight.shape, 1e-6, np.float32), np.full(self.move.shape, 1e-6), np.full(self.start.shape, 1e-6)
         labels = len(self.labels)
         rng = np.random.default_rng(7)
         for _ in range(rounds):
@@ -157,22 +160,33 @@ class Model:
                 e = np.zeros((*mask.shape, labels))
                 e[mask] = value[index]
                 post, moves = forward_backward(e, lengths, self.move, self.start)
-                truth = np.array([coded[i][1] for i in some])
-                off = post
-                off[np.arange(len(some)), :, truth] -= 1
-                off = off[mask]
+                truth = np.zeros(mask.shape, np.int64)
+                truth[mask] = np.concatenate([coded[i][1] for i in some])
+                off = post[mask]
+                off[np.arange(len(off)), truth[mask]] -= 1
                 by_word = np.stack([np.bincount(index, off[:, k], len(used)) for k in range(labels)], axis=1)
                 each, at = np.unique(slots, return_inverse=True)
                 g = np.stack([np.bincount(at, by_word[owner, k], len(each)) for k in range(labels)], axis=1) / len(some) + NORM * self.weight[each]
                 square[each] += g**2
                 self.weight[each] -= 0.1 * g / np.sqrt(square[each])
-                seen = np.zeros_like(self.move)
-                np.add.at(seen, (truth, truth), lengths - 1)
+                seen, inner = np.zeros_like(self.move), mask[:, 1:]
+                np.add.at(seen, (truth[:, :-1][inner], truth[:, 1:][inner]), 1)
                 g = (moves - seen) / len(some) + 0.01 * self.move
                 square_move += g**2
                 self.move -= 0.1 * g / np.sqrt(square_move)
+                g = (post[:, 0].sum(0) - np.bincount(truth[:, 0], minlength=labels)) / len(some) + 0.01 * self.start
+                square_start += g**2
+                self.start -= 0.1 * g / np.sqrt(square_start)
         self.clear()
 
+    def words(self, text: str) -> list[tuple[str, str, float]]:
+        """Each word of a text with its most likely language and that one's probability."""
+        chain = _LETTERS.findall(text.lower())
+        if not chain or not self.labels:
+            return [(w, "und", 0.0) for w in chain]
+        post = marginals(self.emissions(chain)[None], np.array([len(chain)]), self.move, self.start)[0]
+        return [(w, self.labels[k], float(p[k])) for w, p, k in zip(chain, post, post.argmax(1).tolist())]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         chains = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -199,6 +213,24 @@ class Model:
         return out
 
 
+def spliced(pieces: list[tuple[list[str], int]]) -> list[tuple[list[str], list[int]]]:
+    """Chains with a label for each word: the pieces as they are, and for each piece one that goes over into, and maybe
+    back from, a piece in another language."""
+    rng = np.random.default_rng(13)
+    out = [(c, [y] * len(c)) for c, y in pieces]
+    others = {k: [i for i, (_, y) in enumerate(pieces) if y != k] for k in {y for _, y in pieces}}
+    for c, y in pieces:
+        if not others[y]:
+            continue
+        d, z = pieces[others[y][rng.integers(len(others[y]))]]
+        a, b = np.sort(rng.integers(0, len(c) + 1, 2)).tolist()
+        begin = int(rng.integers(len(d)))
+        inner = d[begin : begin + 1 + int(rng.integers(PIECE // 2))]
+        tail = c[b:] if rng.random() < 0.5 else []
+        out.append(((c[:a] + inner + tail)[:PIECE], ([y] * a + [z] * len(inner) + [y] * len(tail))[:PIECE]))
+    return out
+
+
 def fit_model(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs: int = DOCS) -> Model:
     """From at most ``docs`` labelled documents of each language, at most SAMPLE in all."""
     ok = F.col(label).isNotNull() & F.col(text).isNotNull()
@@ -209,14 +241,14 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text: str = "text", label:
         raise ValueError(f"more than {LANGUAGES} values of {label}: the classifier has no room for all of them")
     docs = min(docs, max(1, SAMPLE // max(1, len(names))))
     chosen = labelled.select("i", "l").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= docs).select("i").distinct()
-    words = F.concat_ws(" ", F.slice(F.split("t", r"\s+", 4 * WORDS), 1, WORDS))
-    rows = labelled.join(F.broadcast(chosen), "i").select("l", words.alias("t")).collect()
+    rows = labelled.join(F.broadcast(chosen), "i").select("l", "t").collect()
     labels = sorted({r.l for r in rows})
-    chains = [(c, labels.index(r.l)) for r in sorted(rows) if (c := _LETTERS.findall(r.t.lower())[:WORDS])]
+    texts = [(c, labels.index(r.l)) for r in sorted(rows) if (c := _LETTERS.findall(r.t.lower()))]
     lexicons = []
     for k in range(len(labels)):
-        count = Counter(w for c, y in chains if y == k for w in c)
+        count = Counter(w for c, y in texts if y == k for w in c)
         lexicons.append({w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]})
+    chains = spliced([(c[at : at + PIECE], y) for c, y in texts for at in range(0, len(c), PIECE)])
     model = Model(labels, lexicons)
     if chains:
         model.fit(chains)
