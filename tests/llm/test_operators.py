@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from granary.llm import common, fingerprints, html_extraction, jaccard_join, language_id, language_model, media, packing, sentencepiece_codec, substring_dedup, warc
+from granary.llm import common, fingerprints, groups, html_extraction, jaccard_join, language_id, language_model, media, packing, sentencepiece_codec, substring_dedup, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 EDGES = "doc_id long, text string, n_words string, component_id string, score string, n_tokens string"
@@ -217,7 +217,7 @@ def linked(rows, n, num, den):
 @pytest.mark.parametrize("n,num,heavy,block", [(3, 90, 15, 1000), (5, 80, 15, 1000), (5, 80, 3, 7), (1, 70, 4, 1000)])
 def test_components_equal_brute_force(docs, corpus, monkeypatch, n, num, heavy, block):
     monkeypatch.setattr(jaccard_join, "HEAVY", (3000, heavy, 40))
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(groups, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.shingle_components(docs, n=n, num=num).collect()}
     assert got == linked(corpus, n, num, 100)
 
@@ -250,7 +250,7 @@ def test_sets_are_signed_alike_together_and_alone():
 
 def test_large_groups_are_compared_beyond_their_hub(spark, monkeypatch):
     """A chain of near copies: hardly any is like the hub, and blocks hold a few documents each."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(groups, "BLOCK", 3)
     words = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(24):
@@ -622,26 +622,61 @@ def test_archives_of_no_pages(spark):
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
-def test_copies_are_found_and_others_left(spark):
+@pytest.mark.parametrize("block", [1000, 5])
+def test_copies_are_found_and_others_left(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "BLOCK", block)
     rng = np.random.default_rng(0)
     rows = []
-    for i in range(30):
+    for i in range(28):
         image = media.drawn(rng.normal(size=64).tolist())
-        rows += [(10 * i, media.write_pgm(image)), (10 * i + 1, media.write_pgm(media.edited(image, i % 3))), (10 * i + 2, media.write_pgm(image))]
-    rows += [(1000, None), (1001, None), (1002, b"junk"), (1003, b""), (1004, media.write_pgm(np.zeros((5, 5)))), (None, b"junk")]
+        rows += [(10 * i, media.write_pgm(image)), (10 * i + 1, media.write_pgm(media.edited(image, i % 7))), (10 * i + 2, media.write_pgm(image))]
+    # many edited copies of one picture
+    rows += [(500 + k, media.write_pgm(media.edited(media.drawn([k // 14]), k % 7))) for k in range(28)]
+    rows += [(1000, None), (1001, None), (1002, b"junk"), (1003, b""), (1004, media.write_pgm(np.zeros((5, 5)))), (1004, b"junk"), (None, b"junk")]
     got = {r.media_id: r.group_id for r in media.copy_groups(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()}
     assert set(got) == {i for i, _ in rows if i is not None}
-    assert all(got[10 * i + 2] == got[10 * i] for i in range(30))
-    assert sum(got[10 * i + 1] == got[10 * i] for i in range(30)) >= 27
-    assert all(g % 1000 // 10 == i % 1000 // 10 for i, g in got.items() if i < 1000)
-    assert [got[i] for i in range(1000, 1005)] == [1000, 1001, 1002, 1003, 1004]
+    assert all(got[10 * i + 2] == got[10 * i] for i in range(28))
+    assert sum(got[10 * i + 1] == got[10 * i] for i in range(28)) >= 26
+    assert all(g // 10 == i // 10 for i, g in got.items() if i < 500)
+    assert sum(got[i] == (500 if i < 514 else 514) for i in range(500, 528)) >= 26
+    assert [got[i] for i in range(1000, 1005)] == [1000, 1001, 1002, 1003, 1002]
     assert media.copy_groups(spark.createDataFrame([], "media_id long, media binary, n_corners string")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_recall_against_the_check_of_all_pairs(spark):
+    """Of the pairs that the check accepts: how many have a key in common, for each edit, over pictures of embeddings."""
+    vectors = [r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").select("embedding").distinct().limit(40).collect()]
+    of = [media.describe(media.read_pgm(media.write_pgm(media.drawn(v)))) for v in vectors]
+    keys = [set(media.table_keys(*f).tolist()) for f in of]
+    hit = total = 0
+    for kind, name in enumerate(media.EDITS):
+        edits = [media.describe(media.read_pgm(media.write_pgm(media.edited(media.drawn(v), kind)))) for v in vectors]
+        mine = [set(media.table_keys(*f).tolist()) for f in edits]
+        good = [(i, j) for i in range(len(of)) for j in (i, (i + 1) % len(of)) if media.consensus(*of[i], *edits[j]) >= media.INLIERS]
+        assert {i for i, j in good if i == j} == {i for i, _ in good} and len(good) >= 0.95 * len(of), name
+        found = sum(bool(keys[i] & mine[j]) for i, j in good)
+        assert found >= 0.75 * len(good), name
+        hit, total = hit + found, total + len(good)
+    assert hit >= 0.93 * total
+
+
+def test_parts_of_large_pictures_are_copies(monkeypatch):
+    big = np.concatenate([np.concatenate([media.drawn([i, j], 200) for j in range(3)], axis=1) for i in range(3)])
+    whole = media.describe(media.read_pgm(media.write_pgm(big)))
+    part = media.describe(media.read_pgm(media.write_pgm(big[250:340, 330:430])))
+    assert media.consensus(*part, *whole) >= media.INLIERS and set(media.table_keys(*whole)) & set(media.table_keys(*part))
+    # tiles change nothing
+    monkeypatch.setattr(media, "TILE", 4 * media.CELL)
+    tiled = media.describe(media.read_pgm(media.write_pgm(big)))
+    one, other = (sorted(zip(map(tuple, np.round(f[0], 3).tolist()), map(bytes, f[1]))) for f in (whole, tiled))
+    assert len(one) == len(other) > 1000 and sum(a == b for a, b in zip(one, other)) >= 0.99 * len(one)
+
+
 def test_pgm_reads_what_it_writes():
     image = np.arange(35, dtype=np.float32).reshape(5, 7)
     assert (media.read_pgm(media.write_pgm(image)) == image).all()
-    assert media.read_pgm(b"P5 9 9 255\n123") is None
+    assert media.read_pgm(b"P5 9 9 255\n123") is None and media.read_pgm(b"P5 0 9 255\n") is None
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------
