@@ -69,9 +69,9 @@ class ChunkIds(dict):
             out = self[small]  # the normaliser does as much
         elif b"<|" not in chunk and len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalnum():
             out = self[chunk[:-1]] + self[chunk[-1:]]  # the mark is a pre-token of its own
-        elif (word := chunk.decode()).isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
-            # letters that the normaliser leaves as they are: one pre-token, so the merges alone are left to do
-            ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))]
+        elif (word := chunk.decode()).isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word) and (small := word.lower()).isalpha():
+            # letters that the normaliser only lowers: one pre-token, so the merges alone are left to do
+            ids = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(BYTE_LETTERS))]
             out = np.array(ids, "<u4").tobytes()
         else:
             out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
