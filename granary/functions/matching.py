@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from granary.functions.text import col, words_of
 
+# A word of a question, and the kinds of numbered references.
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
-REFERENCE = r"(?i)(?:^|[^A-Za-z0-9_])(articles?|sections?|chapters?|clauses?|rules?|paragraphs?)\s*([0-9]+[A-Za-z]?)(?:$|[^A-Za-z0-9_])"
 KINDS = r"(?i)\b(articles?|sections?|chapters?|clauses?|rules?|paragraphs?)\s*([0-9]+[A-Za-z]?)\b"
 
 # Words that ask and don't name a topic.
@@ -23,6 +23,7 @@ GENERIC = (
     "method", "steps", "difference", "differences", "comparison", "compare", "contrast", "different", "explain", "explanation", "describe", "discuss", "developed", "developer", "built", "designed", "launched", "launch",
     "started", "ended", "important", "work", "works", "working", "used", "use", "does", "did", "make", "made",
 )
+# Words that no topic phrase holds.
 TOPIC_BLOCK = ("different", "difference", "differences", "compare", "contrast", "developed", "developer", "built", "designed", "launched", "launch", "started", "ended", "important", "work", "works", "working")
 # Cues of a question's intent, in order.
 INTENT_CUES = {
@@ -74,7 +75,12 @@ SHAPES = (
     ("quantity", r"\b\d+(?:\.\d+)?\b|\b(?:percent|percentage|million|billion|thousand)\b", 0.85),
     ("comparison", r"\b(?:whereas|while|however|both|unlike|different|similar|compared|respectively|difference)\b", 0.80),
 )
+# A question's leading word.
 LEADING = r"^(?:please\s+)?(what|who|whom|whose|where|when|why|how)\b"
+# Phrases that ask for a comparison.
+COMPARISONS = ("difference between", "differences between", "different from", "compare", "contrast", " versus ", " vs ")
+# Verbs that define a single word right before them.
+DEFINING = r"(?:is|are|was|were|refers\s+to|means|denotes|defined|known\s+as)"
 
 
 def lits(values) -> Column:
@@ -119,7 +125,7 @@ def intents(c: Column | str) -> Column:
     q = match_text(c)
     lead = F.nullif(F.regexp_extract(q, LEADING, 1), F.lit(""))
     padded = F.concat(F.lit(" "), q, F.lit(" "))
-    compare = functools.reduce(lambda a, b: a | b, [q.contains(x) for x in ("difference between", "differences between", "different from", "compare", "contrast", " versus ", " vs ")])
+    compare = functools.reduce(lambda a, b: a | b, [q.contains(x) for x in COMPARISONS])
     explicit = F.array_compact(F.array(F.when(compare, F.lit("compare")), lead, F.when(q.rlike(r"^what\s+does\b"), F.lit("how"))))
 
     def cue(x: str) -> Column:
@@ -209,7 +215,7 @@ def definition_matches(query: Column | str, text: Column | str, focus: Column |
     focus, refs = focus_phrases(query) if focus is None else focus, references(query) if refs is None else refs
     sized = F.array_sort(F.transform(focus, lambda p: F.struct((-F.size(F.split(p, " "))).alias("a"), (-F.length(p)).alias("b"), F.array_position(focus, p).alias("c"), p.alias("p"))))
     primary = F.try_element_at(sized, F.lit(1))["p"]
-    verb = r"(?![a-z0-9])\s+(?:is|are|was|were|refers\s+to|means|denotes|defined|known\s+as)\b"
+    verb = rf"(?![a-z0-9])\s+{DEFINING}\b"
     single = F.regexp_like(match_text(text), F.concat(F.lit("(?<![a-z0-9])"), escaped(F.coalesce(primary, F.lit("\x01"))), F.lit(verb)))
     named = F.when(F.array_contains(refs, primary), reference_present(text, primary)).when(primary.contains(" "), phrase_present(text, primary)).otherwise(single)
     return F.when(F.size(focus) == 0, F.lit(False)).otherwise(named)
@@ -255,12 +261,22 @@ def answer_shape(query: Column | str, text: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.when(t["identity"] & col(text).rlike(r"\b\d+[a-z]?\.\s+[A-Z]"), 0.75).otherwise(0.0), *[F.when(t[k] & s.rlike(p), v).otherwise(0.0) for k, p, v in SHAPES])
 
 
-def target_score(query: Column | str, text: Column | str, anchor: Column | None = None, shape: Column | None = None) -> Column:
-    """Mean over what the question asks of how well the text gives it; nothing without the query's anchor."""
-    t, a, s = targets(query), anchor_score(query, text) if anchor is None else anchor, answer_shape(query, text) if shape is None else shape
-    kinds = {"identity": 0.7 * a + 0.3 * s, "organization": 0.55 * a + 0.45 * s, "location": 0.55 * a + 0.45 * s, "date": 0.55 * a + 0.45 * s}
-    each = F.array_compact(F.array(*[F.when(t[k], F.when(a > 0, v).otherwise(0.0)) for k, v in kinds.items()]))
-    return F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda x, y: x + y) / F.size(each)).otherwise(0.0)
+def target_scores(query: Column | str, anchor: Column, shape: Column, identity: Column) -> Column:
+    """Scores of the four targets that have evidence of their own; null where the question doesn't ask for one."""
+    t = targets(query)
+    blend = F.when(anchor > 0, 0.55 * anchor + 0.45 * shape).otherwise(0.0)
+    return F.struct(F.when(t["identity"], identity).alias("identity"), *[F.when(t[k], blend).alias(k) for k in ("organization", "location", "date")])
+
+
+def target_score(scores: Column, shape: Column) -> Column:
+    """Mean over the targets that the question asks for, 1 at most; its shape if it asks for none of them."""
+    each = F.array_compact(F.array(*[scores[k] for k in ("identity", "organization", "location", "date")]))
+    return F.when(F.size(each) > 0, F.least(F.lit(1.0), F.aggregate(each, F.lit(0.0), lambda x, y: x + y) / F.size(each))).otherwise(shape)
+
+
+def covers_target(scores: Column, least: float = 0.45) -> Column:
+    """Whether a text gives one of the targets that the question asks for."""
+    return F.coalesce(functools.reduce(lambda a, b: a | b, [F.coalesce(scores[k] >= least, F.lit(False)) for k in ("identity", "organization", "location", "date")]), F.lit(False))
 
 
 def short_entity_query(c: Column | str) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from granary.functions import matching as M, text as X
+from granary.functions import definitions as D, matching as M, rules, text as X
 from granary.functions.numeric import clamp, sigmoid
 
 # Words that make a question technical, and that make it need more than one fact.
@@ -15,11 +17,8 @@ TECHNICAL = (
     "optimization", "graph", "reasoning", "memory", "semantic", "index", "encoder", "decoder", "precision", "recall", "latency", "similarity",
 )
 MULTIHOP = ("compare", "difference", "between", "relation", "why", "how", "explain", "connect", "versus", "vs", "impact")
-# Topics whose evidence is told apart by terms of their own: (topic, terms of others, penalty). A table,
-# so that a deployment has its own rows.
 # Phrases that tell of a damaged context.
 CONTEXT_BROKEN = ("document contains references", "supporting documents throughout", "the current •", "• and document", "this icon indicates", "users seeking practical advice", "euro.who.int")
-TOPIC_RULES: tuple[tuple[str, tuple[str, ...], float], ...] = ()
 
 
 def analyzed(queries: DataFrame, query: str) -> DataFrame:
@@ -98,11 +97,24 @@ def answerability(queries: DataFrame, evidence: DataFrame) -> DataFrame:
 # --- sentences -----------------------------------------------------------------------------------------------------
 
 
-def answer_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, sentence: sentences fit for answers, equal ones of a key once."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(X.answer_text(text), r"\s*[•▪‣]\s*", "\x02"), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])", "\x02"), "\x02")
-    found = docs.select(key, F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence"))
-    return deduped(found.filter(~X.broken_fragment("sentence")), key, "pos", "sentence")
+def answer_sentences(docs: DataFrame, key: str, text: str, query: str | None = None) -> DataFrame:
+    """key, pos, sentence: sentences fit for answers, equal ones of a key once. With ``query`` (a column with the
+    question of each row; key then names question and document) clean definitions take the place of the sentences they
+    are in, and headings of numbered parts stay where the question names such a part."""
+    bullets = F.regexp_replace(X.answer_text(text), r"\s*[•▪‣]\s*", "\x02")
+    parts = F.split(F.regexp_replace(bullets, r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])", "\x02"), "\x02")
+    asked = F.col(query) if query else F.lit("")
+    rows = docs.select(key, D.definition_focus(asked).alias("__focus"), F.lower(F.coalesce(asked, F.lit(""))).rlike(D.NUMBERED).alias("__numbered"), parts.alias("__parts"))
+    rows = rows.select(key, "__focus", "__numbered", F.posexplode("__parts").alias("n", "s")).withColumn("s", F.trim("s")).filter("s <> ''")
+    s, words = F.col("s"), F.size(X.words_of("s"))
+    low = F.lower("s")
+    heading = F.col("__numbered") & low.rlike(D.NUMBERED_TEXT)
+    short = (words < 5) & ~(F.col("__numbered") & low.rlike(r"^\d+[a-z]?\.\s+"))
+    inner = F.split(s, "(?i)" + rules.INNER_HEADINGS)
+    long = F.filter(F.transform(inner, F.trim), lambda x: ~X.broken_fragment(x))
+    plain = F.when((X.broken_fragment("s") & ~heading) | short, F.array().cast("array<string>")).when((words > rules.LONG) & (F.size(inner) > 1), long).otherwise(F.array(s))
+    found = rows.withColumn("__clean", D.recovered("s", F.col("__focus"))).select(key, "n", F.posexplode(F.when(F.size("__clean") > 0, F.col("__clean")).otherwise(plain)).alias("m", "sentence"))
+    return deduped(found.select(key, (F.col("n") * 100 + F.least("m", F.lit(99))).cast("int").alias("pos"), "sentence"), key, "pos", "sentence")
 
 
 def deduped(rows: DataFrame, key: str, order: str, sentence: str) -> DataFrame:
@@ -130,16 +142,29 @@ def overlap_cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
 
 
+def contamination(query: Column | str, sentence: Column | str, topics=rules.TOPICS) -> Column:
+    """How far a sentence is of another topic than the question, by the rules of topics; 1 at most."""
+    q, s, terms = F.lower(X.col(query)), F.lower(X.col(sentence)), M.query_terms(query)
+    total = F.lit(0.0)
+    for has, lacks, asks, penalty in topics:
+        on = M._any(s, has)
+        on = on & ~M._any(q, lacks) if lacks else on
+        on = on & F.arrays_overlap(terms, M.lits(asks)) if asks else on
+        total = total + F.when(on, penalty).otherwise(0.0)
+    return F.least(F.lit(1.0), total)
+
+
 def scored_sentences(rows: DataFrame, query: str, sentence: str) -> DataFrame:
-    """Adds semantic, lexical, anchor, target, shape, quality, contamination, evidence_score. ``rows`` may bring a
-    column ``semantic`` of its own."""
+    """Adds semantic, lexical, anchor, shape, quality, identity, target, covers, contamination, evidence_score. ``rows``
+    may bring a column ``semantic`` of its own."""
     out = rows if "semantic" in rows.columns else rows.withColumn("semantic", overlap_cosine(F.col(query), F.col(sentence)))
     t = F.col("__terms")
-    out = out.withColumn("__terms", M.query_terms(query)).withColumns({"semantic": clamp(F.col("semantic")), "lexical": M.lexical_question(query, sentence, t), "anchor": M.anchor_score(query, sentence, t), "shape": M.answer_shape(query, sentence), "quality": X.sentence_quality(sentence)})
-    out = out.withColumn("target", M.target_score(query, sentence, F.col("anchor"), F.col("shape"))).drop("__terms")
-    low, q = F.lower(sentence), F.lower(query)
-    penalty = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(q.contains(topic) & M._any(low, terms), p).otherwise(0.0) for topic, terms, p in TOPIC_RULES])
-    return with_evidence_score(out.withColumn("contamination", penalty))
+    out = out.withColumns({"__terms": M.query_terms(query), "__focus": D.definition_focus(query)})
+    out = out.withColumns({"semantic": clamp(F.col("semantic")), "lexical": M.lexical_question(query, sentence, t), "anchor": M.anchor_score(query, sentence, t), "shape": M.answer_shape(query, sentence), "quality": X.sentence_quality(sentence)})
+    out = out.withColumn("identity", D.identity_score(query, sentence, F.col("__focus"), F.col("anchor"), F.col("shape")))
+    out = out.withColumn("__targets", M.target_scores(query, F.col("anchor"), F.col("shape"), F.col("identity")))
+    out = out.withColumns({"target": M.target_score(F.col("__targets"), F.col("shape")), "covers": M.covers_target(F.col("__targets")), "wants_identity": M.targets(query)["identity"]})
+    return with_evidence_score(out.withColumn("contamination", contamination(query, sentence)).drop("__terms", "__focus", "__targets"))
 
 
 def with_evidence_score(rows: DataFrame) -> DataFrame:
@@ -156,23 +181,46 @@ def grounded() -> Column:
     return (F.col("quality") >= 0.35) & (F.col("contamination") < 0.55) & (sure | anchored)
 
 
+def eligible() -> Column:
+    """Whether a scored sentence may be selected: grounded, or a clean definition where nothing else is."""
+    clean = (F.col("quality") >= 0.35) & (F.col("contamination") < 0.55)
+    return grounded() | (F.col("wants_identity") & (F.col("identity") >= 0.55) & clean)
+
+
 def selected(rows: DataFrame, key: str = "query_id", sentence: str = "sentence", most: int = 3) -> DataFrame:
-    """Per key, greedily the sentences that add most: relevance, anchor, meaning and novelty. ``rows`` are the grounded
-    ones, bounded by the retrieval depth; adds rank (from 1) and novelty."""
-    columns = rows.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", rank int, novelty double"
+    """Per key, greedily the sentences that add most: relevance, anchor, meaning, target, novelty, and 1 more for giving
+    what the question asks for. A direct definition is the whole answer to a question for one. ``rows`` are scored
+    sentences, bounded by the retrieval depth; adds rank (from 1) and novelty."""
+    rows = rows.withColumn("__grounded", grounded()).filter(eligible())
+    columns = [c for c in rows.columns if c != "__grounded"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__grounded") + ", rank int, novelty double"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in ("doc_id", "pos") if c in columns]).reset_index(drop=True)
-        words = [set(pd.Series(s).str.lower().str.findall(r"[a-z0-9]+").iloc[0]) for s in pdf[sentence]]
-        fixed = (2.5 * pdf["evidence_score"] + 1.6 * pdf["anchor"] + 1.2 * pdf["semantic"] + 0.8 * pdf["target"] + 0.5 * pdf["quality"]).to_numpy()
-        near, left, out = np.zeros(len(pdf)), list(range(len(pdf))), []
-        while left and len(out) < most:
-            best = max(left, key=lambda i: (fixed[i] + 0.8 * (1 - near[i]), -i))
-            out.append((best, 1 - near[best]))
-            left.remove(best)
-            for i in left:
-                near[i] = max(near[i], len(words[i] & words[best]) / max(1, len(words[i] | words[best])))
+        order = [c for c in ("evidence_score", "anchor", "semantic", "lexical", "quality") if c in columns]
+        ties = [c for c in ("doc_id", "pos") if c in columns]
+        pdf = pdf.sort_values(order + ties, ascending=[False] * len(order) + [True] * len(ties)).reset_index(drop=True)
+        if pdf["__grounded"].any():
+            pdf = pdf[pdf["__grounded"]].reset_index(drop=True)
+        pdf = pdf.drop(columns="__grounded")
+        identity = bool(pdf["wants_identity"].iloc[0])
+        out: list[tuple[int, float]] = []
+        direct = pdf[(pdf["identity"] >= 0.55) & ((pdf["anchor"] >= 0.70) | (pdf["identity"] >= 0.85))] if identity else pdf.iloc[:0]
+        if len(direct):
+            best = direct.sort_values(["identity", "evidence_score", "semantic"], ascending=False, kind="stable").iloc[0]
+            if best["semantic"] >= 0.50 and (best["anchor"] >= 0.90 or best["identity"] >= 0.85):
+                out = [(int(best.name), 1.0)]
+        if not out:
+            words = [set(re.findall(r"[a-z0-9]+", x.lower())) for x in pdf[sentence]]
+            fixed = (2.5 * pdf["evidence_score"] + 1.6 * pdf["anchor"] + 1.2 * pdf["semantic"] + 0.8 * pdf["target"] + 0.5 * pdf["quality"] + pdf["covers"].astype(float)).to_numpy()
+            near, left = np.zeros(len(pdf)), list(range(len(pdf)))
+            while left and len(out) < most:
+                best = max(left, key=lambda i: (fixed[i] + 0.8 * (1 - near[i]), -i))
+                out.append((best, 1 - near[best]))
+                left.remove(best)
+                if identity and len(out) == 1 and pdf["identity"][best] >= 0.75 and pdf["anchor"][best] >= 0.80:
+                    break
+                for i in left:
+                    near[i] = max(near[i], len(words[i] & words[best]) / max(1, len(words[i] | words[best])))
         found = pdf.loc[[i for i, _ in out]].copy()
         found["rank"], found["novelty"] = range(1, len(out) + 1), [x for _, x in out]
         return found
@@ -180,6 +228,22 @@ def selected(rows: DataFrame, key: str = "query_id", sentence: str = "sentence",
     return rows.groupBy(key).applyInPandas(pick, schema)
 
 
+def selected_answerability(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, score, reason, answerable of each question from the evidence selected for it (query_id, text, anchor,
+    target, semantic, quality, evidence_score): the best of each signal, and for a definition that one is there."""
+    best = [F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))).alias(c) for c in ("anchor", "target", "semantic", "quality", "evidence_score")]
+    texts = F.array_join(F.array_sort(F.collect_list("text")), " ")
+    told = queries.withColumn("focus", D.definition_focus("query")).join(evidence.groupBy("query_id").agg(*best, texts.alias("text")), "query_id", "left")
+    raw = 0.35 * F.col("anchor") + 0.30 * F.col("target") + 0.15 * F.col("semantic") + 0.10 * F.col("quality") + 0.10 * F.col("evidence_score")
+    asks = F.col("focus") != ""
+    missing = asks & ~(D.defined("text", F.col("focus")) | D.aliased("text", F.col("focus")))
+    none = F.col("text").isNull()
+    score = F.when(none, 0.0).when(missing, raw * 0.35).otherwise(raw)
+    reason = F.when(none, "no_selected_evidence").when(missing, "identity_definition_required").otherwise("evidence_supported")
+    ok = ~none & ~missing & (score >= F.when(asks, 0.55).otherwise(0.45))
+    return told.select("query_id", score.alias("score"), reason.alias("reason"), F.coalesce(ok, F.lit(False)).alias("answerable"))
+
+
 def provenance(chosen: DataFrame, docs: DataFrame, key: str = "query_id") -> DataFrame:
     """Adds source_doc: the first document of the key's candidates (key, doc_id, text) that holds the sentence."""
     hits = chosen.select(key, "rank", "sentence").join(docs.select(key, F.col("doc_id").alias("source_doc"), "text"), key).filter(F.contains(X.answer_text("text"), F.col("sentence")))
@@ -240,6 +304,23 @@ def weighted_best(values: Column, best: float) -> Column:
     return F.when(F.size(v) == 0, 0.0).otherwise(clamp(best * F.array_max(v) + (1 - best) * mean))
 
 
+def confidence_status(confidence: Column, threshold: float = 0.40) -> Column:
+    return F.when(confidence < threshold, "low_confidence").otherwise("ok")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each combination of keys: distinct sources or evidence in order of appearance."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+
+
+def ordered_distinct(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, values: the distinct values of each key in order of first appearance, without nulls."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("__at"))
+    listed = F.array_sort(F.collect_list(F.struct("__at", F.col(value).alias("v"))))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: x["v"]).alias("values"))
+
+
 WEIGHTS = {"retrieval": 0.10, "ranking": 0.06, "context": 0.06, "answer_agreement": 0.16, "query_grounding": 0.22, "relevance": 0.18, "semantic": 0.08, "quality": 0.06, "target": 0.04, "source_consistency": 0.04}
 
 

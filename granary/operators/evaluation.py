@@ -101,6 +101,8 @@ def adaptive(plans: DataFrame, dense: DataFrame, sparse: DataFrame, threshold: f
 
     plans: query_id, initial_k, max_k. All queries that are still open go through each round together; those that stop
     are left out of the next (an anti-join). Depth grows by ``step``, so there are at most as many rounds as steps."""
+    # each is read by every round
+    plans, dense, sparse = settled(plans), settled(dense), settled(sparse)
     depth = plans.agg(F.min("initial_k"), F.max("max_k")).first()
     history: DataFrame | None = None
     open_ = plans.select("query_id", "max_k")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from granary.functions import text as X
+from granary.functions import definitions as D, rules, text as X
 from granary.functions.numeric import sigmoid
 from granary.operators import answers as A, chunking as C, evaluation as V, retrieval as O
 from granary.plans.base import Registry, table
-from granary.plans.match_queries import asked
+from granary.plans.match_queries import TERMS, asked
 from granary.plans.retrieval_queries import BM25, BOTH, DEPTH, K, MM, RR, TOKENS, both, dense, scores, sparse, text_queries
 from granary.plans.text_queries import LINES, WORDS
 from granary.session import settled
@@ -30,11 +30,23 @@ def sigmoid_scores(spark, d):
 # --- sentences -----------------------------------------------------------------------------------------------------
 
 
-@R.add("answer_sentences", "F40 F41")
+@R.add("answer_sentences", "F40")
 def answer_sentences(spark, d):
     return A.answer_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
+@R.add("recovered_definitions", "F41", r"""
+WITH s AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + item_id, 'Some lead. The cell division refers to ' || text FROM benchmark), q AS (SELECT item_id, text || ' ' || CASE item_id % 3 WHEN 0 THEN 'Photosynthesis is the process of ' || replace(text, '.', '') || ' KEY POINT more' WHEN 1 THEN 'Photosynthesis is discussed here' ELSE 'We mean that photosynthesis means ' || replace(text, '.', '') END AS t FROM benchmark),
+f AS (SELECT item_id, regexp_extract(t, '(?i)\bphotosynthesis(?:\s+is\s+the|\s+means)\b.*$') <> '' AS has, regexp_replace(regexp_extract(t, '(?is)\bphotosynthesis\b.*$'), '(?is)\s+KEY\s+POINT\b.*$', '') AS part FROM q)
+SELECT item_id, CASE WHEN has THEN CASE WHEN part LIKE '%.' THEN part ELSE regexp_replace(part, '[ ,;:-]+$', '') || '.' END END AS definition FROM f""")
+def recovered_definitions(spark, d):
+    """Each passage with a definition, a topical mention or a meaning of one subject spliced in."""
+    text, bare, i = F.col("text"), F.replace("text", F.lit("."), F.lit("")), F.col("item_id") % 3
+    tail = F.when(i == 0, F.concat(F.lit("Photosynthesis is the process of "), bare, F.lit(" KEY POINT more"))).when(i == 1, F.lit("Photosynthesis is discussed here")).otherwise(F.concat(F.lit("We mean that photosynthesis means "), bare))
+    rows = table(spark, d, "benchmark").select("item_id", F.concat(text, F.lit(" "), tail).alias("t"))
+    return rows.select("item_id", F.try_element_at(D.recovered("t", F.lit("Photosynthesis")), F.lit(1)).alias("definition"))
+
+
 @R.add("dedupe_sentences", "U5", rf"""WITH {LINES}, k AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) ORDER BY pos) AS r FROM lines) SELECT doc_id, pos, line FROM k WHERE r = 1""")
 def dedupe_sentences(spark, d):
     from granary.operators.cleaning import lines
@@ -44,23 +56,29 @@ def dedupe_sentences(spark, d):
 
 @R.add("dedupe_evidence", "A22", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
 def dedupe_evidence(spark, d):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return table(spark, d, "documents").withColumn("r", F.row_number().over(w)).filter("r = 1").select("source", "lang", "doc_id")
+    return A.first_of(table(spark, d, "documents"), ["source", "lang"], "doc_id").select("source", "lang", "doc_id")
+
+
+@R.add("ordered_sources", "A22", """
+WITH f AS (SELECT lang, source, min(doc_id) AS at FROM documents WHERE source IS NOT NULL GROUP BY ALL) SELECT lang, list(source ORDER BY at) AS sources FROM f GROUP BY lang""")
+def ordered_sources(spark, d):
+    return A.ordered_distinct(table(spark, d, "documents"), "lang", "doc_id", "source").select("lang", F.col("values").alias("sources"))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of each question's best documents."""
     near = O.ranked(scores(spark, d), 3).select("query_id", "doc_id")
     told = near.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(asked(spark, d), "query_id")
-    found = A.answer_sentences(table(spark, d, "documents").join(near.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
-    return settled(told.select("query_id", "query", "doc_id").join(found, "doc_id"))
+    keyed = told.withColumn("pair", F.struct("query_id", "doc_id"))
+    found = A.answer_sentences(keyed, "pair", "text", "query").select("pair.query_id", "pair.doc_id", "pos", "sentence")
+    return settled(found.join(asked(spark, d), "query_id").select("query_id", "query", "doc_id", "pos", "sentence"))
 
 
-@R.add("score_sentences", "T9 M19 M3 F50")
+@R.add("score_sentences", "T9 M19 M3 F48 F50")
 def score_sentences(spark, d):
     rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
     w = Window.partitionBy("query_id").orderBy(*[F.desc(F.round(c, 9)) for c in ("evidence_score", "anchor", "semantic", "lexical", "quality")], "doc_id", "pos")
-    return rows.withColumn("rank", F.row_number().over(w)).select("query_id", "doc_id", "pos", *_r("semantic", "lexical", "anchor", "target", "shape", "quality", "evidence_score"), "rank")
+    return rows.withColumn("rank", F.row_number().over(w)).select("query_id", "doc_id", "pos", *_r("semantic", "lexical", "anchor", "target", "shape", "quality", "identity", "contamination", "evidence_score"), "rank")
 
 
 G = """SELECT doc_id, (doc_id % 11) / 10.0::DOUBLE AS quality, (doc_id % 7) / 10.0::DOUBLE AS contamination, (doc_id % 13) / 12.0::DOUBLE AS evidence_score, (doc_id % 17) / 16.0::DOUBLE AS semantic, (doc_id % 5) / 4.0::DOUBLE AS anchor, (doc_id % 3) / 2.0::DOUBLE AS lexical, (doc_id % 19) / 18.0::DOUBLE AS target, (doc_id % 23) / 22.0::DOUBLE AS shape FROM documents"""
@@ -86,14 +104,14 @@ def evidence_blend(spark, d):
 
 @R.add("select_evidence", "T10")
 def select_evidence(spark, d):
-    rows = A.scored_sentences(candidates(spark, d), "query", "sentence").filter(A.grounded())
+    rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
     return A.selected(rows).select("query_id", "doc_id", "pos", "rank", *_r("evidence_score", "novelty"))
 
 
 @R.add("extractive_answer", "M20 J7")
 def extractive_answer(spark, d):
     found = candidates(spark, d)
-    chosen = A.selected(A.scored_sentences(found, "query", "sentence").filter(A.grounded())).select("query_id", "rank", "sentence")
+    chosen = A.selected(A.scored_sentences(found, "query", "sentence")).select("query_id", "rank", "sentence")
     docs = found.select("query_id", "doc_id").distinct().join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return A.provenance(chosen, docs)
 
@@ -174,7 +192,36 @@ def answer_validity(spark, d):
 
 @R.add("low_confidence", "P7", "SELECT doc_id, CASE WHEN (doc_id % 101) / 101.0 < 0.40 THEN 'low_confidence' ELSE 'ok' END AS status FROM documents")
 def low_confidence(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 101 / 101.0 < 0.40, "low_confidence").otherwise("ok").alias("status"))
+    return table(spark, d, "documents").select("doc_id", A.confidence_status(F.col("doc_id") % 101 / 101.0).alias("status"))
+
+
+CT = [f"CASE WHEN ({' OR '.join(f"contains(s, '{x}')" for x in has)}){''.join(f" AND NOT contains(q, '{x}')" for x in lacks)}{' AND list_has_any(t, [' + ', '.join(f"'{x}'" for x in asks) + '])' if asks else ''} THEN {p} ELSE 0 END" for has, lacks, asks, p in rules.TOPICS]
+
+
+@R.add("cross_topic_penalty", "F50", rf"""
+WITH v AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'What did MOM find on Mars? ' WHEN 1 THEN 'When was Chandrayaan launched? ' WHEN 2 THEN 'Is Mangalyaan near Mars? ' ELSE 'who ' END || text AS query, CASE item_id % 5 WHEN 0 THEN 'Chandrayaan reached the Moon. ' WHEN 1 THEN 'Aditya-L1 and the lunar base. ' WHEN 2 THEN 'Gaganyaan carries people. ' ELSE '' END || text AS sentence FROM benchmark),
+p AS (SELECT item_id, lower(query) AS q, lower(sentence) AS s, {TERMS.format('query')} AS t FROM v) SELECT item_id, round(least(1, {' + '.join(CT)}), 6)::DOUBLE AS penalty FROM p""")
+def cross_topic_penalty(spark, d):
+    i = F.col("item_id")
+    query = F.concat(F.when(i % 4 == 0, "What did MOM find on Mars? ").when(i % 4 == 1, "When was Chandrayaan launched? ").when(i % 4 == 2, "Is Mangalyaan near Mars? ").otherwise("who "), "text")
+    sentence = F.concat(F.when(i % 5 == 0, "Chandrayaan reached the Moon. ").when(i % 5 == 1, "Aditya-L1 and the lunar base. ").when(i % 5 == 2, "Gaganyaan carries people. ").otherwise(""), "text")
+    rows = table(spark, d, "benchmark").select("item_id", query.alias("query"), sentence.alias("sentence"))
+    return rows.select("item_id", F.round(A.contamination("query", "sentence"), 6).alias("penalty"))
+
+
+@R.add("selected_answerability", "F36", r"""
+WITH v AS (SELECT doc_id // 4 AS query_id, CASE (doc_id // 4) % 3 WHEN 0 THEN 'What is rain?' WHEN 1 THEN 'Why does it rain' ELSE 'define snow' END AS query, CASE doc_id % 9 WHEN 0 THEN 'Rain is the water that falls. ' WHEN 1 THEN 'Snow refers to ice. ' ELSE 'Rain is discussed. ' END || coalesce(text, '') AS text,
+ (doc_id % 11) / 10.0::DOUBLE AS a, (doc_id % 7) / 6.0::DOUBLE AS t, (doc_id % 13) / 12.0::DOUBLE AS s, (doc_id % 5) / 4.0::DOUBLE AS q, (doc_id % 17) / 16.0::DOUBLE AS r FROM documents),
+g AS (SELECT query_id, any_value(query) AS query, 0.35 * max(a) + 0.30 * max(t) + 0.15 * max(s) + 0.10 * max(q) + 0.10 * max(r) AS raw, bool_or(regexp_matches(text, '(?i)\brain\s+(?:is\s+(?:a|an|the)|refers\s+to|means|denotes|is\s+defined\s+as|is\s+known\s+as|is\s+called)\b|\b(?:has|have)\s+defined\s+rain\s+as\b')) AS rain, bool_or(regexp_matches(text, '(?i)\bsnow\s+(?:is\s+(?:a|an|the)|refers\s+to|means|denotes|is\s+defined\s+as|is\s+known\s+as|is\s+called)\b|\b(?:has|have)\s+defined\s+snow\s+as\b')) AS snow FROM v GROUP BY query_id),
+x AS (SELECT query_id, raw, query <> 'Why does it rain' AS asks, CASE query WHEN 'What is rain?' THEN NOT rain WHEN 'define snow' THEN NOT snow ELSE false END AS missing FROM g)
+SELECT query_id, round(CASE WHEN missing THEN raw * 0.35 ELSE raw END, 6)::DOUBLE AS score, CASE WHEN missing THEN 'identity_definition_required' ELSE 'evidence_supported' END AS reason, NOT missing AND raw >= CASE WHEN asks THEN 0.55 ELSE 0.45 END AS answerable FROM x""")
+def selected_answerability(spark, d):
+    i = F.col("doc_id")
+    query_id = F.expr("doc_id div 4")
+    lead = F.when(i % 9 == 0, "Rain is the water that falls. ").when(i % 9 == 1, "Snow refers to ice. ").otherwise("Rain is discussed. ")
+    rows = table(spark, d, "documents").select(query_id.alias("query_id"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"), (i % 11 / 10.0).alias("anchor"), (i % 7 / 6.0).alias("target"), (i % 13 / 12.0).alias("semantic"), (i % 5 / 4.0).alias("quality"), (i % 17 / 16.0).alias("evidence_score"))
+    query = F.when(F.col("query_id") % 3 == 0, "What is rain?").when(F.col("query_id") % 3 == 1, "Why does it rain").otherwise("define snow")
+    return A.selected_answerability(rows.select("query_id").distinct().withColumn("query", query), rows).select("query_id", *_r("score"), "reason", "answerable")
 
 
 @R.add("confidence_components", "A19", f"""
@@ -334,7 +381,7 @@ def three_way_diagnostic(spark, d):
 def rag_pipeline(spark, d):
     """One row per question: plan, last round of the controller, evidence and confidence."""
     last = V.last_rounds(history(spark, d)).select("query_id", "k", "agreement", "margin", "stability", "confidence", "decision", "stop_reason")
-    rows = A.scored_sentences(candidates(spark, d), "query", "sentence").filter(A.grounded())
+    rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
     told = A.selected(rows).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence", "evidence_score", "semantic", "quality", "contamination", "target"))).alias("evidence"))
     out = plans(spark, d).join(last, "query_id", "left").join(told, "query_id", "left")
     e = F.coalesce("evidence", F.array().cast(told.schema["evidence"].dataType))

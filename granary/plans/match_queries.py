@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.functions import matching as M
+from granary.functions import definitions as D, matching as M
 from granary.operators import answers
 from granary.plans.base import Registry, table
 
@@ -124,7 +124,7 @@ def evidence_support(spark, d):
     return rows.select("query_id", "doc_id", F.round(support, 6).alias("support"), M.definition_matches("query", "text", **known()).alias("defines"))
 
 
-@R.add("answerability", "F35 F36")
+@R.add("answerability", "F35")
 def answerability(spark, d):
     return answers.answerability(asked(spark, d), pairs(spark, d))
 
@@ -161,7 +161,12 @@ def anchor_score(spark, d):
 
 @R.add("answer_shape", "F47 F48")
 def answer_shape(spark, d):
-    return pairs(spark, d).select("query_id", "doc_id", F.round(M.answer_shape("query", "text"), 6).alias("shape"), F.round(M.target_score("query", "text"), 6).alias("target"))
+    """With the scores of the targets that the question asks for; null where it doesn't."""
+    rows = pairs(spark, d).withColumns({"shape": M.answer_shape("query", "text"), "anchor": M.anchor_score("query", "text"), "focus": D.definition_focus("query")})
+    rows = rows.withColumn("identity", D.identity_score("query", "text", F.col("focus"), F.col("anchor"), F.col("shape")))
+    rows = rows.withColumn("t", M.target_scores("query", F.col("anchor"), F.col("shape"), F.col("identity")))
+    each = [F.round(F.col(f"t.{k}"), 6).alias(k) for k in ("identity", "organization", "location", "date")]
+    return rows.select("query_id", "doc_id", F.round("shape", 6).alias("shape"), *each, F.round(M.target_score(F.col("t"), F.col("shape")), 6).alias("target"))
 
 
 @R.add("lexical_grounding", "F52", rf"""

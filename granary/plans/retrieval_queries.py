@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from granary.operators import answers, retrieval as O
 from granary.plans.base import Registry, table
+from granary.session import settled
 
 R = Registry()
 K, DEPTH = 10, 20
@@ -62,7 +63,10 @@ def _six(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@R.add("term_stats", "A3", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM stats")
+@R.add("term_stats", "A3", rf"""
+WITH counted AS MATERIALIZED (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS x FROM counted)
+SELECT term, df, round(CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM r) ELSE x END, 6) AS idf FROM r""")
 def term_stats(spark, d):
     docs = table(spark, d, "documents")
     return O.term_stats(O.postings(docs), docs.count()).select("term", "df", *_six("idf"))
@@ -98,8 +102,11 @@ def knn_topk(spark, d):
 
 @R.add("knn_ivf", "S21 J4")
 def knn_ivf(spark, d):
+    """Found by the index, with the share of the exact results that each query's ten have."""
     index, centroids = O.ivf(vectors(spark, d))
-    return O.search_ivf(index, centroids, query_vectors(spark, d), K).select("query_id", "doc_id", *_six("score"), "rank")
+    q = query_vectors(spark, d)
+    found = settled(O.search_ivf(settled(index), centroids, q, K))
+    return found.join(O.recall(found, O.knn(vectors(spark, d), q, K)), "query_id").select("query_id", "doc_id", *_six("score"), "rank", "recall")
 
 
 @R.add("prepare_ranking", "W1", f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,30 @@ def build(name: str = "granary", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir. Where that is unset, a session in one process (tests) gets a
+    temporary folder of this machine; on a cluster that is an error, for executors would not see it."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        top = getattr(sc, "_granary_top", None) or tempfile.mkdtemp(prefix="granary-")
+        sc._granary_top = top
+    return f"{top.rstrip('/')}/granary-{sc.applicationId}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; only where it is unset (tests), in a
-    temporary folder of this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
-    return df.checkpoint()
+    """Written to the shared folder and read back: cuts lineage, survives the loss of any executor, computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def swept(spark: SparkSession, df: DataFrame | None = None) -> None:
+    """Deletes the intermediate tables that df reads, or all of this application: for tables whose readers are done."""
+    paths = df.inputFiles() if df is not None else [shared_folder(spark)]
+    folders = {x.rsplit("/", 1)[0] if df is not None else x for x in paths}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
