@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import components, parts_for, settle, trim_memory, tuned
+from granary.llm.common import components, fmix, parts_for, settle, trim_memory, tuned
 from granary.llm.groups import linked_in_groups
 
 STEP, CELL, RADIUS = 0.87, 16, 11
-TABLES, BITS, NEIGHBOURS = 8, 128, 3
+TABLES, BITS, NEIGHBOURS = 8, 128, 2
 NEAR, INLIERS = 36, 5
 #: Response of the weakest corner; pixels a side of a tile (a multiple of CELL); steps of directions.
 WEAKEST, TILE, TURNS = 1.0, 1024, 8
@@ -241,14 +241,18 @@ _KEYED = "part int, keys binary, owner binary, ids binary"
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The keys of a batch of images, dealt out by key."""
+    """The keys of a batch of images, dealt out by key: 32 bits of each, for the part holds others, and two bytes for the
+    image. A key that only seems to be shared makes a pair more to look at, no copy."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         each = [table_keys(*_features(p, b)) for p, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        key, owner = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in each])
-        part = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+        key, owner = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(ids), dtype=np.uint16), [len(x) for x in each])
+        with np.errstate(over="ignore"):
+            key = fmix(key)
+        part = (key >> np.uint64(33)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
+        key = key.astype(np.uint32)
         rows = [(int(part[x[0]]), key[x].tobytes(), owner[x].tobytes(), ids.tobytes()) for x in np.split(order, cuts) if len(x)]
         cols = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "owner", "ids"])
@@ -259,10 +263,11 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids = [], []
     for batch in batches:
         for _, k, o, i in zip(*(c.to_pylist() for c in batch.columns)):
-            keys.append(np.frombuffer(k, np.uint64))
-            ids.append(np.frombuffer(i, np.int64)[np.frombuffer(o, np.int32)])
+            keys.append(np.frombuffer(k, np.uint32))
+            ids.append(np.frombuffer(i, np.int64)[np.frombuffer(o, np.uint16)])
     if not keys:
         return
+    # parts are dealt out to partitions, and several may be in one
     key, image = np.concatenate(keys), np.concatenate(ids)
     order = np.lexsort((image, key))
     key, image = key[order], image[order]
@@ -317,7 +322,7 @@ def copy_groups(df: DataFrame, id_col: str = "media_id", media: str = "media") -
     return told.join(roots, "rep", "left").select(F.col("id").alias("media_id"), "n_corners", F.coalesce("root", "rep").alias("group_id"))
 
 
-def drawn(vector: list[float], side: int = 96) -> np.ndarray:
+def drawn(vector: list[float], side: int = 80) -> np.ndarray:
     """A picture that a vector stands for: a texture and translucent rectangles and discs, placed by its numbers."""
     v = np.asarray(vector, np.float32)
     rng = np.random.default_rng(zlib.crc32(v.tobytes()))
@@ -356,7 +361,7 @@ def edited(image: np.ndarray, kind: int) -> np.ndarray:
     if kind == 0:
         return image[side // 5 :, side // 6 :]
     if kind == 1:
-        return image[: side * 5 // 8, : side * 5 // 8]
+        return image[: side * 3 // 4, : side * 3 // 4]
     if kind == 2:
         return image * 0.7 + 30
     if kind == 3:
