@@ -37,7 +37,7 @@ def answer_sentences(spark, d):
 
 @R.add("recovered_definitions", "F41", r"""
 WITH s AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + item_id, 'Some lead. The cell division refers to ' || text FROM benchmark), q AS (SELECT item_id, text || ' ' || CASE item_id % 3 WHEN 0 THEN 'Photosynthesis is the process of ' || replace(text, '.', '') || ' KEY POINT more' WHEN 1 THEN 'Photosynthesis is discussed here' ELSE 'We mean that photosynthesis means ' || replace(text, '.', '') END AS t FROM benchmark),
-f AS (SELECT item_id, regexp_extract(t, '(?i)\bphotosynthesis(?:\s+is\s+the|\s+means)\b.*$') <> '' AS has, regexp_replace(regexp_extract(t, '(?is)\bphotosynthesis\b.*$'), '(?is)\s+KEY\s+POINT\b.*$', '') AS part FROM q)
+f AS (SELECT item_id, regexp_extract(t, '(?is)\bphotosynthesis(?:\s+is\s+the|\s+means)\b.*$') <> '' AS has, regexp_replace(regexp_extract(t, '(?is)\bphotosynthesis\b.*$'), '(?is)\s+KEY\s+POINT\b.*$', '') AS part FROM q)
 SELECT item_id, CASE WHEN has THEN CASE WHEN part LIKE '%.' THEN part ELSE regexp_replace(part, '[ ,;:-]+$', '') || '.' END END AS definition FROM f""")
 def recovered_definitions(spark, d):
     """Each passage with a definition, a topical mention or a meaning of one subject spliced in."""
@@ -60,7 +60,7 @@ def dedupe_evidence(spark, d):
 
 
 @R.add("ordered_sources", "A22", """
-WITH f AS (SELECT lang, source, min(doc_id) AS at FROM documents WHERE source IS NOT NULL GROUP BY ALL) SELECT lang, list(source ORDER BY at) AS sources FROM f GROUP BY lang""")
+WITH f AS (SELECT lang, source, min(doc_id) AS first_id FROM documents WHERE source IS NOT NULL GROUP BY ALL) SELECT lang, list(source ORDER BY first_id) AS sources FROM f GROUP BY lang""")
 def ordered_sources(spark, d):
     return A.ordered_distinct(table(spark, d, "documents"), "lang", "doc_id", "source").select("lang", F.col("values").alias("sources"))
 
@@ -74,6 +74,10 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return settled(found.join(asked(spark, d), "query_id").select("query_id", "query", "doc_id", "pos", "sentence"))
 
 
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return settled(A.scored_sentences(candidates(spark, d), "query", "sentence"))
+
+
 @R.add("score_sentences", "T9 M19 M3 F48 F50")
 def score_sentences(spark, d):
     rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
@@ -104,14 +108,13 @@ def evidence_blend(spark, d):
 
 @R.add("select_evidence", "T10")
 def select_evidence(spark, d):
-    rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
-    return A.selected(rows).select("query_id", "doc_id", "pos", "rank", *_r("evidence_score", "novelty"))
+    return A.selected(scored(spark, d)).select("query_id", "doc_id", "pos", "rank", *_r("evidence_score", "novelty"))
 
 
 @R.add("extractive_answer", "M20 J7")
 def extractive_answer(spark, d):
     found = candidates(spark, d)
-    chosen = A.selected(A.scored_sentences(found, "query", "sentence")).select("query_id", "rank", "sentence")
+    chosen = A.selected(settled(A.scored_sentences(found, "query", "sentence"))).select("query_id", "rank", "sentence")
     docs = found.select("query_id", "doc_id").distinct().join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return A.provenance(chosen, docs)
 
@@ -214,14 +217,15 @@ WITH v AS (SELECT doc_id // 4 AS query_id, CASE (doc_id // 4) % 3 WHEN 0 THEN 'W
  (doc_id % 11) / 10.0::DOUBLE AS a, (doc_id % 7) / 6.0::DOUBLE AS t, (doc_id % 13) / 12.0::DOUBLE AS s, (doc_id % 5) / 4.0::DOUBLE AS q, (doc_id % 17) / 16.0::DOUBLE AS r FROM documents),
 g AS (SELECT query_id, any_value(query) AS query, 0.35 * max(a) + 0.30 * max(t) + 0.15 * max(s) + 0.10 * max(q) + 0.10 * max(r) AS raw, bool_or(regexp_matches(text, '(?i)\brain\s+(?:is\s+(?:a|an|the)|refers\s+to|means|denotes|is\s+defined\s+as|is\s+known\s+as|is\s+called)\b|\b(?:has|have)\s+defined\s+rain\s+as\b')) AS rain, bool_or(regexp_matches(text, '(?i)\bsnow\s+(?:is\s+(?:a|an|the)|refers\s+to|means|denotes|is\s+defined\s+as|is\s+known\s+as|is\s+called)\b|\b(?:has|have)\s+defined\s+snow\s+as\b')) AS snow FROM v GROUP BY query_id),
 x AS (SELECT query_id, raw, query <> 'Why does it rain' AS asks, CASE query WHEN 'What is rain?' THEN NOT rain WHEN 'define snow' THEN NOT snow ELSE false END AS missing FROM g)
-SELECT query_id, round(CASE WHEN missing THEN raw * 0.35 ELSE raw END, 6)::DOUBLE AS score, CASE WHEN missing THEN 'identity_definition_required' ELSE 'evidence_supported' END AS reason, NOT missing AND raw >= CASE WHEN asks THEN 0.55 ELSE 0.45 END AS answerable FROM x""")
+SELECT query_id, round(CASE WHEN missing THEN raw * 0.35 ELSE raw END + 1e-9, 6)::DOUBLE AS score, CASE WHEN missing THEN 'identity_definition_required' ELSE 'evidence_supported' END AS reason, NOT missing AND raw >= CASE WHEN asks THEN 0.55 ELSE 0.45 END AS answerable FROM x""")
 def selected_answerability(spark, d):
     i = F.col("doc_id")
     query_id = F.expr("doc_id div 4")
     lead = F.when(i % 9 == 0, "Rain is the water that falls. ").when(i % 9 == 1, "Snow refers to ice. ").otherwise("Rain is discussed. ")
     rows = table(spark, d, "documents").select(query_id.alias("query_id"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"), (i % 11 / 10.0).alias("anchor"), (i % 7 / 6.0).alias("target"), (i % 13 / 12.0).alias("semantic"), (i % 5 / 4.0).alias("quality"), (i % 17 / 16.0).alias("evidence_score"))
     query = F.when(F.col("query_id") % 3 == 0, "What is rain?").when(F.col("query_id") % 3 == 1, "Why does it rain").otherwise("define snow")
-    return A.selected_answerability(rows.select("query_id").distinct().withColumn("query", query), rows).select("query_id", *_r("score"), "reason", "answerable")
+    out = A.selected_answerability(rows.select("query_id").distinct().withColumn("query", query), rows)
+    return out.select("query_id", F.round(F.col("score") + 1e-9, 6).alias("score"), "reason", "answerable")
 
 
 @R.add("confidence_components", "A19", f"""
@@ -381,7 +385,7 @@ def three_way_diagnostic(spark, d):
 def rag_pipeline(spark, d):
     """One row per question: plan, last round of the controller, evidence and confidence."""
     last = V.last_rounds(history(spark, d)).select("query_id", "k", "agreement", "margin", "stability", "confidence", "decision", "stop_reason")
-    rows = A.scored_sentences(candidates(spark, d), "query", "sentence")
+    rows = scored(spark, d)
     told = A.selected(rows).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence", "evidence_score", "semantic", "quality", "contamination", "target"))).alias("evidence"))
     out = plans(spark, d).join(last, "query_id", "left").join(told, "query_id", "left")
     e = F.coalesce("evidence", F.array().cast(told.schema["evidence"].dataType))
