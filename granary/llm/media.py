@@ -39,7 +39,7 @@ from granary.llm.common import components, fmix, parts_for, settle, trim_memory,
 from granary.llm.groups import linked_in_groups
 
 STEP, CELL, RADIUS = 0.87, 16, 11
-TABLES, BITS, NEIGHBOURS = 8, 128, 2
+TABLES, BITS, NEIGHBOURS = 8, 128, 3
 NEAR, INLIERS = 36, 5
 #: Response of the weakest corner; pixels a side of a tile (a multiple of CELL); steps of directions.
 WEAKEST, TILE, TURNS = 1.0, 1024, 8
@@ -181,11 +181,18 @@ def table_keys(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(places[:, 2] == scale)
         x, y, angle = (places[at, 0] * scale - 0.5 - MARGIN), (places[at, 1] * scale - 0.5 - MARGIN), places[at, 3]
         i, j = _neighbours(np.rint(x), np.rint(y))
-        turn = 2 * np.pi / TURNS
-        lie = ((angle[i] - angle[j]) % (2 * np.pi) // turn).astype(int) % TURNS * TURNS + ((np.arctan2(y[j] - y[i], x[j] - x[i]) - angle[i]) % (2 * np.pi) // turn).astype(int) % TURNS
-        lie = lie * 16 + np.minimum(15, np.log2(np.maximum(np.hypot(x[j] - x[i], y[j] - y[i]), 1)).astype(int))
+        turn, far = 2 * np.pi / TURNS, np.minimum(15, np.log2(np.maximum(np.hypot(x[j] - x[i], y[j] - y[i]), 1)).astype(int))
+
+        def lie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            between = ((angle[a] - angle[b]) % (2 * np.pi) // turn).astype(int) % TURNS
+            towards = ((np.arctan2(y[b] - y[a], x[b] - x[a]) - angle[a]) % (2 * np.pi) // turn).astype(int) % TURNS
+            return ((between * TURNS + towards) * 16 + far).astype(np.uint64)
+
+        there, back = lie(i, j), lie(j, i)
         for t in range(TABLES):
-            out.append(part[at[i], t] | part[at[j], t] << np.uint64(16) | (lie.astype(np.uint64) << np.uint64(32)) | np.uint64(t << 44))
+            # the corner with the lesser bits comes first, so it doesn't matter which of the two is near to which
+            a, b = part[at[i], t], part[at[j], t]
+            out.append(np.minimum(a, b) | np.maximum(a, b) << np.uint64(16) | np.where(a <= b, there, back) << np.uint64(32) | np.uint64(t << 44))
     return np.unique(np.concatenate(out))
 
 

@@ -656,9 +656,9 @@ def test_recall_against_the_check_of_all_pairs(spark):
         good = [(i, j) for i in range(len(of)) for j in (i, (i + 1) % len(of)) if media.consensus(*of[i], *edits[j]) >= media.INLIERS]
         assert {i for i, j in good if i == j} == {i for i, _ in good} and len(good) >= 0.8 * len(of), name
         found = sum(bool(keys[i] & mine[j]) for i, j in good)
-        assert found >= 0.7 * len(good), name
+        assert found >= 0.8 * len(good), name
         hit, total = hit + found, total + len(good)
-    assert hit >= 0.93 * total
+    assert hit >= 0.95 * total
 
 
 def test_parts_of_large_pictures_are_copies(monkeypatch):
