@@ -54,7 +54,7 @@ FEW, SECOND = 1, 4
 #: number of heavy shingles at most (the most frequent ones). The result is the same for any choice.
 HEAVY = (20_000, 12, 1 << 18)
 #: Text, and documents, that are signed together.
-SLICE_BYTES, SLICE_DOCS = 4 << 20, 1 << 15
+SLICE_BYTES, SLICE_DOCS = 2 << 20, 1 << 15
 _ROW = "part int, kind int, a binary, b binary, c binary, d binary"
 _OUT = "kind int, a long, b long, v binary"
 #: Kinds of rows: links of equal sets, signatures, (doc_id, size of the set), (pivot, doc_id), (doc_id, band, digest).

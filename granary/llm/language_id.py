@@ -37,7 +37,8 @@ DOCS, PIECE, ROUNDS, STEP, NORM = 200, 200, 5, 64, 1e-4
 SLOTS, LEXICON = 1 << 17, 300
 #: Languages at most (weights are SLOTS a language); documents of all languages together.
 LANGUAGES, SAMPLE = 256, 64 * DOCS
-CACHE_WORDS = 200_000
+#: Words that a worker remembers, and words whose features are looked up together.
+CACHE_WORDS, STEP_WORDS = 100_000, 4096
 _LETTERS = re.compile(r"[^\W\d_]{1,40}")
 
 
@@ -129,13 +130,15 @@ class Model:
         if len(self.place) > min(CACHE_WORDS, 64 * CACHE_WORDS // len(self.labels)):
             self.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if new:
-            found = [self.features(w) for w in new]
+        values = [self.known] if len(self.known) else []
+        for at in range(0, len(new), STEP_WORDS):
+            found = [self.features(w) for w in new[at : at + STEP_WORDS]]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((f for x in found for f in x), np.int64, int(counts.sum()))
-            values = np.add.reduceat(self.weight[flat], np.cumsum(counts) - counts, axis=0)
+            values.append(np.add.reduceat(self.weight[flat], np.cumsum(counts) - counts, axis=0))
+        if new:
             self.place.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.known = np.concatenate([self.known, values]) if len(self.known) else values
+            self.known = np.concatenate(values)
         return self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
     def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = ROUNDS) -> None:
@@ -195,7 +198,7 @@ class Model:
         lengths = np.fromiter(map(len, chains), np.int64, len(chains))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
-        at, most = 0, min(400_000, 64 * 400_000 // len(self.labels))
+        at, most = 0, min(200_000, 64 * 200_000 // len(self.labels))
         while at < len(order):
             end = at + 1
             while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= most:
