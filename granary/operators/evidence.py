@@ -133,6 +133,21 @@ def readiness(states: DataFrame, least: float = 0.7) -> DataFrame:
     return out.withColumn("summary", F.format_string("Evidence %.4f, health %.4f, uncertainty %.4f.", "evidence_score", "health", "uncertainty"))
 
 
+def reasoning(rows: DataFrame, context: DataFrame, mode: str = "full", most: int = 5) -> DataFrame:
+    """What a reasoning step is told of each query: its context (query_id, query, documents, nodes, edges), a summary, the
+    features of most importance, why the score is what it is, and whether it is enough."""
+    w = weighted(normalized(rows))
+    order = [F.desc(F.round("importance", 9)), F.asc("ord")]
+    placed = w.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("__r") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("__r", "name")))
+    priority = placed.groupBy("query_id").agg(F.transform(listed, lambda x: x["name"]).alias("priority"))
+    out = readiness(state(rows, mode)).drop("summary").join(context, "query_id").join(priority, "query_id").join(profile(w).select("query_id", "dominant"), "query_id")
+    shown = F.col("evidence_score") + 1e-9  # halves go up
+    summary = F.format_string("%d evidence documents, %d graph nodes, Evidence Score %.3f", F.col("documents").cast("int"), F.col("nodes").cast("int"), shown)
+    why = F.format_string("Evidence quality is primarily influenced by %s. Overall evidence score = %.3f.", F.replace("dominant", F.lit(","), F.lit(", ")), shown)
+    return out.withColumns({"summary": summary, "explanation": why})
+
+
 def snapshot(rows: DataFrame, version: str = "1.0") -> DataFrame:
     """query_id, snapshot: weighted features as JSON. A group's score there is its sum of importance."""
     f = F.array_sort(F.collect_list(F.struct("ord", "source", "name", F.round("value", 6).alias("value"), F.round("importance", 6).alias("importance"))))

@@ -218,6 +218,11 @@ def ranking(rows: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("node_score", 9)), F.desc(F.round("rerank_score", 9)), "node_id")))
 
 
+def ranking_statistics(ranked: DataFrame) -> DataFrame:
+    """query_id, average, highest, lowest of the node scores of a ranking."""
+    return ranked.groupBy("query_id").agg(F.avg("node_score").alias("average"), F.max("node_score").alias("highest"), F.min("node_score").alias("lowest"))
+
+
 def consensus(rows: DataFrame) -> DataFrame:
     """query_id, consensus: 1 if the best by rerank score is the best of the graph."""
     first = F.max_by("node_id", F.struct(F.round("rerank_score", 9), -F.col("node_id")))

@@ -112,6 +112,14 @@ def reasoning_readiness(spark, d):
     return E.readiness(E.state(features(spark, d))).select("query_id", "readiness", "ready", "summary")
 
 
+@R.add("reasoning_text", "M18", f"""WITH {STATE}, k AS (SELECT query_id, source || '.' || name AS full_name, name, row_number() OVER (PARTITION BY query_id ORDER BY round(importance, 9) DESC, ord) AS r FROM w),
+pr AS (SELECT query_id, array_to_string(list(name ORDER BY r) FILTER (r <= 5), ',') AS priority, array_to_string(list(full_name ORDER BY r) FILTER (r <= 5), ', ') AS dominant FROM k GROUP BY query_id)
+SELECT query_id, printf('%d evidence documents, %d graph nodes, Evidence Score %.3f', CAST(query_id % 7 AS INT), CAST(query_id % 5 AS INT), full_score + 1e-9) AS summary, priority, 'Evidence quality is primarily influenced by ' || dominant || printf('. Overall evidence score = %.3f.', full_score + 1e-9) AS explanation FROM sc JOIN pr USING (query_id)""")
+def reasoning_text(spark, d):
+    context = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 7).alias("documents"), (F.col("doc_id") % 5).alias("nodes"))
+    return E.reasoning(features(spark, d), context).select("query_id", "summary", F.array_join("priority", ",").alias("priority"), "explanation")
+
+
 @R.add("evidence_snapshot_roundtrip", "S24", f"WITH {BASE} SELECT query_id, ord, name, round(value, 6) AS value, round(importance, 6) AS importance FROM w")
 def evidence_snapshot_roundtrip(spark, d):
     return E.restored(E.snapshot(weighted(spark, d))).select("query_id", "ord", "name", "value", "importance")

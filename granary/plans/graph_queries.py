@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.operators import graph as G, retrieval as O
-from granary.plans.base import Registry
+from granary.plans.base import Registry, table
 from granary.plans.retrieval_queries import KNN, query_vectors, vectors
 
 R = Registry()
@@ -38,7 +38,12 @@ def pairwise_cosine(spark, d):
     return G.similarity_edges(nodes(spark, d), -1.0).select("query_id", "src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@R.add("similarity_edges", "J5 P3 G1", f"WITH {BASE} SELECT query_id, src, dst, round(weight, 6) AS weight FROM edges")
+@R.add("similarity_threshold", "P3", f"WITH {BASE} SELECT query_id, src, dst, round(weight, 6) AS weight FROM cosines WHERE weight >= 0.55")
+def similarity_threshold(spark, d):
+    return G.similarity_edges(nodes(spark, d)).select("query_id", "src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@R.add("similarity_edges", "J5 G1", f"WITH {BASE} SELECT query_id, src, dst, round(weight, 6) AS weight FROM edges")
 def similarity_edges(spark, d):
     return parts(spark, d)[1].select("query_id", "src", "dst", F.round("weight", 6).alias("weight"))
 
@@ -166,7 +171,16 @@ def evidence_quality(spark, d):
     return whole.select("query_id", F.round(G.evidence_quality(F.col("query_id") % 11 / 10.0, F.col("coherence")), 6).alias("quality"))
 
 
-@R.add("graph_score", "G13 A26")
+@R.add("ranking_statistics", "A26", """
+WITH v AS (SELECT doc_id // 8 AS query_id, ((doc_id * 7) % 31 - 15)::DOUBLE AS rerank, (doc_id % 13) / 12.0::DOUBLE AS importance, (doc_id % 17) / 16.0::DOUBLE AS pagerank, (doc_id % 11) / 10.0::DOUBLE AS coherence FROM documents),
+s AS (SELECT query_id, 0.45 * greatest(0, least(1, (rerank + 15) / 15)) + 0.25 * importance + 0.2 * pagerank + 0.1 * coherence AS s FROM v) SELECT query_id, round(avg(s) + 1e-9, 6)::DOUBLE AS average, round(max(s) + 1e-9, 6)::DOUBLE AS highest, round(min(s) + 1e-9, 6)::DOUBLE AS lowest FROM s GROUP BY query_id""")
+def ranking_statistics(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 8").alias("query_id"), i.alias("node_id"), (i * 7 % 31 - 15).cast("double").alias("rerank_score"), (i % 13 / 12.0).alias("importance"), (i % 17 / 16.0).alias("pagerank"), (i % 11 / 10.0).alias("coherence"))
+    return G.ranking_statistics(G.ranking(rows)).select("query_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("average", "highest", "lowest")])
+
+
+@R.add("graph_score", "G13")
 def graph_score(spark, d):
     _, _, _, rows, whole = analysed(spark, d)
     mean = rows.groupBy("query_id").agg(F.avg("importance").alias("importance"))
@@ -197,10 +211,25 @@ def validate_edges(spark, d):
     return G.dangling(n.filter("node_id % 3 <> 0"), e).select("query_id", "src", "dst")
 
 
-@R.add("graph_validation", "A27", f"WITH {BASE} SELECT query_id, CAST(5 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failed, 1.0::DOUBLE AS share FROM nodes GROUP BY query_id")
+BAD = "bn AS (SELECT query_id, node_id FROM nodes UNION ALL SELECT query_id, min(node_id) FROM nodes WHERE query_id % 3 = 0 GROUP BY 1), be AS (SELECT query_id, src, dst, CASE WHEN query_id % 5 = 0 THEN 1.5 ELSE weight END AS weight FROM edges UNION ALL SELECT query_id, min(node_id), min(node_id), 0.9 FROM nodes WHERE query_id % 4 = 1 GROUP BY 1 UNION ALL SELECT query_id, -1, max(node_id), 0.7 FROM nodes WHERE query_id % 2 = 1 GROUP BY 1)"
+
+
+@R.add("graph_validation", "A27", f"""WITH RECURSIVE {LABELS}, {BAD}, r AS (SELECT q.query_id,
+ (SELECT count(*) = count(DISTINCT node_id) FROM bn WHERE bn.query_id = q.query_id) AS a, NOT EXISTS (SELECT 1 FROM be WHERE be.query_id = q.query_id AND (src = dst OR weight NOT BETWEEN -1 AND 1)) AS b,
+ NOT EXISTS (SELECT 1 FROM be WHERE be.query_id = q.query_id AND (src NOT IN (SELECT node_id FROM bn WHERE bn.query_id = q.query_id) OR dst NOT IN (SELECT node_id FROM bn WHERE bn.query_id = q.query_id))) AS c,
+ (SELECT count(*) FROM labels WHERE labels.query_id = q.query_id AND (q.query_id % 7 <> 0 OR node_id <> component)) = (SELECT count(DISTINCT node_id) FROM bn WHERE bn.query_id = q.query_id) AS e FROM (SELECT DISTINCT query_id FROM nodes) q),
+s AS (SELECT query_id, 1 + a::INT + b::INT + c::INT + e::INT AS n FROM r) SELECT query_id, CAST(n AS BIGINT) AS passed, CAST(5 - n AS BIGINT) AS failed, round(n / 5.0, 6)::DOUBLE AS share FROM s""")
 def graph_validation(spark, d):
+    """Graphs with faults put in: nodes twice, loops, weights out of bounds, edges without an end, nodes without a label."""
     n, e = parts(spark, d)
-    return G.validation(n, e, G.components(n, e))
+    q, labels = F.col("query_id"), G.components(n, e)
+    least = n.groupBy("query_id").agg(F.min("node_id").alias("least"), F.max("node_id").alias("most"))
+    n = n.select("query_id", "node_id")
+    n = n.union(least.filter(q % 3 == 0).select("query_id", "least"))
+    e = e.select("query_id", "src", "dst", F.when(q % 5 == 0, 1.5).otherwise(F.col("weight")).alias("weight"))
+    e = e.union(least.filter(q % 4 == 1).select("query_id", "least", "least", F.lit(0.9))).union(least.filter(q % 2 == 1).select("query_id", F.lit(-1), "most", F.lit(0.7)))
+    out = G.validation(n, e, labels.filter((q % 7 != 0) | (F.col("node_id") != F.col("component"))))
+    return out.withColumn("share", F.round("share", 6))
 
 
 @R.add("graph_snapshot_roundtrip", "S23", f"WITH {BASE} SELECT query_id, src, dst, round(weight, 6) AS weight FROM edges")

@@ -63,10 +63,13 @@ def _six(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@R.add("term_stats", "A3", rf"""
+TERM_STATS = rf"""
 WITH counted AS MATERIALIZED (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term),
 r AS MATERIALIZED (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS x FROM counted)
-SELECT term, df, round(CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM r) ELSE x END, 6) AS idf FROM r""")
+SELECT term, df, round(CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM r) ELSE x END, 6) AS idf FROM r"""
+
+
+@R.add("term_stats", "A3", TERM_STATS)
 def term_stats(spark, d):
     docs = table(spark, d, "documents")
     return O.term_stats(O.postings(docs), docs.count()).select("term", "df", *_six("idf"))
@@ -210,7 +213,7 @@ def convergence_gain(spark, d):
     return rows.withColumn("g", gain).select("conv_id", "turn", F.round("g", 6).alias("gain"), F.coalesce(F.col("g") <= 0.02, F.lit(False)).alias("converged"))
 
 
-@R.add("rerank_order", "T6 M5", rf"""
+@R.add("rerank_order", "T6", rf"""
 WITH {BM25}, r AS (SELECT query_id, s.doc_id, list_distinct({TOKENS.format('b.text')}) AS a, list_distinct({TOKENS.format('d.text')}) AS t FROM sparse s JOIN documents d ON d.doc_id = s.doc_id JOIN benchmark b ON b.item_id = query_id),
 c AS (SELECT query_id, doc_id, CASE WHEN len(a) * len(t) > 0 THEN len(list_intersect(a, t)) / sqrt(len(a)::DOUBLE * len(t)) ELSE 0 END AS rerank_score FROM r)
 SELECT query_id, doc_id, round(rerank_score, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, doc_id) AS INT) AS rank FROM c""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,13 @@ BLOCK = "struct<text:string,x0:double,y0:double,x1:double,y1:double,block_no:int
 EDGE, GAP, SHARE, COLUMNS = 18.0, 45.0, 0.20, 4
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.{txt,TXT}") -> DataFrame:
+PDF, TEXT = "*.{pdf,PDF}", "*.{txt,TXT}"
+#: Bytes of a file and its path -> its pages as (width, height, blocks), a block being (text, x0, y0, x1, y1, number,
+#: kind: 1 for an image).
+PageReader = Callable[[bytes, str], Iterable[tuple[float, float, list[tuple]]]]
+
+
+def files(spark: SparkSession, root: str, pattern: str = TEXT) -> DataFrame:
     """path, domain, content, size, timestamp of every file below a folder, each path once, in order of lower case.
 
     A folder that isn't there is an error, as with any Spark source."""
@@ -40,26 +47,50 @@ def plain_text(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
 
 
-def pdf_pages(found: DataFrame) -> DataFrame:
-    """path, page_number, width, height, blocks of PDF files. Needs a PDF library on the workers; there is none in
-    this build's environment, so it says so."""
-    if importlib.util.find_spec("fitz") is None:
-        raise NotImplementedError("reading PDF needs PyMuPDF (module fitz) on driver and workers")
+def read_with_fitz(content: bytes, path: str) -> Iterable[tuple[float, float, list[tuple]]]:
+    """A PageReader by PyMuPDF, where that is installed."""
+    import fitz
 
-    def read(batches):
-        import fitz
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        if doc.needs_pass:
+            raise ValueError(f"{path} is locked by a password")
+        for page in doc:
+            yield page.rect.width, page.rect.height, [(b[4], *b[:4], b[5], b[6]) for b in page.get_text("blocks")]
 
+
+def pdf_pages(found: DataFrame, reader: PageReader | None = None) -> DataFrame:
+    """path, page_number, width, height, blocks, error of PDF files (path, content). Any reader of pages can be given;
+    the default needs a PDF library on the workers, and an environment without one is told so. A file that cannot be
+    read gives one row with its error and no page, and the others are read."""
+    if reader is None:
+        if importlib.util.find_spec("fitz") is None:
+            raise NotImplementedError("reading PDF needs PyMuPDF (module fitz) on driver and workers, or a reader of your own")
+        reader = read_with_fitz
+    names = ("text", "x0", "y0", "x1", "y1", "block_no", "block_type")
+
+    def read(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                with fitz.open(stream=content, filetype="pdf") as doc:
-                    if doc.needs_pass:
-                        raise ValueError(f"{path} is locked by a password")
-                    for n, page in enumerate(doc, 1):
-                        rows.append((path, n, page.rect.width, page.rect.height, [dict(text=b[4], x0=b[0], y0=b[1], x1=b[2], y1=b[3], block_no=b[5], block_type=b[6]) for b in page.get_text("blocks")]))
-            yield pd.DataFrame(rows, columns=["path", "page_number", "width", "height", "blocks"])
-
-    return found.select("path", "content").mapInPandas(read, f"path string, page_number int, width double, height double, blocks array<{BLOCK}>")
+                try:
+                    pages = [(path, n, float(w), float(h), [dict(zip(names, b)) for b in blocks], None) for n, (w, h, blocks) in enumerate(reader(content, path), 1)]
+                except Exception as e:  # noqa: BLE001  # whatever a reader raises is of this file alone
+                    pages = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += pages
+            frame = pd.DataFrame(rows, columns=["path", "page_number", "width", "height", "blocks", "error"])
+            yield frame.astype({"page_number": "Int32"})
+
+    return found.select("path", "content").mapInPandas(read, f"path string, page_number int, width double, height double, blocks array<{BLOCK}>, error string")
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages with their blocks as JSON, a row a page: for geometry that another program has extracted."""
+    pages.write.mode("overwrite").json(path)
+
+
+def stored_pages(spark: SparkSession, path: str, key: str = "path string, page_number int") -> DataFrame:
+    """Pages kept by write_pages: key, width, height, blocks."""
+    return spark.read.schema(f"{key}, width double, height double, blocks array<{BLOCK}>").json(path)
 
 
 def usable_blocks(blocks: Column | str) -> Column:

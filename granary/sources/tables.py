@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A corpus kept as one JSON array (or a folder of such files)."""
-    reader = spark.read.option("multiLine", "true")
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """A corpus kept as one JSON array (or a folder of such files), or as JSON lines where ``lines`` says so."""
+    reader = spark.read.option("multiLine", "false" if lines else "true")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -51,3 +51,21 @@ def load_index(spark: SparkSession, fingerprint: str, path: str) -> tuple[DataFr
         return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
     except AnalysisException:
         return None
+
+
+def cached(df: DataFrame, key: str, path: str, versions: tuple[str, ...] = ()) -> DataFrame:
+    """A result kept under a name made of all that it depends on (``key`` and versions): read if it is there whole, else
+    made and written. Clearing the cache is deleting the folder."""
+    import hashlib
+
+    from pyspark.errors import AnalysisException
+
+    at = f"{path}/{hashlib.sha256('|'.join((key, *versions)).encode()).hexdigest()[:32]}"
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(at)
+    try:
+        return spark.read.schema(df.schema).parquet(at)
+    except AnalysisException:  # written by a job that kept no rows
+        return df.limit(0)
