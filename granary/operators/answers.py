@@ -190,7 +190,9 @@ def eligible() -> Column:
 def selected(rows: DataFrame, key: str = "query_id", sentence: str = "sentence", most: int = 3) -> DataFrame:
     """Per key, greedily the sentences that add most: relevance, anchor, meaning, target, novelty, and 1 more for giving
     what the question asks for. A direct definition is the whole answer to a question for one. ``rows`` are scored
-    sentences, bounded by the retrieval depth; adds rank (from 1) and novelty."""
+    sentences, bounded by the retrieval depth (signals that they lack count as 0); adds rank (from 1) and novelty."""
+    known = {"lexical": 0.0, "contamination": 0.0, "identity": 0.0, "covers": False, "wants_identity": False}
+    rows = rows.withColumns({c: F.lit(v) for c, v in known.items() if c not in rows.columns})
     rows = rows.withColumn("__grounded", grounded()).filter(eligible())
     columns = [c for c in rows.columns if c != "__grounded"]
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__grounded") + ", rank int, novelty double"

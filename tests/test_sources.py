@@ -24,6 +24,32 @@ def test_files_are_found_below_a_folder(spark, tmp_path):
         P.pdf_pages(found)
 
 
+def test_pages_come_from_any_reader(spark, tmp_path):
+    (tmp_path / "Law").mkdir()
+    (tmp_path / "Law" / "One.PDF").write_bytes(b"page one|page two")
+    (tmp_path / "two.pdf").write_bytes(b"!")
+    found = P.files(spark, str(tmp_path), P.PDF)
+    assert [r.domain for r in found.collect()] == ["law", "general"]
+
+    def reader(content, path):
+        if content == b"!":
+            raise ValueError("damaged")
+        for text in content.decode().split("|"):
+            yield 600, 800, [(text, 50, 10, 280, 20, 0, 0)]
+
+    rows = P.pdf_pages(found, reader).orderBy("path", "page_number").collect()
+    assert [(r.page_number, r.error) for r in rows] == [(1, None), (2, None), (None, "ValueError: damaged")]
+    P.write_pages(P.pdf_pages(found, reader).filter("error is null").drop("error"), f"{tmp_path}/kept")
+    back = P.reading_order(P.stored_pages(spark, f"{tmp_path}/kept")).orderBy("page_number").collect()
+    assert [r.text for r in back] == ["page one", "page two"]
+
+
+def test_results_are_kept_by_what_they_depend_on(spark, tmp_path):
+    one, two = (spark.createDataFrame([(x,)], "x long") for x in (1, 2))
+    assert T.cached(one, "k", f"{tmp_path}/c").first().x == 1 and T.cached(two, "k", f"{tmp_path}/c").first().x == 1
+    assert T.cached(two, "k", f"{tmp_path}/c", ("v2",)).first().x == 2
+
+
 def test_blocks_are_read_by_column(spark):
     b = lambda t, x0, y0, x1, y1, kind=0: (t, float(x0), float(y0), float(x1), float(y1), 0, kind)
     blocks = [b("right top", 330, 11, 560, 20), b("left low", 50, 60, 280, 70), b("left top", 50, 10, 280, 20), b("img", 0, 0, 90, 90, 1), b("x", 50, 90, 280, 99), b("right low", 331, 61, 560, 70)]
