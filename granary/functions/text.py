@@ -26,7 +26,7 @@ def col(c: Column | str) -> Column:
 
 def nfkc(c: Column | str) -> Column:
     """Unicode NFKC. Texts of ASCII alone, which it leaves as they are, don't go through Python's result."""
-    return F.when(col(c).rlike(r"[^\x00-\x7F]"), F.pandas_udf(_normalize_series, "string", F.PandasUDFType.SCALAR)(col(c))).otherwise(col(c))
+    return F.when(col(c).rlike(r"[^\x00-\x7F]"), F.pandas_udf(_normalize_series, "string")(col(c))).otherwise(col(c))
 
 
 def _normalize_series(s: pd.Series) -> pd.Series:

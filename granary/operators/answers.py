@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import definitions as D, matching as M, rules, text as X
 from granary.functions.numeric import clamp, sigmoid
+from granary.session import settled
 
 # Words that make a question technical, and that make it need more than one fact.
 TECHNICAL = (
@@ -339,6 +340,25 @@ def calibrated(c: dict[str, Column], contamination: Column, count: Column, valid
     return clamp(out)
 
 
+def sentence_edges(rows: DataFrame, key: str, order: str, sentence: str, least: float = 0.45) -> DataFrame:
+    """key, src, dst, weight: pairs of a key's sentences whose cosine, as sets of words, is above ``least``. Pairs meet by
+    the words that they share, and of each sentence only its rarest words: two sets of sizes a and b with a cosine above
+    t share more than t squared of either, so one of any a - floor(t * t * a) words of the first is in the second."""
+    words = rows.select(key, F.col(order).alias("n"), F.array_distinct(X.tokens(sentence)).alias("t")).filter(F.size("t") > 0)
+    told = words.select(key, "n", F.explode("t").alias("w"))
+    rare = told.groupBy(key, "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    listed = told.join(rare, [key, "w"]).groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("s"))
+    # words that no other sentence has can be left out: the others still hold all that is shared
+    first = F.size("t") - F.floor(least * least * F.size("t")).cast("int") - (F.size("t") - F.size("s"))
+    sized = settled(words.join(listed, [key, "n"]).select(key, "n", "t", F.slice(F.transform("s", lambda x: x["w"]), F.lit(1), F.greatest(F.lit(0), F.least(F.size("s"), first))).alias("p")))
+    met = sized.select(key, F.col("n").alias("a"), F.explode("p").alias("w")).join(sized.select(key, F.col("n").alias("b"), F.explode("p").alias("w")), [key, "w"])
+    pairs = met.filter("a < b").select(key, "a", "b").distinct()
+    one, two = sized.select(key, F.col("n").alias("a"), F.col("t").alias("ta")), sized.select(key, F.col("n").alias("b"), F.col("t").alias("tb"))
+    both = pairs.join(one, [key, "a"]).join(two, [key, "b"])
+    weight = F.size(F.array_intersect("ta", "tb")) / F.sqrt(F.size("ta").cast("double") * F.size("tb"))
+    return both.select(key, F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("weight")).filter(F.round("weight", 9) > least)
+
+
 def fused_sentences(rows: DataFrame, key: str = "query_id", sentence: str = "sentence", vector: str = "vector", least: float = 0.45) -> DataFrame:
     """Groups of a key's sentences with their direct neighbours (edge: .6 of the likeness of their names, .4 of the
     cosine, above ``least``), in order; adds group_no. Sentences already in a group start none."""

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from granary.functions import text as X
+from granary.session import settled
 
 LEAST, MOST = 45, 600
+#: Chunks that one task numbers.
+NUMBERED = 50_000
 #: Sizes and overlaps in use: of the library, of the corpus job, and of the comparison.
 LIBRARY, CORPUS, VARIANTS = (500, 100), (300, 45), ((200, 40), (300, 60), (400, 80), (500, 100))
 
@@ -110,8 +113,11 @@ def records(found: DataFrame, key: str, domain: str, source: str) -> DataFrame:
     from granary.functions.text import chunk_quality, document_type
 
     rows = found.withColumn("chunk_quality", F.round(chunk_quality("text"), 6)).filter("chunk_quality >= 0.3")
-    by = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    group = F.pmod(F.xxhash64(key), F.lit(64))
+    rows = settled(rows)
+    by = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    # so many groups that each has some NUMBERED chunks, whatever the size of the corpus
+    total = by.agg(F.sum("__n")).first()[0] or 0
+    group = F.pmod(F.xxhash64(key), F.lit(1 + total // NUMBERED))
     totals = by.groupBy(group.alias("__g")).agg(F.sum("__n").alias("__t"))
     offset = totals.withColumn("__o", F.sum("__t").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1))).select("__g", F.coalesce("__o", F.lit(0)).alias("__o"))
     numbered = rows.withColumn("__g", group).join(F.broadcast(offset), "__g").withColumn("id", F.col("__o") + F.row_number().over(Window.partitionBy("__g").orderBy(key, "chunk_index")) - 1)

@@ -54,12 +54,20 @@ def combined(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def fingerprint(docs: DataFrame, key: str, text: str, version: str = "v1") -> DataFrame:
-    """One digest of all texts in order of their keys, and their number; it tells whether an index is still of this
-    corpus. Only digests meet, 64 characters a key."""
-    by = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(text, F.lit("")).alias("t")))), lambda s: F.sha2(s["t"], 256)), ","), 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "h"))), lambda s: s["h"])
-    return by.agg(F.sha2(F.concat(F.lit(version + ","), F.array_join(ordered, ",")), 256).alias("fingerprint"), F.sum("n").alias("n"))
+#: Keys of which one digest is made at a time.
+SPAN = 4096
+
+
+def fingerprint(docs: DataFrame, key: str, text: str, version: str = "v2") -> DataFrame:
+    """One digest of all texts by their keys (integers), and their number; it tells whether an index is still of this
+    corpus. A tree of digests: texts of a key, keys of a span of SPAN, spans of SPAN of those, and all of these; none of
+    its nodes has more than SPAN children but for rows that share a key, and for the last, which has one for each
+    SPAN * SPAN keys."""
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda s: s["h"]), ",")
+    by = docs.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(F.coalesce(text, F.lit("")), 256))), ","), 256).alias("h"))
+    for _ in range(2):
+        by = by.groupBy(F.floor(F.col("k") / SPAN).alias("s")).agg(F.sum("n").alias("n"), F.sha2(joined(F.struct("k", "h")), 256).alias("h")).withColumnRenamed("s", "k")
+    return by.agg(F.sha2(F.concat(F.lit(version + ","), joined(F.struct("k", "h"))), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 def index_metadata(vectors: DataFrame, key: str, vector: str) -> DataFrame:

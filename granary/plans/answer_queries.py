@@ -138,16 +138,12 @@ SETS = rf"list_distinct({TOKENS.format('{0}')})"
 
 
 @R.add("sentence_graph", "J11", rf"""
-WITH {LINES}, l AS (SELECT doc_id, pos, list_distinct({TOKENS.format('line')}) AS t FROM lines WHERE length(line) > 40)
+WITH {LINES}, l AS (SELECT doc_id, pos, list_distinct({TOKENS.format('line')}) AS t FROM lines)
 SELECT a.doc_id, a.pos AS src, b.pos AS dst, round(len(list_intersect(a.t, b.t)) / sqrt(len(a.t)::DOUBLE * len(b.t)), 6) AS weight FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE len(a.t) > 0 AND len(b.t) > 0 AND round(len(list_intersect(a.t, b.t)) / sqrt(len(a.t)::DOUBLE * len(b.t)), 9) > 0.45""")
 def sentence_graph(spark, d):
     from granary.operators.cleaning import lines
 
-    rows = lines(table(spark, d, "documents")).filter(F.length("line") > 40).select("doc_id", "pos", F.array_distinct(X.tokens("line")).alias("t")).filter(F.size("t") > 0)
-    a, b = rows.toDF("doc_id", "src", "ta"), rows.toDF("doc_id", "dst", "tb")
-    weight = F.size(F.array_intersect("ta", "tb")) / F.sqrt(F.size("ta").cast("double") * F.size("tb"))
-    met = a.join(b, "doc_id").filter("src < dst").withColumn("weight", weight).filter(F.round("weight", 9) > 0.45)
-    return met.select("doc_id", "src", "dst", *_r("weight"))
+    return A.sentence_edges(lines(table(spark, d, "documents")), "doc_id", "pos", "line").select("doc_id", "src", "dst", *_r("weight"))
 
 
 # --- context, validation, confidence ---------------------------------------------------------------------------------

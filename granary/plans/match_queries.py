@@ -1,33 +1,37 @@
-"""Queries that match questions and evidence. Questions are the first eight words of benchmark items and turns of users."""
+"""Queries that match questions and evidence. Questions are made of the passages of the benchmark, evidence is the
+documents, and each question meets the documents that BM25 ranks first for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.functions import definitions as D, matching as M
-from granary.operators import answers
+from granary.operators import answers, retrieval as O
 from granary.plans.base import Registry, table
+from granary.plans.retrieval_queries import bm25_sql
+from granary.session import settled
 
 R = Registry()
 #: Questions over the benchmark in SQL: query_id, query; and texts to match: doc_id, text.
 FORMS = ("What is {0}?", "Why does Article 12 mention {0}?", "How is {0} built", "compare {0} and Section 7b", "When was NASA {0} launched?", "explain '{0}' please", "who developed {0}", "where is chapter 3 of {0}")
 ASKED = (
     "asked AS (SELECT item_id AS query_id, CASE item_id % 8 " + " ".join(f"WHEN {i} THEN replace('{f.replace(chr(39), chr(39) * 2)}', '{{0}}', t)" for i, f in enumerate(FORMS))
-    + r" END AS query FROM (SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}_]+'), 1, 4), ' ') AS t FROM benchmark))"
+    + r" END AS query FROM (SELECT item_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ' ') AS t FROM benchmark))"
 )
-EVIDENCE = "evidence AS (SELECT item_id AS doc_id, CASE item_id % 4 WHEN 0 THEN 'Article 12. ' WHEN 1 THEN 'It is a process, because of NASA in 1998: ' WHEN 2 THEN 'Sections 7B and 3; ' ELSE '' END || text AS text FROM benchmark)"
-PAIRS = f"{ASKED}, {EVIDENCE}, pairs AS (SELECT query_id, query, doc_id, text FROM asked JOIN evidence ON abs(query_id - doc_id) <= 4)"
+EVIDENCE = "evidence AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Article 12. ' WHEN 1 THEN 'It is a process, because of NASA in 1998: ' WHEN 2 THEN 'Sections 7B and 3; ' ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL)"
+NEAR = 3
+PAIRS = f"{ASKED}, {EVIDENCE}, {bm25_sql('SELECT * FROM asked', NEAR, 'wanted')}, pairs AS (SELECT s.query_id, query, s.doc_id, e.text FROM sparse s JOIN asked USING (query_id) JOIN evidence e ON e.doc_id = s.doc_id)"
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    t = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 4), " ")
+    t = F.array_join(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
     form = F.element_at(M.lits(FORMS), (F.col("item_id") % 8 + 1).cast("int"))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.replace(form, F.lit("{0}"), t).alias("query"))
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    lead = F.element_at(M.lits(("Article 12. ", "It is a process, because of NASA in 1998: ", "Sections 7B and 3; ", "")), (F.col("item_id") % 4 + 1).cast("int"))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(lead, "text").alias("text"))
+    lead = F.element_at(M.lits(("Article 12. ", "It is a process, because of NASA in 1998: ", "Sections 7B and 3; ", "")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(lead, "text").alias("text"))
 
 
 def known() -> dict:
@@ -36,16 +40,15 @@ def known() -> dict:
 
 def analysed_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with what is known of the question: each question is analysed once."""
-    from granary.session import settled
-
     told = asked(spark, d).withColumns({"focus": M.focus_phrases("query"), "refs": M.references("query"), "want": M.intents("query")}).drop("query")
     return pairs(spark, d).join(settled(told), "query_id")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each question with the evidence of ids near its own: an equi-join on the id that a question reaches."""
-    q = asked(spark, d).withColumn("doc_id", F.explode(F.sequence(F.col("query_id") - 4, F.col("query_id") + 4)))
-    return q.join(evidence(spark, d), "doc_id").select("query_id", "query", "doc_id", "text")
+    """Each question with the evidence that BM25 ranks first for it."""
+    q = asked(spark, d)
+    near = O.ranked(O.bm25(table(spark, d, "documents").select("doc_id", "text"), q), NEAR).select("query_id", "doc_id")
+    return settled(near.join(q, "query_id").join(evidence(spark, d), "doc_id").select("query_id", "query", "doc_id", "text"))
 
 
 @R.add("match_tokens", "F23", rf"WITH {EVIDENCE} SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS tokens FROM evidence")
@@ -72,9 +75,9 @@ def phrase_present(spark, d):
 REFS = r"list_distinct(list_transform(regexp_extract_all(lower({0}), '\b(?:articles?|sections?|chapters?|clauses?|rules?|paragraphs?)\s*[0-9]+[a-z]?\b'), lambda r: regexp_replace(regexp_extract(r, '^[a-z]+'), 's$', '') || ' ' || regexp_extract(r, '[0-9]+[a-z]?$')))"
 
 
-@R.add("extract_references", "F26 U4", rf"WITH {ASKED}, {EVIDENCE}, x AS (SELECT query_id AS id, query AS t FROM asked UNION ALL SELECT 1000 + doc_id, text FROM evidence) SELECT id, array_to_string(list_sort({REFS.format('t')}), '|') AS refs FROM x")
+@R.add("extract_references", "F26 U4", rf"WITH {ASKED}, {EVIDENCE}, x AS (SELECT query_id AS id, query AS t FROM asked UNION ALL SELECT -1 - doc_id, text FROM evidence) SELECT id, array_to_string(list_sort({REFS.format('t')}), '|') AS refs FROM x")
 def extract_references(spark, d):
-    both = asked(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("t")).union(evidence(spark, d).select(F.col("doc_id") + 1000, "text"))
+    both = asked(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("t")).union(evidence(spark, d).select(-1 - F.col("doc_id"), "text"))
     return both.select("id", F.array_join(F.sort_array(M.references("t")), "|").alias("refs"))
 
 

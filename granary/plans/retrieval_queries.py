@@ -12,14 +12,21 @@ R = Registry()
 K, DEPTH = 10, 20
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
-BM25 = rf"""
+
+
+def bm25_sql(queries: str, depth: int = DEPTH, terms: str = "asked") -> str:
+    """The common tables from postings to ``sparse``, the best documents of queries (query_id, query)."""
+    return rf"""
 posted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL),
 lengths AS (SELECT doc_id, len({TOKENS.format('text')}) AS len FROM documents),
 raw AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM posted GROUP BY term),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
-scores AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lengths))))::DOUBLE AS score FROM posted JOIN asked USING (term) JOIN stats USING (term) JOIN lengths USING (doc_id) GROUP BY ALL),
-sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= {DEPTH})"""
+{terms} AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM ({queries})) GROUP BY ALL),
+scores AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lengths))))::DOUBLE AS score FROM posted JOIN {terms} USING (term) JOIN stats USING (term) JOIN lengths USING (doc_id) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= {depth})"""
+
+
+BM25 = bm25_sql("SELECT item_id AS query_id, text AS query FROM benchmark")
 #: Query i of the vectors stands beside passage i / 100 of the texts.
 KNN = f"""
 dots AS (SELECT q.vec_id // 100 AS query_id, v.vec_id AS doc_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),

@@ -268,7 +268,10 @@ def combine_sources(spark, d):
     return corpus.combined([a, b])
 
 
-@R.add("corpus_fingerprint", "S19 S20", "SELECT sha256('v1,' || array_to_string(list(h ORDER BY doc_id), ',')) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, count(*) AS n, sha256(array_to_string(list(sha256(coalesce(text, '')) ORDER BY text), ',')) AS h FROM documents GROUP BY doc_id)")
+@R.add("corpus_fingerprint", "S20", """
+WITH k AS (SELECT doc_id AS k, count(*) AS n, sha256(array_to_string(list_sort(list(sha256(coalesce(text, '')))), ',')) AS h FROM documents GROUP BY doc_id),
+a AS (SELECT k // 4096 AS k, sum(n) AS n, sha256(array_to_string(list(h ORDER BY k), ',')) AS h FROM k GROUP BY ALL), b AS (SELECT k // 4096 AS k, sum(n) AS n, sha256(array_to_string(list(h ORDER BY k), ',')) AS h FROM a GROUP BY ALL)
+SELECT sha256('v2,' || array_to_string(list(h ORDER BY k), ',')) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""")
 def corpus_fingerprint(spark, d):
     return corpus.fingerprint(table(spark, d, "documents"), "doc_id", "text")
 
@@ -286,11 +289,12 @@ def index_consistency(spark, d):
 @R.add("chunk_sections", "J12", rf"""
 WITH {LINES}, v AS (SELECT doc_id, pos, trim(regexp_replace(line, '\s+', ' ', 'g')) AS v FROM lines),
 s AS (SELECT doc_id, pos, last_value(CASE WHEN {HEADING} THEN v END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM v)
-SELECT d.doc_id, s.section FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND s.pos = 1""")
+SELECT doc_id, pos AS page_start, section FROM s""")
 def chunk_sections(spark, d):
-    sections = corpus.with_sections(doc_lines(spark, d), "doc_id", "pos", "line").select("doc_id", F.col("pos").alias("page_start"), "section")
-    chunks = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_start"))
-    return chunks.join(sections, ["doc_id", "page_start"], "left").select("doc_id", "section")
+    """The section of every page on which a chunk starts: here each line is a page."""
+    lines = doc_lines(spark, d)
+    sections = corpus.with_sections(lines, "doc_id", "pos", "line").select("doc_id", F.col("pos").alias("page_start"), "section")
+    return lines.select("doc_id", F.col("pos").alias("page_start")).join(sections, ["doc_id", "page_start"], "left")
 
 
 @R.add("conversation_history", "S27", "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations")
