@@ -59,6 +59,40 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in last} == set(got)
 
 
+def test_stages_take_odd_rows_and_keep_columns(spark, folder):
+    """Nulls in any column, rows alike, a doc_id twice, a long text, and columns named like outputs of operators."""
+    extra = "score string, lang_pred string, n_words string, n_removed string, kept_text string, component_id string, repeats string, `a b` string"
+    rng = random.Random(3)
+    long = sentence(rng, "aa", 30_000)
+    passage = sentence(rng, "bb", 40)
+    texts = [(1, sentence(rng, "aa", 50)), (1, sentence(rng, "bb", 50)), (2, long), (2, long), (None, sentence(rng, "cc", 50)), (4, None), (5, ""), (6, passage + " " + sentence(rng, "bb", 9)), (7, sentence(rng, "bb", 12) + " " + passage)]
+    rows = [(i, t, None if k % 2 else "aa", None, None if k % 3 else 7, *[f"{c}{k}" for c in "stuvwxyz"]) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"{COLUMNS}, {extra}").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert {tuple(r[5:]) for r in kept} <= {r[5:] for r in rows}, name
+        if name == "language_id":
+            assert {r.doc_id for r in kept} <= {1, 2, None, 6, 7} and {r.doc_id for r in kept} >= {2}
+        else:
+            assert {1, 2, None, 6, 7} <= {r.doc_id for r in kept}, name
+    assert sum(r.text == long for r in kept) == 2 and any(r.doc_id == 7 and len(r.text.split()) == 12 for r in kept)
+    last = corpus_pipeline.STAGES[3][1](spark, docs, folder).collect()
+    assert len({(r.doc_id, r.sequence_id, r.offset) for r in last}) == len(last) >= len(rows)
+
+
+def test_stages_need_only_ids_and_texts_and_take_empty_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    bare = spark.createDataFrame([(1, "one two three"), (2, "12 34"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, bare, "").collect()] == [1]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, bare, "").collect()} == {1, 2, 3}
+
+
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
