@@ -35,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import components, fmix, parts_for, settle, trim_memory, tuned
+from granary.llm.common import components, discard, fmix, parts_for, settle, trim_memory, tuned
 from granary.llm.groups import linked_in_groups
 
 STEP, CELL, RADIUS = 0.87, 16, 11
 TABLES, BITS, NEIGHBOURS = 8, 128, 3
-NEAR, INLIERS = 36, 5
+NEAR, INLIERS, FEW = 36, 5, 8
 #: Response of the weakest corner; pixels a side of a tile (a multiple of CELL); steps of directions.
 WEAKEST, TILE, TURNS = 1.0, 1024, 8
 MARGIN = RADIUS + 2
@@ -176,24 +176,25 @@ def table_keys(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
     if not len(bits):
         return np.zeros(0, np.uint64)
     part = np.ascontiguousarray(np.packbits(np.unpackbits(bits, axis=1)[:, _shuffled()], axis=1)).view(np.uint16).astype(np.uint64)
-    out = []
-    for scale in np.unique(places[:, 2]):
-        at = np.flatnonzero(places[:, 2] == scale)
-        x, y, angle = (places[at, 0] * scale - 0.5 - MARGIN), (places[at, 1] * scale - 0.5 - MARGIN), places[at, 3]
-        i, j = _neighbours(np.rint(x), np.rint(y))
-        turn, far = 2 * np.pi / TURNS, np.minimum(15, np.log2(np.maximum(np.hypot(x[j] - x[i], y[j] - y[i]), 1)).astype(int))
-
-        def lie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            between = ((angle[a] - angle[b]) % (2 * np.pi) // turn).astype(int) % TURNS
-            towards = ((np.arctan2(y[b] - y[a], x[b] - x[a]) - angle[a]) % (2 * np.pi) // turn).astype(int) % TURNS
-            return ((between * TURNS + towards) * 16 + far).astype(np.uint64)
-
-        there, back = lie(i, j), lie(j, i)
-        for t in range(TABLES):
-            # the corner with the lesser bits comes first, so it doesn't matter which of the two is near to which
-            a, b = part[at[i], t], part[at[j], t]
-            out.append(np.minimum(a, b) | np.maximum(a, b) << np.uint64(16) | np.where(a <= b, there, back) << np.uint64(32) | np.uint64(t << 44))
-    return np.unique(np.concatenate(out))
+    level = np.unique(places[:, 2], return_inverse=True)[1].ravel()
+    x, y = (np.rint(places[:, c] * places[:, 2] - 0.5 - MARGIN) for c in (0, 1))
+    # levels stand below each other, out of each other's reach
+    height = np.zeros(level.max() + 1)
+    np.maximum.at(height, level, y // CELL + 4)
+    i, j = _neighbours(x, y + (np.cumsum(height) - height)[level] * CELL)
+    angle, turn = places[:, 3], 2 * np.pi / TURNS
+    far = np.minimum(15, np.log2(np.maximum(np.hypot(x[j] - x[i], y[j] - y[i]), 1)).astype(int))
+
+    def lie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        between = ((angle[a] - angle[b]) % (2 * np.pi) // turn).astype(int) % TURNS
+        towards = ((np.arctan2(y[b] - y[a], x[b] - x[a]) - angle[a]) % (2 * np.pi) // turn).astype(int) % TURNS
+        return ((between * TURNS + towards) * 16 + far).astype(np.uint64)
+
+    there, back = lie(i, j)[:, None], lie(j, i)[:, None]
+    # the corner with the lesser bits comes first, so it doesn't matter which of the two is near to which
+    a, b = part[i], part[j]
+    key = np.minimum(a, b) | np.maximum(a, b) << np.uint64(16) | np.where(a <= b, there, back) << np.uint64(32) | np.arange(TABLES, dtype=np.uint64) << np.uint64(44)
+    return np.unique(key)
 
 
 def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, slack: float = 3.0) -> int:
@@ -287,30 +288,37 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _copies(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and which images are copies, of all pairs with a key in common; pairs that others connect are left out."""
+    """Ids, and which images are copies, of all pairs with a key in common (in groups of FEW images, of all pairs); pairs
+    that others connect are left out."""
     ids = table.column("doc_id").to_numpy()
     features = [_features(p, b) for p, b in zip(table.column("places").to_pylist(), table.column("bits").to_pylist())]
-    each = [table_keys(*f) for f in features]
-    key, owner = np.concatenate(each), np.repeat(np.arange(len(ids)), [len(x) for x in each])
+    common = np.ones((len(ids), len(ids)), np.float32)
+    if len(ids) > FEW:
+        common = _keys_in_common([table_keys(*f) for f in features])
+    i, j = np.nonzero(np.triu(common, 1))
+    order = np.argsort(-common[i, j], kind="stable")
+    root, linked = np.arange(len(ids)), np.zeros((len(ids), len(ids)), bool)
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if root[a] != root[b] and consensus(*features[a], *features[b]) >= INLIERS:
+            linked[a, b] = linked[b, a] = True
+            root[root == root[b]] = root[a]
+    return ids, linked
+
+
+def _keys_in_common(each: list[np.ndarray]) -> np.ndarray:
+    key, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
     col, n = np.unique(key, return_inverse=True, return_counts=True)[1:]
     shared = n[col] > 1
     col, owner = np.unique(col[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
-    common = np.zeros((len(ids), len(ids)), np.float32)
+    common = np.zeros((len(each), len(each)), np.float32)
     for c in range(0, int(col.max()) + 1 if len(col) else 0, 4096):
         a, b = np.searchsorted(col, [c, c + 4096])
-        m = np.zeros((len(ids), 4096), np.float32)
+        m = np.zeros((len(each), 4096), np.float32)
         m[owner[a:b], col[a:b] - c] = 1
         common += m @ m.T
-    i, j = np.nonzero(np.triu(common, 1))
-    order = np.argsort(-common[i, j], kind="stable")
-    root, linked = np.arange(len(ids)), np.zeros((len(ids), len(ids)), bool)
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        if root[a] != root[b] and consensus(*features[a], *features[b]) >= INLIERS:
-            linked[a, b] = linked[b, a] = True
-            root[root == root[b]] = root[a]
-    return ids, linked
+    return common
 
 
 def copy_groups(df: DataFrame, id_col: str = "media_id", media: str = "media") -> DataFrame:
@@ -322,6 +330,7 @@ def copy_groups(df: DataFrame, id_col: str = "media_id", media: str = "media") -
     told = settle(all_.select("id", "digest").join(least, "digest").groupBy("id").agg(F.min_by("rep", F.struct("rep", "n_corners")).alias("rep"), F.min_by("n_corners", F.struct("rep", "n_corners")).alias("n_corners")))
     described = all_.join(told.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     described = settle(described.filter("n_corners > 0").select(F.col("id").alias("doc_id"), "places", "bits"))
+    discard(all_)
     parts = parts_for(described, 8 << 20)
     keyed = described.mapInArrow(functools.partial(_keyed, parts=parts), _KEYED).repartition(parts, "part")
     members = settle(keyed.mapInArrow(_pivots, "cluster long, doc_id long").distinct())
