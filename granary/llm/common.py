@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch; with texts of some 100 KB a batch stays in the hundreds of MB at worst.
 BATCH_ROWS = 1000
+#: Bytes of such a batch; a row that has more is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Entries that a per-worker cache may hold before it starts anew.
 CACHE_ENTRIES = 400_000
 #: Bytes of an input table for each partition of a shuffle that holds numbers for each of its words.
@@ -28,10 +30,14 @@ S33 = np.uint64(33)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of at most BATCH_ROWS rows."""
+    """The session, with Arrow batches of at most BATCH_ROWS rows and some BATCH_BYTES; what is lower already stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key, "0"))
+    if not (found and 0 < int(found[1]) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 

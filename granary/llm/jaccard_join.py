@@ -55,6 +55,8 @@ FEW, SECOND = 1, 4
 HEAVY = (20_000, 12, 1 << 18)
 #: Text, and documents, that are signed together.
 SLICE_BYTES, SLICE_DOCS = 2 << 20, 1 << 15
+#: Shares in which the signatures of a part are sorted.
+RANGES = 8
 _ROW = "part int, kind int, a binary, b binary, c binary, d binary"
 _OUT = "kind int, a long, b long, v binary"
 #: Kinds of rows: links of equal sets, signatures, (doc_id, size of the set), (pivot, doc_id), (doc_id, band, digest).
@@ -255,29 +257,43 @@ def _out(kind: int, a: np.ndarray, b: np.ndarray, v: list | None = None) -> pa.R
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal sets among rows with one signature, and (pivot, document) of the groups that are left."""
-    sig, who, first, cols, total, signed = [], [], [], [], 0, 0
+    """Equal sets among rows with one signature, and (pivot, document) of the groups that are left. What is held are the
+    rows as they came; signatures are laid out and sorted a share of RANGES at a time."""
+    rows, cols, total = [], [], 0
     for batch in batches:
-        for _, kind, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns)):
+        for i in range(batch.num_rows):
+            _, kind, a, b, c, d = (x[i].as_py() for x in batch.columns)
             if kind == DIGEST:
                 key, ends = np.frombuffer(a, np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(b, np.int64))
                 yield _out(kind, key[:, 0].copy(), key[:, 1].copy(), [c[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())])
-                continue
-            if kind != SIGNED:
+            elif kind != SIGNED:
                 yield _out(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
-                continue
-            docs, low = np.frombuffer(d, np.uint64).reshape(2, -1), np.frombuffer(a, np.uint8).reshape(-1, 6)
-            key = np.zeros((len(low), 8), np.uint8)
-            key[:, :6] = low
-            sig.append(key.view(np.uint64).ravel())
-            who.append(np.frombuffer(b, np.uint16).astype(np.int32) + total)
-            first.append(np.frombuffer(c, np.int32).astype(np.int64) + signed)
-            cols.append(docs)
-            total += docs.shape[1]
-            signed += len(low)
-    if not sig:
+            else:
+                cols.append(np.frombuffer(d, np.uint64).reshape(2, -1))
+                rows.append((a, b, c, total))
+                total += cols[-1].shape[1]
+    if not rows:
         return
-    sig = np.concatenate(sig)
+    docs = np.concatenate(cols, axis=1)
+    cols.clear()
+    for share in range(RANGES):
+        yield from _met(rows, docs, share)
+    trim_memory()
+
+
+def _met(rows: list[tuple[bytes, bytes, bytes, int]], docs: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    sig, who, marked = [], [], []
+    for a, b, c, at in rows:
+        low = np.frombuffer(a, np.uint8).reshape(-1, 6)
+        own = low[:, 5] % RANGES == share
+        key = np.zeros((int(own.sum()), 8), np.uint8)
+        key[:, :6] = low[own]
+        first = np.zeros(len(low), bool)
+        first[np.frombuffer(c, np.int32)] = True
+        sig.append(key.view(np.uint64).ravel())
+        who.append(np.frombuffer(b, np.uint16)[own].astype(np.int32) + at)
+        marked.append(first[own])
+    sig, who, marked = np.concatenate(sig), np.concatenate(who), np.concatenate(marked)
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     same = sig[1:] == sig[:-1]
@@ -288,10 +304,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(order):
         return
     run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
-    marked = np.zeros(signed, bool)
-    marked[np.concatenate(first)] = True
-    who, docs = np.concatenate(who), np.concatenate(cols, axis=1)
-    cols.clear()
     ids = docs[0].view(np.int64)
     d = who[order]
     # equal sets in one run: the smallest document stands for them
@@ -311,9 +323,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(begin, len(d)))
     pivot, more = np.repeat(d[begin], sizes), np.repeat(sizes > 1, sizes)
     if more.any():
-        rows = np.unique(np.stack([pivot[more], d[more]]), axis=1)
-        yield _out(MEMBER, rows[0].copy(), rows[1].copy())
-    trim_memory()
+        found = np.unique(np.stack([pivot[more], d[more]]), axis=1)
+        yield _out(MEMBER, found[0].copy(), found[1].copy())
 
 
 def _similar(table: pa.Table, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,9 @@ from pyspark.sql import DataFrame
 
 from granary.llm.common import CACHE_ENTRIES, extended, held, tuned
 
+#: Characters up to which merging looks at all neighbours anew; longer texts keep a heap.
+SHORT = 48
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -124,6 +127,19 @@ class Codec:
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: best score first, then from the left."""
         n = len(text)
+        if n <= SHORT:
+            get, none = self.score.get, float("-inf")
+            parts = list(text)
+            scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+            while scores and (best := max(scores)) != none:
+                i = scores.index(best)
+                parts[i] += parts.pop(i + 1)
+                del scores[i]
+                if i:
+                    scores[i - 1] = get(parts[i - 1] + parts[i], none)
+                if i < len(scores):
+                    scores[i] = get(parts[i] + parts[i + 1], none)
+            return parts
         sym: list[str | None] = list(text)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, str, int]] = []
@@ -164,40 +180,43 @@ class Codec:
 
     def backtracked(self, text: str) -> list[str]:
         """The pieces of a text without runs of the space symbol; characters that no piece has stand alone."""
-        n = len(text)
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for end, (length, piece) in self.automaton.iter(text):
-            starts[end - length + 1].append(piece)
+        n, score, pairs, alone = len(text), self.score, self.pairs, self.alone
+        longest = [""] * n
+        for end, (size, piece) in self.automaton.iter(text):  # matches come shortest first
+            longest[end - size + 1] = piece
         out: list[str] = []
-        tried: list[int] = []
         failed = bytearray(n // 8 + 1)
-        at, k = 0, 0
+        at, last = 0, None
+        p: str | None = longest[0] if n else ""
         while at < n:
-            options = starts[at]
-            last = out[-1] if out else None
             found = None
-            if not options:
-                if k == 0:
-                    found = text[at]
-                k = 1
-            else:
-                while k < len(options):
-                    p = options[-1 - k]  # matches come shortest first
-                    k += 1
-                    end = at + len(p)
-                    if failed[end >> 3] >> (end & 7) & 1:
-                        continue
-                    if (len(p) == 1 or self.reachable(p)) and (last is None or last not in self.score or self.compatible(last, p)):
+            while p:
+                end = at + len(p)
+                if not failed[end >> 3] >> (end & 7) & 1 and p in score:
+                    fits = True
+                    if len(p) > 1:
+                        fits = alone.get(p)
+                        fits = self.reachable(p) if fits is None else fits
+                    if fits and last is not None and last in score:
+                        fits = pairs.get((last, p))
+                        fits = self.compatible(last, p) if fits is None else fits
+                    if fits:
                         found = p
                         break
+                p = p[:-1]
+            if found is None and p == "" and text[at] not in score:
+                # a character that is no piece stands alone where no longer piece fits
+                found = text[at]
             if found is not None:
                 out.append(found)
-                tried.append(k)
-                at, k = at + len(found), 0
+                at, last = at + len(found), found
+                p = longest[at] if at < n else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 back = out.pop()
-                at, k = at - len(back), tried.pop()
+                at -= len(back)
+                last = out[-1] if out else None
+                p = back[:-1] if back in score else None
         return out
 
     @functools.lru_cache(maxsize=4096)
