@@ -35,7 +35,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key, "0"))
+    found = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
     if not (found and 0 < int(found[1]) <= BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
     return spark
