@@ -6,7 +6,9 @@ sketch of both texts together. From sketches come resemblance, containment and t
 exact where a sketch isn't full.
 
 Null text counts as empty: an empty sketch. Two empty sketches have resemblance 1, an empty and another 0. Repeated rows
-have equal sketches.
+have equal sketches. In the order of documents null ids come first, and rows that share an id are tied by a hash of text
+and sketch (rows alike may change places, which shows nowhere); a single document is followed by itself. Texts of any
+length are taken whole. An empty table gives an empty result. Extra columns are not returned, whatever their names.
 """
 
 from __future__ import annotations
