@@ -276,12 +276,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     docs = np.concatenate(cols, axis=1)
     cols.clear()
+    members: list[np.ndarray] = []
     for share in range(RANGES):
-        yield from _met(rows, docs, share)
+        yield from _met(rows, docs, share, members)
+    if members:
+        found = np.unique(np.concatenate(members, axis=1), axis=1)
+        yield _out(MEMBER, found[0].copy(), found[1].copy())
     trim_memory()
 
 
-def _met(rows: list[tuple[bytes, bytes, bytes, int]], docs: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+def _met(rows: list[tuple[bytes, bytes, bytes, int]], docs: np.ndarray, share: int, members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The links of one share; its (pivot, document) pairs are added to members."""
     sig, who, marked = [], [], []
     for a, b, c, at in rows:
         low = np.frombuffer(a, np.uint8).reshape(-1, 6)
@@ -323,8 +328,7 @@ def _met(rows: list[tuple[bytes, bytes, bytes, int]], docs: np.ndarray, share: i
     sizes = np.diff(np.append(begin, len(d)))
     pivot, more = np.repeat(d[begin], sizes), np.repeat(sizes > 1, sizes)
     if more.any():
-        found = np.unique(np.stack([pivot[more], d[more]]), axis=1)
-        yield _out(MEMBER, found[0].copy(), found[1].copy())
+        members.append(np.unique(np.stack([pivot[more], d[more]]), axis=1))
 
 
 def _similar(table: pa.Table, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
