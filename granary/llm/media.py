@@ -266,8 +266,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "owner", "ids"])
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, image) of the images with a key in common."""
+_PAIRS = "part int, pairs binary"
+
+
+def _pivots(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(pivot, image) of the images with a key in common, as arrays dealt out by pivot: two copies share many keys, and
+    so meet in many parts."""
     keys, ids = [], []
     for batch in batches:
         for _, k, o, i in zip(*(c.to_pylist() for c in batch.columns)):
@@ -275,7 +279,7 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(np.frombuffer(i, np.int64)[np.frombuffer(o, np.uint16)])
     if not keys:
         return
-    # parts are dealt out to partitions, and several may be in one
+    # several parts may be in one partition
     key, image = np.concatenate(keys), np.concatenate(ids)
     order = np.lexsort((image, key))
     key, image = key[order], image[order]
@@ -283,8 +287,20 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(first, len(key)))
     pivot, many = np.repeat(image[first], sizes), np.repeat(sizes > 1, sizes)
     rows = np.unique(np.stack([pivot[many], image[many]]), axis=1)
+    with np.errstate(over="ignore"):
+        part = (fmix(rows[0].view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    each = [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
     trim_memory()
-    yield pa.RecordBatch.from_arrays([pa.array(rows[0].copy()), pa.array(rows[1].copy())], names=["cluster", "doc_id"])
+    yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in each], pa.int32()), pa.array([np.ascontiguousarray(rows[:, x]).tobytes() for x in each], pa.binary())], names=["part", "pairs"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (pivot, image) of a partition's arrays."""
+    found = [np.frombuffer(x, np.int64).reshape(2, -1) for batch in batches for x in batch.column(1).to_pylist()]
+    if found:
+        rows = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0].copy()), pa.array(rows[1].copy())], names=["cluster", "doc_id"])
 
 
 def _copies(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +349,8 @@ def copy_groups(df: DataFrame, id_col: str = "media_id", media: str = "media") -
     discard(all_)
     parts = parts_for(described, 8 << 20)
     keyed = described.mapInArrow(functools.partial(_keyed, parts=parts), _KEYED).repartition(parts, "part")
-    members = settle(keyed.mapInArrow(_pivots, "cluster long, doc_id long").distinct())
+    pairs = keyed.mapInArrow(functools.partial(_pivots, parts=parts), _PAIRS).repartition(parts, "part")
+    members = settle(pairs.mapInArrow(_distinct, "cluster long, doc_id long"))
     roots = components(linked_in_groups(members, described, _copies, parts)).toDF("rep", "root")
     return told.join(roots, "rep", "left").select(F.col("id").alias("media_id"), "n_corners", F.coalesce("root", "rep").alias("group_id"))
 
