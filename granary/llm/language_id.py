@@ -38,7 +38,7 @@ SLOTS, LEXICON = 1 << 17, 300
 #: Languages at most (weights are SLOTS a language); documents of all languages together.
 LANGUAGES, SAMPLE = 256, 64 * DOCS
 #: Words that a worker remembers, and words whose features are looked up together.
-CACHE_WORDS, STEP_WORDS = 100_000, 4096
+CACHE_WORDS, STEP_WORDS = 200_000, 4096
 _LETTERS = re.compile(r"[^\W\d_]{1,40}")
 
 
@@ -198,7 +198,7 @@ class Model:
         lengths = np.fromiter(map(len, chains), np.int64, len(chains))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
-        at, most = 0, min(200_000, 64 * 200_000 // len(self.labels))
+        at, most = 0, min(400_000, 64 * 400_000 // len(self.labels))
         while at < len(order):
             end = at + 1
             while end < len(order) and end - at < 256 and (end + 1 - at) * lengths[order[end]] <= most:
