@@ -99,6 +99,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Like settle, dealt by key into as many buckets: a join by that key reads them where they are and moves nothing.
+    Only a table of the catalog can have buckets; this one leaves the catalog at once and its files stay."""
+    spark = df.sparkSession
+    name = f"granary-{uuid.uuid4().hex}"
+    table = name.replace("-", "_")
+    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").bucketBy(parts, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a settled table that nothing reads any more: what was made of it is settled itself."""
     spark = df.sparkSession

@@ -10,7 +10,9 @@ block), and SHA-1 digests of block and payload.
 A record whose payload another record has already becomes a revisit: its block is cut after the HTTP header, its digest
 stays that of the whole payload, and WARC-Refers-To, -Target-URI and -Date name the other record by the id that the
 converter gives that one. Which record that is, is found from the ARC archives themselves (``arc_records``): payloads
-meet by digest, a row of some hundred bytes for each record and none of its content.
+meet by digest, a row of some hundred bytes for each record and none of its content. The archives are settled in buckets
+by name, so the converter gets what it needs to know of each while its content stays where it is; the ARC archives are
+deleted when the WARC ones are written.
 
 Archives are rows of a table with binary content, so any storage that Spark writes can hold them; ``read_warc`` takes
 the rows of ``spark.read.format("binaryFile")`` as well. Each archive holds records of one task up to ARCHIVE bytes and
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from granary.llm.common import settle, tuned
+from granary.llm.common import discard, parts_for, settle, settle_dealt, tuned
 
 ARCHIVE = 4 << 20
 #: Payloads of fewer bytes are never revisits.
@@ -306,7 +308,7 @@ def arc_to_warc(arcs: DataFrame, revisits: DataFrame | None = None) -> DataFrame
     if revisits is None:
         with_same = arcs.select("archive", "content", F.lit(None).cast("array<struct<at: int, record_id: string, uri: string, date: string>>").alias("same"))
     else:
-        with_same = arcs.select("archive", "content").join(revisits.hint("merge"), "archive", "left").select("archive", "content", "same")
+        with_same = arcs.select("archive", "content").join(revisits.hint("shuffle_hash"), "archive", "left").select("archive", "content", "same")
     return with_same.mapInArrow(work, _WARC)
 
 
@@ -360,8 +362,13 @@ def resolved(records: DataFrame) -> DataFrame:
 def archive_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", strict: bool = False) -> DataFrame:
     """Pages to ARC, to WARC with revisits, into the shared folder, and back: the records as read_warc and resolved give
     them, with a row of ``damaged`` bytes for an ARC archive that has some."""
-    arcs = settle(write_arc(df, id_col, url, html))
-    warcs = settle(arc_to_warc(arcs, revisits_of(settle(arc_records(arcs)))))
+    arcs = settle_dealt(write_arc(df, id_col, url, html), "archive", parts_for(df))
+    told = settle(arc_records(arcs))
+    revisits = settle(revisits_of(told))
+    discard(told)
+    warcs = settle(arc_to_warc(arcs, revisits))
+    discard(revisits)
+    discard(arcs)
     back = resolved(read_warc(warcs, strict=strict))
     lost = warcs.filter("damaged > 0").select("archive", "damaged")
     if strict:

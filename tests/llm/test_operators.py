@@ -555,6 +555,32 @@ def test_archives_round_trip(spark):
         assert r.refers_to_id == (None if other is None else got[other].record_id)
 
 
+def _exchanged(plan):
+    """The columns that each exchange of a physical plan moves."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        yield from _exchanged(plan.executedPlan())
+        return
+    if "Exchange" in plan.nodeName():
+        yield [plan.output().apply(i).name() for i in range(plan.output().size())]
+    for i in range(plan.children().size()):
+        yield from _exchanged(plan.children().apply(i))
+
+
+def test_archives_stay_where_they_are(spark, monkeypatch):
+    """No content of an archive is shuffled, only what is known of records; what is superseded is deleted."""
+    seen, settle = [], warc.settle
+    monkeypatch.setattr(warc, "settle", lambda df: seen.append(df) or settle(df))
+    tables = spark.catalog.listTables()
+    rows = [(i, f"http://x.test/{i}", f"{i // 2} " * 600) for i in range(40)]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    moved = [names for df in (*seen, out) for names in _exchanged(df._jdf.queryExecution().executedPlan())]
+    assert any("same" in names for names in moved) and not any("content" in names for names in moved)
+    assert sorted((r.page_id, r.refers_to) for r in out.collect()) == [(i, None if i % 2 else i + 1) for i in range(40)]
+    assert spark.catalog.listTables() == tables
+    read = [x.rsplit("/", 1)[0] for df in seen for x in df.inputFiles()]
+    assert read and not any(os.path.exists(x.removeprefix("file:")) for x in read)
+
+
 def test_archives_of_odd_pages(spark):
     big, long = "x" * 1200, "y z " * 300_000
     rows = [(1, "u", big, "a"), (1, "u", big, "a"), (0, "v", big, None), (None, "w", big, "a"), (None, None, None, "a"), (9, "z", long, "b"), (8, None, long, "c")]
