@@ -352,9 +352,11 @@ def _plain(value: str) -> str | None:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Adds refers_to: the page_id of the record that a revisit refers to by its id. Size and digest of the payload come
-    from there too where the revisit itself doesn't tell."""
+    from there too where the revisit itself doesn't tell. Records that refer to none are dealt out by a number of their
+    own, for all nulls would meet in one task."""
     named = records.filter("record_type <> 'revisit' and page_id is not null").groupBy(F.col("record_id").alias("__id")).agg(F.max(F.struct("page_id", "payload_bytes", "payload_digest")).alias("__of"))
-    both = records.join(named, F.col("refers_to_id") == F.col("__id"), "left")
+    dealt = records.withColumn("__to", F.coalesce("refers_to_id", F.monotonically_increasing_id().cast("string")))
+    both = dealt.join(named, (F.col("__to") == F.col("__id")) & F.col("refers_to_id").isNotNull(), "left")
     told = {c: F.coalesce(c, F.col(f"__of.{c}")) for c in ("payload_bytes", "payload_digest")}
     return both.select(*(told[c].alias(c) if c in told else c for c in records.columns), F.col("__of.page_id").alias("refers_to"))
 

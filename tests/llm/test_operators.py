@@ -619,6 +619,24 @@ def test_foreign_records_are_read(spark):
     assert (r.record_type, r.page_id, r.payload_bytes, r.payload_digest, r.refers_to_id, r.refers_to) == ("revisit", None, None, None, "<urn:uuid:2>", None)
 
 
+def test_records_that_refer_to_none_are_dealt_out(spark):
+    named = [("a", "response", str(i), None, None, i, 5, "d", None, 0, None) for i in range(400)]
+    rows = [*named, ("a", "revisit", "r", None, None, 900, None, None, "7", 0, None), ("a", "revisit", "s", None, None, 901, 6, "e", "x", 0, None), ("a", *[None] * 8, 3, None)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        out = warc.resolved(spark.createDataFrame(rows, warc._RECORD)).selectExpr("*", "spark_partition_id() AS part").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    parts = [r.part for r in out if r.refers_to_id is None]
+    assert len(out) == 403 and max(map(parts.count, set(parts))) < 200
+    # none of their numbers is taken for the id of a record
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in out if r.refers_to_id or r.damaged} == {900: (5, "d", 7), 901: (6, "e", None), None: (None, None, None)}
+    assert not any(r.refers_to for r in out if r.refers_to_id is None)
+
+
 def test_both_arc_versions_convert():
     for version in (1, 2):
         block = warc.http_block(5, b"hello\r\n\r\nthere")
