@@ -52,5 +52,5 @@ def clean_pages(pages: DataFrame, document: str, page: str, text: str) -> DataFr
     told = pages.join(repeated, document, "left")
     known = F.coalesce("repeated", F.array().cast("array<string>"))
     kept = F.filter(F.transform(F.split(X.normalized_text(text), "\n"), X.squeezed), lambda x: ~F.array_contains(known, X.line_signature(x)) & ~X.junk_line(x))
-    clean = F.coalesce(X.deduped_words(F.array_join(X.repaired_hyphens(kept), "\n")), F.lit(""))
+    clean = F.coalesce(X.deduped_words(X.repaired_text(F.array_join(kept, "\n"))), F.lit(""))
     return told.select(document, page, clean.alias("clean")).withColumn("cleaned_word_count", F.size(X.words_of("clean")))

@@ -73,3 +73,14 @@ def test_documents_are_rebuilt_from_chunks(spark):
     rows = [(1, 0, "a b c d e f g"), (1, 1, "c d e f g h i"), (1, 2, "x y"), (2, 0, "")]
     got = {r.k: r.text for r in chunking.reconstructed(spark.createDataFrame(rows, "k int, chunk_index int, text string"), "k").collect()}
     assert got == {1: "a b c d e f g h i x y"}
+
+
+def test_lines_keep_digits_that_are_their_place(spark):
+    docs = spark.createDataFrame([("zero 0\n  line 1 \nwell-\nknown 3\nend 4",)], "t string")
+    got = docs.select(X.repaired_text(F.array_join(X.trimmed(F.split("t", "\n")), "\n")).alias("x")).first().x
+    assert got == "zero 0\nline 1\nwellknown 3\nend 4"
+    assert docs.select(X.repaired_hyphens(F.array().cast("array<string>")).alias("x")).first().x == []
+
+
+def test_a_line_that_was_joined_joins_no_other(spark):
+    assert one(spark, X.repaired_text, "ab-\ncd-\nef-\ngh\r-\nij") == "abcd-\nefgh\r-\nij"
