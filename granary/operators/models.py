@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from granary.functions import text as X
+
 #: Texts -> a row of numbers for each; pairs of texts -> a number for each; a text -> names in it.
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str], list[str]], np.ndarray]
@@ -33,7 +35,7 @@ def forget(name: str | None = None) -> None:
 
 
 def encoded(texts: DataFrame, text: str, make: Callable[[], Encoder], name: str = "encoder", vector: str = "vector") -> DataFrame:
-    """Adds a text's vector of length one (zeros stay zeros; null for a null text). Equal texts are encoded once: distinct
+    """Adds a text's vector of length one, in double precision (zeros stay zeros; null for a null text). Equal texts are encoded once: distinct
     texts go to the encoder and the vectors are joined back."""
     distinct = texts.select(F.col(text).alias("__t")).filter("__t is not null").distinct()
 
@@ -41,14 +43,14 @@ def encoded(texts: DataFrame, text: str, make: Callable[[], Encoder], name: str
         encode = loaded(name, make)
         for batch in batches:
             given = batch.column(0).to_pylist()
-            x = np.asarray(encode(given), np.float32) if given else np.zeros((0, 1), np.float32)
+            x = np.asarray(encode(given), np.float64) if given else np.zeros((0, 1))
             if x.ndim != 2 or len(x) != len(given) or not np.isfinite(x).all():
                 raise ValueError(f"the encoder gave {x.shape} for {len(given)} texts, or numbers that are not finite")
             n = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["__t", vector])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["__t", vector])
 
-    made = distinct.mapInArrow(work, f"__t string, {vector} array<float>")
+    made = distinct.mapInArrow(work, f"__t string, {vector} array<double>")
     return texts.join(made, F.col(text) == F.col("__t"), "left").drop("__t")
 
 
@@ -95,7 +97,7 @@ def planned(queries: DataFrame, split: Callable[[Column], Column] | None = None,
     up to ``most``; blank parts go, and where none is left, or without a splitter, the question itself is searched."""
     whole = F.trim(F.coalesce("query", F.lit("")))
     parts = F.array(whole) if split is None else split(F.col("query"))
-    kept = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x != "")), 1, most)
+    kept = F.slice(F.array_distinct(F.filter(X.trimmed(F.coalesce(parts, F.array().cast("array<string>"))), lambda x: x != "")), 1, most)
     return queries.select("query_id", F.posexplode(F.when(F.size(kept) > 0, kept).otherwise(F.array(whole))).alias("part", "search")).withColumn("part", F.col("part") + 1)
 
 

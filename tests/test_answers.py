@@ -145,3 +145,9 @@ def test_hooks_are_asked_for_distinct_texts(spark, tmp_path):
     assert names == {"aa": ["AA"], "b": ["B"]}
     one = models.planned(spark.createDataFrame([(1, " a? b? a? c? d? "), (2, None)], "query_id long, query string"), lambda c: F.split(c, r"(?<=\\?) ")).collect()
     assert [(r.query_id, r.part, r.search) for r in sorted(one)] == [(1, 1, "a?"), (1, 2, "b?"), (1, 3, "c?"), (2, 1, "")]
+
+
+def test_encoded_vectors_are_double(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    got = models.encoded(df, "t", lambda: lambda texts: [[1, 2, 3]] * len(texts), "double-encoder").first().vector
+    assert got == pytest.approx([x / 14**0.5 for x in (1, 2, 3)], rel=1e-15)
