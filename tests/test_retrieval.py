@@ -144,3 +144,24 @@ def test_confidence_has_gates(spark):
     one = lambda **x: spark.range(1).select(A.calibrated(**({"c": c, "contamination": F.lit(0.0), "count": F.lit(2), "valid": F.lit(True)} | x)).alias("x")).first().x
     assert one() == pytest.approx(0.96) and one(valid=F.lit(False)) == pytest.approx(0.22) and one(count=F.lit(0)) <= 0.45
     assert one(c=c | {"query_grounding": F.lit(0.2)}) <= 0.25
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_best_by_products_are_the_first_of_all_scores(spark, monkeypatch, plain):
+    monkeypatch.setattr(O, "QUERIES", 7)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)] + ["Ä1", "the_x"]
+    text = lambda n: " ".join(words[int(i)] for i in rng.zipf(1.3, n) % len(words))
+    docs = spark.createDataFrame([(i * 3, None if i == 5 else text(int(rng.integers(0, 40)))) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text(6) + " nowhere") for i in range(30)] + [(99, "nowhere"), (98, None)], "query_id long, query string")
+    scores = O.bm25_plain(docs, asked) if plain else O.bm25(docs, asked)
+    want = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in O.ranked(scores, 9).collect()}
+    assert {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in O.bm25_best(docs, asked, 9, plain=plain).collect()} == want and len(want) > 200
+    assert O.bm25_best(docs, asked.filter("query_id >= 98"), 9, plain=plain).count() == 0 and O.bm25_best(docs.limit(0), asked, 9, plain=plain).count() == 0
+
+
+def test_each_phrase_is_looked_for_once(spark):
+    docs = spark.createDataFrame([(i, f"The solar  panel {i} means power.") for i in range(6)] + [(9, "solar panels"), (10, None), (11, "a solar\npanel")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "What is solar panel?"), (2, "Explain 'solar panel' please")], "query_id long, query string")
+    got = {(r.query_id, r.phrase, r.doc_id) for r in O.anchors(asked, docs).collect()}
+    assert {x[2] for x in got if x[:2] == (1, "solar panel")} == {5, 4, 3, 2} == {x[2] for x in got if x[:2] == (2, "solar panel")}
