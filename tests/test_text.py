@@ -84,3 +84,18 @@ def test_lines_keep_digits_that_are_their_place(spark):
 
 def test_a_line_that_was_joined_joins_no_other(spark):
     assert one(spark, X.repaired_text, "ab-\ncd-\nef-\ngh\r-\nij") == "abcd-\nefgh\r-\nij"
+
+
+def test_short_parts_join_in_one_pass(spark):
+    got = one(spark, X.sentences, "No.\n\nOh no. \n\n \n\nThis one is long. Yes. So it is. Another long one is here.  ")
+    assert got == ["no. Oh no.", "This one is long. Yes.", "So it is.", "Another long one is here."]
+    assert one(spark, X.sentences, " \n\n ") == [] and one(spark, X.sentences, None) is None
+    assert one(spark, X.sentences, "It is No. 5 of APPROX. Ten. e.G. this end.") == ["It is no. 5 of approx. Ten. e.g. this end."]
+
+
+def test_chunks_of_pages_meet_in_order_with_their_words(spark):
+    lines = [(1, p, " ".join(f"p{p}w{i}" for i in range(50)) + ".") for p in range(6)] + [(2, 0, None), (3, 0, "few words here")]
+    rows = chunking.chunks(spark.createDataFrame(lines, "doc_id long, page long, text string").repartition(4, "page"), "doc_id", "text", "page", 120, 60).orderBy("doc_id", "chunk_index").collect()
+    got = [(r.doc_id, r.chunk_index, r.page_start, r.page_end, r.word_count) for r in rows]
+    assert got == [(1, 0, 0, 1, 100), (1, 1, 1, 2, 100), (1, 2, 2, 3, 100), (1, 3, 3, 4, 100), (1, 4, 4, 5, 100), (3, 0, 0, 0, 3)]
+    assert all(r.word_count == len(r.text.split()) for r in rows)
