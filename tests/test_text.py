@@ -99,3 +99,12 @@ def test_chunks_of_pages_meet_in_order_with_their_words(spark):
     got = [(r.doc_id, r.chunk_index, r.page_start, r.page_end, r.word_count) for r in rows]
     assert got == [(1, 0, 0, 1, 100), (1, 1, 1, 2, 100), (1, 2, 2, 3, 100), (1, 3, 3, 4, 100), (1, 4, 4, 5, 100), (3, 0, 0, 0, 3)]
     assert all(r.word_count == len(r.text.split()) for r in rows)
+
+
+def test_nfkc_needs_no_python_and_equals_it(spark):
+    import unicodedata
+
+    given = ["ﬁ ① Ａ é ½ ㎏ ĳ ẛ̣ 한글 plain", "plain", "", None, "ạ̀"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", X.nfkc("t").alias("x"))
+    assert {r.i: r.x for r in rows.collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(given)}
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
