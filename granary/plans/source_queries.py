@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
 import numpy as np
@@ -85,8 +86,8 @@ def pdf_page_scan(spark, d):
     found = P.files(spark, path, "*.txt")
 
     def reader(content: bytes, name: str):
-        for line in content.decode().split("\n")[:-1]:
-            yield 612.0, 792.0, [(line, 50.0, 50.0, 500.0, 90.0, 0, 0)]
+        for line in io.BytesIO(content):
+            yield 612.0, 792.0, [(line[:-1].decode(), 50.0, 50.0, 500.0, 90.0, 0, 0)]
 
     pages = P.pdf_pages(found, reader).filter("error is null")
     rows = pages.join(found.select("path", "domain"), "path").select(F.regexp_replace("domain", "^domain_in_?(?:20)?", "").alias("domain"), F.octet_length(F.col("blocks")[0]["text"]).cast("long").alias("n"))

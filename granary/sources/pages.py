@@ -5,16 +5,19 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from granary.functions.text import block_text, domain_of
+from granary.session import small_batches
 
 BLOCK = "struct<text:string,x0:double,y0:double,x1:double,y1:double,block_no:int,block_type:int>"
 # Tolerance of a left edge, least gap between columns, share of the width of a column, most columns.
 EDGE, GAP, SHARE, COLUMNS = 18.0, 45.0, 0.20, 4
 
 
+#: Pages of a file that are made Arrow values at once.
+PAGES = 500
 PDF, TEXT = "*.{pdf,PDF}", "*.{txt,TXT}"
 #: Bytes of a file and its path -> its pages as (width, height, blocks), a block being (text, x0, y0, x1, y1, number,
 #: kind: 1 for an image).
@@ -61,26 +64,42 @@ def read_with_fitz(content: bytes, path: str) -> Iterable[tuple[float, float, li
 def pdf_pages(found: DataFrame, reader: PageReader | None = None) -> DataFrame:
     """path, page_number, width, height, blocks, error of PDF files (path, content). Any reader of pages can be given;
     the default needs a PDF library on the workers, and an environment without one is told so. A file that cannot be
-    read gives one row with its error and no page, and the others are read."""
+    read gives one row with its error and no page, and the others are read. A worker holds one file at a time."""
     if reader is None:
         if importlib.util.find_spec("fitz") is None:
             raise NotImplementedError("reading PDF needs PyMuPDF (module fitz) on driver and workers, or a reader of your own")
         reader = read_with_fitz
+    small_batches(found.sparkSession)
     names = ("text", "x0", "y0", "x1", "y1", "block_no", "block_type")
+    block = pa.list_(pa.struct([(n, t) for n, t in zip(names, (pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32()))]))
+    types = (pa.string(), pa.int32(), pa.float64(), pa.float64(), block, pa.string())
+    columns = ("path", "page_number", "width", "height", "blocks", "error")
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
+
+    def read_one(path: str, content: bytes) -> list[pa.RecordBatch]:
+        """A file's pages, PAGES a batch: until its last page is read, they are held as Arrow values."""
+        made, rows = [], []
+        for n, (w, h, blocks) in enumerate(reader(content, path), 1):
+            rows.append((path, n, float(w), float(h), [dict(zip(names, b)) for b in blocks], None))
+            if len(rows) == PAGES:
+                made.append(packed(rows))
+                rows = []
+        return made + [packed(rows)] if rows else made
 
     def read(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                path = batch.column(0)[at].as_py()
                 try:
-                    pages = [(path, n, float(w), float(h), [dict(zip(names, b)) for b in blocks], None) for n, (w, h, blocks) in enumerate(reader(content, path), 1)]
+                    made = read_one(path, batch.column(1)[at].as_py())
                 except Exception as e:  # noqa: BLE001  # whatever a reader raises is of this file alone
-                    pages = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
-                rows += pages
-            frame = pd.DataFrame(rows, columns=["path", "page_number", "width", "height", "blocks", "error"])
-            yield frame.astype({"page_number": "Int32"})
+                    made = [packed([(path, None, None, None, None, f"{type(e).__name__}: {e}")])]
+                while made:
+                    yield made.pop(0)
 
-    return found.select("path", "content").mapInPandas(read, f"path string, page_number int, width double, height double, blocks array<{BLOCK}>, error string")
+    return found.select("path", "content").mapInArrow(read, f"path string, page_number int, width double, height double, blocks array<{BLOCK}>, error string")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

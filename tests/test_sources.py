@@ -91,3 +91,19 @@ def test_streams_write_postings_once(spark, tmp_path):
 
 def test_entry_has_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 100
+
+
+def test_pages_are_held_until_their_file_is_read(spark, monkeypatch):
+    monkeypatch.setattr(P, "PAGES", 3)
+    files = spark.createDataFrame([("good", bytearray(b"a\nb\nc\nd\ne\nf\ng")), ("bad", bytearray(b"a\nb\nc\nd\n!")), ("none", bytearray(b"")), ("null", None)], "path string, content binary")
+
+    def reader(content, name):
+        for line in content.decode().split("\n") if content else ():
+            if line == "!":
+                raise ValueError("damaged")
+            yield 10, 20, [(line, 1, 2, 3, 4, 0, 0)]
+
+    pages = P.pdf_pages(files, reader)
+    assert pages.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("1000", "500", "100")
+    got = {(r.path, r.page_number, r.blocks[0].text if r.blocks else None, r.error) for r in pages.collect()}
+    assert got == {("good", i + 1, c, None) for i, c in enumerate("abcdefg")} | {("bad", None, None, "ValueError: damaged")}
