@@ -151,3 +151,23 @@ def test_encoded_vectors_are_double(spark):
     df = spark.createDataFrame([("a",)], "t string")
     got = models.encoded(df, "t", lambda: lambda texts: [[1, 2, 3]] * len(texts), "double-encoder").first().vector
     assert got == pytest.approx([x / 14**0.5 for x in (1, 2, 3)], rel=1e-15)
+
+
+def test_near_sets_equal_all_pairs():
+    import random
+
+    r = random.Random(4)
+    words = [sorted({f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 9))}) for _ in range(120)]
+    places = [i // 2 for i in range(120)]
+    cosine = lambda a, b: len({*a} & {*b}) / (len(a) * len(b)) ** 0.5
+    want = {(i, j) for j in range(120) for i in range(j) if places[i] != places[j] and round(cosine(words[i], words[j]), 9) > 0.45}
+    got = list(A.near_sets(places, words, 0.45))
+    assert {(i, j) for i, j, _ in got} == want and len(got) == len(want) > 50
+    assert all(x == pytest.approx(cosine(words[i], words[j])) for i, j, x in got)
+
+
+def test_sentence_edges_shuffle_once(spark):
+    rows = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "b c d"), (2, 0, "a b c")], "doc_id long, pos int, line string")
+    edges = A.sentence_edges(rows, "doc_id", "pos", "line")
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r)[:3] for r in edges.collect()] == [(1, 0, 1)]
