@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import definitions as D, matching as M
+from granary.functions import definitions as D, matching as M, text as X
 from granary.operators import answers as A, models
+from granary.plans import registry
 
 
 def sentences(spark, text, query):
@@ -171,3 +172,30 @@ def test_sentence_edges_shuffle_once(spark):
     edges = A.sentence_edges(rows, "doc_id", "pos", "line")
     assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [tuple(r)[:3] for r in edges.collect()] == [(1, 0, 1)]
+
+
+def test_sentences_are_settled_without_a_shuffle_unless_documents_share_an_id(spark, tmp_path):
+    one, two = "The first sentence has six words. And the FIRST sentence has, six words!", "Another sentence is here for all."
+    odd = [(1, f"See www.a.org/x?y now , {one}\r\n\t{two} {two}"), (2, f"{two}• {one}"), (3, None), (4, ""), (None, two)]
+    again = [(None, two.upper()), (2, f"{one} {two}"), (2, two)]
+
+    def run(rows):
+        where = str(tmp_path / str(len(rows)))
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{where}/documents.parquet")
+        return registry.queries()["answer_sentences"](spark, where)
+
+    first = run(odd)
+    assert "Exchange" not in first._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, first.collect()), key=str)
+    assert got == sorted([(1, 0, "See now, The first sentence has six words."), (1, 200, two), (2, 0, two), (2, 100, one[:33]), (None, 0, two)], key=str)
+    both = run(odd + again).collect()
+    assert len(both) == len({(r.doc_id, r.sentence.lower()) for r in both}) == len(got)
+
+
+@pytest.mark.parametrize("text", ["this is the story of the", "this is the story of the.", "this is the story of the \n", "this is the story of the.\r\n", "this is the story of the! ", "this is the story of the.\n\r", "this is the story of bathe", "five words are all here", "a b c d", "who knows where it goes", "where who knows it goes"])
+def test_fragments_are_told_from_their_ends(spark, text):
+    before = r"(?:^|[^\p{L}\p{N}_])(?:and|or|to|of|for|with|from|by|in|on|the)\s*[.!?]?$"
+    df = spark.createDataFrame([(text,)], "t string")
+    old = (F.size(X.words_of("t")) < 5) | F.col("t").rlike(before) | F.col("t").rlike(r"^(?:and|or|but|because|while|where|when|how|which|that)(?:[^\p{L}\p{N}_]|$)")
+    row = df.select(old.alias("old"), X.broken_fragment("t").alias("new")).first()
+    assert row.old == row.new
