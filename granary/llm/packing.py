@@ -23,6 +23,8 @@ whatever their names.
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -45,6 +47,12 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
+#: Marks (no apostrophe, which may begin a pre-token of letters) that end a run of non-space bytes: after a letter or
+#: digit they are a pre-token of their own.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+_MARK = re.compile(rb"[%b](?<=[0-9A-Za-z].)[%b]*+(?!\S)" % (re.escape(_MARKS), re.escape(_MARKS)))
+#: Runs that a worker remembers, of at most 64 bytes each.
+_REMEMBERED = 2 * CACHE_ENTRIES
 
 
 class ChunkIds(dict):
@@ -62,17 +70,20 @@ class ChunkIds(dict):
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= _REMEMBERED:
             self.clear()
-        plain = chunk.isascii() and b"<|" not in chunk
-        if plain and (small := chunk.lower()) != chunk:
+        if chunk.isalpha() and chunk.islower():
+            ids = [t.id for t in self.model.tokenize(chunk.decode())]  # letters of ASCII stand for themselves
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        elif chunk.isascii() and b"<|" not in chunk and (small := chunk.lower()) != chunk:
             out = self[small]  # the normaliser does as much
-        elif b"<|" not in chunk and len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalnum():
-            out = self[chunk[:-1]] + self[chunk[-1:]]  # the mark is a pre-token of its own
+        elif b"<|" not in chunk and (base := chunk.rstrip(_MARKS)) and base != chunk and (word := base.decode())[-1].lower().isalnum() and unicodedata.is_normalized("NFC", word):
+            # a letter or digit stays one before the marks, so that they are a pre-token
+            out = self[base] + self[chunk[len(base) :]]
         elif (word := chunk.decode()).isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word) and (small := word.lower()).isalpha():
             # letters that the normaliser only lowers: one pre-token, so the merges alone are left to do
             ids = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(BYTE_LETTERS))]
-            out = np.array(ids, "<u4").tobytes()
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
             out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
@@ -81,8 +92,15 @@ class ChunkIds(dict):
 
 
 def packed_ids(text: bytes | None, ids: ChunkIds) -> bytes:
-    """A document's ids with the end id 0, as little-endian 32-bit numbers."""
-    return b"".join(map(ids.__getitem__, (text or b"").split())) + b"\0\0\0\0"
+    """A document's ids with the end id 0, as little-endian 32-bit numbers. Marks at the ends of words are parted and
+    letters of ASCII lowered in the whole text, so that a word has one entry however it is written; not where the text may
+    hold special tokens, nor letters lowered where a combining mark (from \\xcc or \\xcd on) may follow one."""
+    text = text or b""
+    if b"<|" not in text:
+        text = _MARK.sub(rb" \g<0>", text)
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+    return b"".join(map(ids.__getitem__, text.split())) + b"\0\0\0\0"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:

@@ -399,6 +399,21 @@ def test_chunks_are_encoded_as_the_whole_text():
         assert np.frombuffer(packing.packed_ids(t.encode(), chunks), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_words_are_remembered_once_however_they_are_written():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, chunks = Tokenizer.from_file(path), packing.ChunkIds(path)
+    t = "Word word, WORD. word*** (word) Word&&&, word 's Été, été*** été. "
+    packing.packed_ids(t.encode(), chunks)
+    assert not {b"word,", b"Word", b"WORD.", b"word***", b"word&&&,"} & set(chunks) and b"word" in chunks
+    rng = random.Random(9)
+    letters = [*"abHTIDLsé.,;!?*&_'0²½ΣİßÅ\u0958\u0931\u093c\u0301\u0331\u212a\u037e\u1161ᄀ… \n\t\x1c\x85", ",***", " ", " ", "'s", "'LL", "<|", "<|endoftext|>"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 24)))
+        assert np.frombuffer(packing.packed_ids(t.encode(), chunks), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [0], ascii(t)
+
+
 def test_plans_place_every_piece():
     rng = random.Random(8)
     for trial in range(40):
